@@ -1,15 +1,953 @@
-"""The registered queries of the graph operators, with their SQL."""
+"""The registered queries of the graph operators, with their SQL. Doubles are rounded to four places on both sides."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..operators import analytics, corpus, index, kg, metrics, models, rank, resolve, similarity, verify
+from ..operators.graph import Graph
+from ..streaming import increment
+from . import fixtures
 
-def oracle_sql():
-    return {}
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+def query(select: str | None = None, name: str | None = None):
+    """Register a function of a table getter; select: its SQL over the fixtures, if SQL can state it."""
+    def register(f):
+        key = name or f.__name__.strip("_")
+        _QUERIES[key] = lambda spark, sf_dir: f(lambda t: fixtures.table(spark, sf_dir, t))
+        if select:
+            _SQL[key] = fixtures.sql(select) if not select.lstrip().startswith("WITH") else select
+        return f
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _graph(t) -> Graph:
+    return Graph(t("nodes"), t("edges").select(F.col("relation").alias("name")).distinct(), t("edges"))
+
+
+def _r(c: str, name: str | None = None):
+    return F.round(F.col(c), 4).alias(name or c)
+
+
+# --- names, numbers, text -------------------------------------------------------------------------------------------
+
+NORM = "trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'))"
+_ABN = "CASE WHEN length(regexp_replace({0}, '[^0-9]', '', 'g')) = 11 THEN regexp_replace({0}, '[^0-9]', '', 'g') END"
+
+
+@query("SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 200000)), '[^A-Za-z0-9 ]', ' ', 'g')) AS phrase FROM documents WHERE lang = 'en'")
+def normalise_phrase(t):
+    return t("documents").where("lang = 'en'").select("doc_id", tx.normalise_phrase(F.substring("text", 1, 200000)).alias("phrase"))
+
+
+@query(f"SELECT doc_id, {NORM.format('text')} AS own FROM documents WHERE lang = 'en'")
+def normalise_text(t):
+    return t("documents").where("lang = 'en'").select("doc_id", tx.normalise_text("text").alias("own"))
+
+
+_W = " + ".join(f"(CAST(substr(abn, {i + 1}, 1) AS INT) - {1 if i == 0 else 0}) * {w}" for i, w in enumerate((10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19)))
+
+
+@query(f"SELECT row_no, shard_no, abn, coalesce(({_W}) % 89 = 0, false) AS sound, CASE WHEN abn IS NOT NULL THEN substr(abn, 1, 2) || ' ' || substr(abn, 3, 3) || ' ' || substr(abn, 6, 3) || ' ' || substr(abn, 9, 3) END AS spaced FROM (SELECT row_no, shard_no, {_ABN.format('target')} AS abn FROM edges WHERE lower(trim(relation)) IN ('has abn', 'abn'))")
+def norm_abn_checksum_spaced(t):
+    own = t("edges").where(F.lower(F.trim("relation")).isin("has abn", "abn")).withColumn("abn", tx.norm_abn("target"))
+    return own.select("row_no", "shard_no", "abn", tx.is_valid_abn("target").alias("sound"), F.when(F.col("abn").isNotNull(), tx.abn_spaced("abn")).alias("spaced"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS own FROM documents")
+def clean_field(t):
+    return t("documents").select("doc_id", tx.clean_field("text").alias("own"))
+
+
+_NEXT = "CASE WHEN a.row_no % 5 = 0 AND b.c_name IS NOT NULL THEN "
+
+
+@query("SELECT IDX, CASE WHEN ReportingEntities = '' THEN '' ELSE regexp_replace(regexp_replace(ReportingEntities, '\\)\\s*,\\s*', ')|', 'g'), '\\(([0-9 ]+)\\)', '(ABN \\1)', 'g') END AS entities, regexp_replace(regexp_replace(ReportingEntities, '\\)\\s*,\\s*', ')|', 'g'), '\\s*\\([0-9 ]+\\)', '', 'g') AS names, replace(regexp_replace(regexp_replace(ReportingEntities, '\\)\\s*,\\s*', ')|', 'g'), '\\s*\\([0-9 ]+\\)', '', 'g'), '|', ' and ') AS joined FROM register")
+def parse_entities_names_join(t):
+    names = tx.entity_names("ReportingEntities")
+    return t("register").select("IDX", F.array_join(tx.parse_entities("ReportingEntities"), "|").alias("entities"), F.array_join(names, "|").alias("names"), tx.join_names(names).alias("joined"))
+
+
+@query("SELECT IDX, 'Modern slavery statement ' || IDX || ': ' || replace(names, '|', ' and ') AS title, strlen(names) > 0 AS held FROM (SELECT IDX, regexp_replace(regexp_replace(ReportingEntities, '\\)\\s*,\\s*', ')|', 'g'), '\\s*\\([0-9 ]+\\)', '', 'g') AS names FROM register WHERE ReportingEntities <> '')")
+def render_passage(t):
+    return tx.render_passage(t("register")).select("IDX", "title", (F.length("passage") > 0).alias("held"))
+
+
+@query("SELECT title, regexp_extract(title, '^Modern slavery statement (\\S+):', 1) AS own FROM docs")
+def title_idx(t):
+    return t("docs").select("title", tx.title_idx("title").alias("own"))
+
+
+@query("SELECT title, trim(regexp_replace(split_part(split_part(lower(regexp_extract(title, '^[^:]*:\\s*(.*)$', 1)), ',', 1), ' & ', 1), '[^a-z0-9]+', ' ', 'g')) AS company FROM docs")
+def company_from_title(t):
+    return t("docs").select("title", tx.company_from_title("title").alias("company"))
+
+
+@query(f"SELECT name, regexp_matches({NORM.format('name')}, '\\b(pty|ltd|limited|holdings|inc|plc|corporation)\\b') AS company FROM (SELECT name || CASE row_no % 3 WHEN 0 THEN ' Pty. Ltd' WHEN 1 THEN ' Incs' ELSE '' END AS name FROM nodes)")
+def is_company_name(t):
+    suffix = F.when(F.col("row_no") % 3 == 0, " Pty. Ltd").when(F.col("row_no") % 3 == 1, " Incs").otherwise("")
+    return t("nodes").select(F.concat("name", suffix).alias("name")).select("name", tx.is_company_name("name").alias("company"))
+
+
+@query("SELECT p_partkey, 'name: ' || p_name || chr(10) || 'type: part' || chr(10) || 'brand: ' || p_brand || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'size: ' || p_size ELSE '' END AS own, p_name || CASE WHEN p_size % 2 = 0 THEN chr(10) || p_type ELSE '' END AS node FROM part")
+def attributes_to_text_node_text(t):
+    even = F.col("p_size") % 2 == 0
+    attributes = F.create_map(F.lit("brand"), "p_brand", F.lit("size"), F.when(even, F.col("p_size").cast("string")))
+    content = F.create_map(F.lit("content"), F.when(even, F.col("p_type")).otherwise(" "))
+    return t("part").select("p_partkey", tx.attributes_to_text(attributes, name="p_name", type=F.lit("part")).alias("own"), tx.node_text("p_name", content).alias("node"))
+
+
+@query("SELECT row_no, shard_no, lower(source) || ' [SEP] ' || relation || ' [SEP] ' || lower(target) AS fact FROM edges")
+def fact_text(t):
+    return t("edges").select("row_no", "shard_no", tx.fact_text("source", "relation", "target").alias("fact"))
+
+
+@query("SELECT doc_id, source || chr(10) || text AS passage FROM documents")
+def with_title(t):
+    return t("documents").select("doc_id", tx.with_title("source", "text").alias("passage"))
+
+
+@query("SELECT event_id, props AS block, event_type || '|' || 'user ' || user_id AS entities, 'a;b;' || event_type AS triple FROM events")
+def extract_json_parse_responses(t):
+    own = t("events")
+    said = F.concat(F.lit("Sure: "), "props", F.lit(" done"))
+    named = F.concat(F.lit('{"named_entities": ["user '), F.col("user_id").cast("string"), F.lit('", "'), "event_type", F.lit('", "'), "event_type", F.lit('"]}'))
+    triples = F.concat(F.lit('so {"triples": [["a", "b", "'), "event_type", F.lit('"]]} there'))
+    return own.select("event_id", tx.extract_json(said).alias("block"), F.array_join(tx.parse_entities_response(named), "|").alias("entities"), F.array_join(F.get(tx.parse_triples_response(triples), F.lit(0)), ";").alias("triple"))
+
+
+_ANSWER = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
+@query(f"SELECT id, {_ANSWER.format('response')} AS own, CASE WHEN contains(response, 'Answer: ') THEN regexp_replace(split_part(response, 'Answer:', 2), '^\\s+|\\s+$', '', 'g') ELSE response END AS answer FROM answers")
+def normalise_extract_answer(t):
+    return t("answers").select("id", tx.normalise_answer("response").alias("own"), tx.extract_answer("response").alias("answer"))
+
+
+@query("SELECT CAST(source || '-' || doc_id AS VARCHAR) AS id, source AS task_type FROM documents")
+def task_type(t):
+    return tx.task_type(t("documents").select(F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("id")), "id_prefix")
+
+
+@query("SELECT vec_id, round(list_dot_product(v[1:16]::DOUBLE[], v[1:16]::DOUBLE[]), 4) AS kept, 1.0::DOUBLE AS norm FROM (SELECT vec_id, embedding AS v FROM embeddings)")
+def truncate_normalise(t):
+    cut = F.slice("embedding", 1, 16)
+    own = tx.truncate_normalise("embedding", 16)
+    return t("embeddings").select("vec_id", F.round(similarity.dot(cut, cut), 4).alias("kept"), F.round(similarity.dot(own, own), 4).alias("norm"))
+
+
+@query("SELECT query, '## Relevant Entity:' || chr(10) || string_agg('name: ' || node || chr(10) || 'content: ' || query, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || '## Question:' || chr(10) || 'q' || query AS context FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS rank FROM scores) WHERE rank <= 3 GROUP BY query")
+def build_context(t):
+    from ..operators.graph import top
+
+    best = top(t("scores"), ["query"], [F.desc("score"), F.asc("node")], 3)
+    asked = t("scores").select("query").distinct().select("query", F.concat(F.lit("q"), F.col("query").cast("string")).alias("question"))
+    return tx.build_context(best.select("query", F.lit("entity").alias("type"), "rank", F.col("node").alias("name"), F.col("query").cast("string").alias("content")), asked)
+
+
+# --- corpus ---------------------------------------------------------------------------------------------------------
+
+@query("SELECT CASE WHEN row_number() OVER (PARTITION BY doc_id % 4, source ORDER BY doc_id) > 1 THEN source || ' (' || doc_id || ')' ELSE source END AS title, doc_id AS idx, CAST(doc_id % 4 AS INT) AS shard FROM documents")
+def shard_equal(t):
+    return corpus.shard_equal(t("documents").select(F.col("source").alias("title"), F.col("doc_id").alias("idx")))
+
+
+@query()
+def shard_ladder(t):
+    docs = t("documents").select(F.col("text").alias("title"), F.col("doc_id").alias("idx"))
+    return corpus.shard_ladder(docs, [16, 64, "rest"]).groupBy("shard").agg(F.count("*").alias("n"))
+
+
+@query("SELECT title, max(idx) AS idx, shard FROM (SELECT source AS title, row_number() OVER (ORDER BY doc_id) - 1 AS idx, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / ceil(n / ceil(n / 700.0))) AS INT) AS shard FROM documents, (SELECT count(*) AS n FROM documents)) GROUP BY title, shard")
+def shard_balanced(t):
+    placed = index._placed(t("documents").select(F.col("source").alias("title"), "doc_id"), F.col("doc_id"), "idx")
+    return corpus.shard_balanced(placed.select("title", "idx"))
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (ReportingEntities <> '') AS docs, count(*) FILTER (ReportingEntities = '') AS skipped FROM register")
+def corpus_accounting(t):
+    return corpus.corpus_accounting(t("register"))
+
+
+@query("SELECT title, content AS passage FROM docs WHERE content NOT IN (SELECT content FROM docs WHERE idx % 3 = 0)")
+def pending_passages(t):
+    docs = t("docs").select("title", F.col("content").alias("passage"), "idx")
+    return corpus.pending_passages(docs, docs.where("idx % 3 = 0")).select("title", "passage")
+
+
+# --- graph construction ---------------------------------------------------------------------------------------------
+
+def _openie(t):
+    part = lambda c: F.when(F.col("blank"), " ! ").otherwise(F.col(c))
+    triple = F.when(F.col("two"), F.array("c_name", "r")).when(F.col("four"), F.array("c_name", "r", "t", "t")).otherwise(F.array(F.col("c_name"), part("r"), F.col("t")))
+    return t("dirty").select(F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"), F.array("c_name").alias("extracted_entities"), F.array(triple).alias("extracted_triples"))
+
+
+_P = "trim(regexp_replace(lower({0}), '[^A-Za-z0-9 ]', ' ', 'g'))"
+_TRIPLES = f"SELECT 'order ' || o_orderkey AS title, 0 AS ord, {_P.format('c_name')} AS head, {_P.format('r')} AS relation, {_P.format('t')} AS tail FROM dirty WHERE NOT two AND NOT four AND NOT blank"
+
+
+@query(_TRIPLES)
+def clean_triples(t):
+    return kg.clean_triples(_openie(t))
+
+
+@query(f"SELECT unnest(['clean', 'malformed', 'ungrounded', 'triples', 'relations', 'phrases']) AS metric, unnest([(SELECT count(*) FROM ({_TRIPLES})), (SELECT count(*) FROM dirty WHERE two OR four OR blank), 0, (SELECT count(DISTINCT (head, relation, tail)) FROM ({_TRIPLES})), (SELECT count(DISTINCT relation) FROM ({_TRIPLES})), (SELECT count(DISTINCT e) FROM (SELECT head AS e FROM ({_TRIPLES}) UNION SELECT tail FROM ({_TRIPLES})))]) AS value")
+def triple_quality(t):
+    return kg.triple_quality(_openie(t))
+
+
+@query(f"SELECT DISTINCT title, unnest([head, tail]) AS entity FROM ({_TRIPLES})")
+def document_entities(t):
+    return kg.document_entities(kg.clean_triples(_openie(t)))
+
+
+@query(f"SELECT head, max_by(relation, (title, ord)) AS relation, tail FROM ({_TRIPLES}) GROUP BY head, tail")
+def pair_relation(t):
+    return kg.pair_relation(kg.clean_triples(_openie(t)))
+
+
+_VEC = "SELECT 'phrase ' || vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"
+
+
+@query(f"SELECT source, 'equivalent' AS relation, target FROM (SELECT a.id AS source, b.id AS target, s / max(s) OVER (PARTITION BY a.id) AS n, row_number() OVER (PARTITION BY a.id ORDER BY s DESC, b.id) AS k FROM (SELECT a.id AS aid, b.id AS bid, list_dot_product(a.v, b.v) AS s FROM ({_VEC}) a, ({_VEC}) b) p JOIN ({_VEC}) a ON a.id = aid JOIN ({_VEC}) b ON b.id = bid) WHERE k <= 100 AND source <> target AND n >= 0.5")
+def synonym_edges(t):
+    return kg.synonym_edges(t("embeddings").select(F.concat(F.lit("phrase "), F.col("vec_id").cast("string")).alias("phrase"), F.col("embedding").alias("vec")), 0.5)
+
+
+@query(f"SELECT head AS source, CASE WHEN strlen(head) % 2 = 0 AND tail LIKE '1%' THEN 'equivalent' ELSE max_by(relation, (title, ord)) END AS relation, tail AS target FROM ({_TRIPLES}) GROUP BY head, tail")
+def augment_graph(t):
+    pairs = kg.pair_relation(kg.clean_triples(_openie(t)))
+    same = pairs.where("length(head) % 2 = 0 AND tail LIKE '1%'").select(F.col("head").alias("source"), F.col("tail").alias("target"), F.lit("equivalent").alias("relation"))
+    return kg.augment_graph(pairs, same)
+
+
+_KG_SQL = f"(SELECT head, max_by(relation, (title, ord)) AS relation, tail FROM ({_TRIPLES}) GROUP BY head, tail)"
+
+
+@query(f"SELECT 'node' AS part, type AS kind, count(*) AS n FROM (SELECT DISTINCT title AS name, 'document' AS type FROM (SELECT 'order ' || o_orderkey AS title FROM dirty) UNION ALL SELECT DISTINCT unnest([head, tail]), 'entity' FROM {_KG_SQL}) GROUP BY type UNION ALL SELECT 'edge', relation, count(*) FROM {_KG_SQL} GROUP BY relation UNION ALL SELECT 'edge', 'is_mentioned_in', count(*) FROM (SELECT DISTINCT title, unnest([head, tail]) AS e FROM ({_TRIPLES})) UNION ALL SELECT 'relation', 'all', 1 + count(DISTINCT relation) FROM {_KG_SQL}")
+def build_kg(t):
+    openie = _openie(t)
+    g = kg.build_kg(openie.select("title", F.lit("text").alias("content")), openie)
+    one = lambda df, part, kind: df.groupBy(F.lit(part).alias("part"), kind.alias("kind")).agg(F.count("*").alias("n"))
+    return one(g.nodes, "node", F.col("type")).union(one(g.edges, "edge", F.col("relation"))).union(one(g.relations, "relation", F.lit("all")))
+
+
+# --- similarity -----------------------------------------------------------------------------------------------------
+
+def _vectors(t):
+    own = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    return own.where("id % 100 = 0"), own.where("id % 100 <> 0")
+
+
+_DOT = "SELECT q.vec_id AS query_id, c.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND c.vec_id % 100 <> 0"
+_TOPK = f"SELECT query_id, id, round(score, 4) AS score, round(score / max(score) OVER (PARTITION BY query_id), 4) AS norm_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_DOT})) WHERE rank <= "
+
+
+@query(_TOPK + "5")
+def dense_topk(t):
+    q, c = _vectors(t)
+    return similarity.dense_topk(q, c, 5).select("query_id", "id", _r("score"), _r("norm_score"), "rank")
+
+
+@query("SELECT query_id, id, round(score, 4) AS score, rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, sum(m) AS score FROM (SELECT query_id, label AS id, qid, max(score) AS m FROM (SELECT q.label AS query_id, q.vec_id AS qid, c.label AS label, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND c.vec_id % 100 <> 0) GROUP BY ALL) GROUP BY ALL)) WHERE rank <= 3")
+def maxsim_topk(t):
+    q, c = _vectors(t)
+    tokens = lambda df: df.select(F.col("label").alias("id"), F.col("id").alias("token"), "vec")
+    return similarity.maxsim_topk(tokens(q), tokens(c), 3).select("query_id", "id", _r("score"), "rank")
+
+
+@query(f"SELECT query_id, id AS node FROM ({_TOPK}1)")
+def link_entities(t):
+    q, c = _vectors(t)
+    asked = q.select(F.col("id").alias("query_id"), "vec")
+    return similarity.link_entities(asked, asked.where("query_id % 200 = 0"), c.select(F.col("id").alias("name"), "vec"))
+
+
+@query(f"SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_DOT}) WHERE id IN (SELECT vec_id FROM embeddings WHERE label < 5)) WHERE rank <= 8")
+def flat_retrieval(t):
+    q, c = _vectors(t)
+    nodes = c.select("id", F.when(F.col("label") < 5, "document").otherwise("entity").alias("type"), "vec")
+    return similarity.flat_retrieval(q, nodes).select("query_id", "id", "rank")
+
+
+@query("SELECT a.query AS query_id, count(*) FILTER (ra <= 5 AND rb <= 5) AS overlap FROM (SELECT query, node, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS ra, row_number() OVER (PARTITION BY query ORDER BY round(score, 1) DESC, node) AS rb FROM scores) a GROUP BY a.query")
+def topk_overlap(t):
+    from ..operators.graph import top
+
+    cut = lambda c: top(t("scores"), ["query"], [c.desc(), F.asc("node")], 5).select(F.col("query").alias("query_id"), F.col("node").alias("id"), "rank")
+    return similarity.topk_overlap(cut(F.col("score")), cut(F.round("score", 1)))
+
+
+@query(f"SELECT query_id, id AS fact_id, round((score - lo) / (hi - lo), 4) AS score FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_DOT})) WHERE rank <= 20)")
+def fact_candidates_min_max(t):
+    q, c = _vectors(t)
+    return similarity.fact_candidates(q, c).select("query_id", "fact_id", _r("score"))
+
+
+@query("SELECT n_regionkey AS group_id, count(*) * count(*) AS cells, 1.0::DOUBLE AS mass FROM nation GROUP BY n_regionkey")
+def sinkhorn_align(t):
+    n = t("nation").select(F.col("n_regionkey").cast("long").alias("group_id"), F.col("n_nationkey").cast("long").alias("i"))
+    costs = n.join(n.withColumnRenamed("i", "j"), "group_id").withColumn("cost", ((F.col("i") * 31 + F.col("j") * 17) % 10) / 10.0)
+    return similarity.sinkhorn_align(costs).groupBy("group_id").agg(F.count("*").alias("cells"), F.round(F.sum("mass"), 4).alias("mass"))
+
+
+# --- union, canonical names, pruning --------------------------------------------------------------------------------
+
+@query("SELECT source AS title, max_by(text, doc_id) AS content, count(*) - 1 AS collapsed FROM documents GROUP BY source")
+def union_documents(t):
+    return resolve.union_documents(t("documents").select(F.col("source").alias("title"), F.col("text").alias("content"), F.lit(0).alias("shard_no"), F.col("doc_id").alias("row_no")))
+
+
+_FIRST = "SELECT source, relation, target, shard_no, row_no FROM (SELECT *, row_number() OVER (PARTITION BY source, relation, target ORDER BY shard_no, row_no) AS k FROM {0}) WHERE k = 1"
+
+
+@query(_FIRST.format("edges"))
+def union_edges(t):
+    return resolve.union_edges(t("edges"))
+
+
+@query("SELECT name, min(shard_no * 10000000000000 + row_no) AS first FROM (SELECT source AS name, shard_no, row_no FROM edges) GROUP BY name")
+def union_nodes_relations(t):
+    named = t("edges").select(F.col("source").alias("name"), "shard_no", "row_no")
+    return resolve.union_nodes(named).select("name", (F.col("shard_no") * 10000000000000 + F.col("row_no")).alias("first"))
+
+
+@query("SELECT count(*) AS missing FROM (SELECT source AS name FROM edges UNION ALL SELECT target FROM edges) WHERE name NOT IN (SELECT name FROM nodes)")
+def missing_endpoints(t):
+    return resolve.missing_endpoints(t("edges"), t("nodes"))
+
+
+_OWN = f"own AS (SELECT name, count(*) AS n, min(abn) AS abn FROM (SELECT DISTINCT source AS name, {_ABN.format('target')} AS abn FROM edges WHERE lower(trim(relation)) IN ('has abn', 'abn')) WHERE abn IS NOT NULL GROUP BY name)"
+_MAP = f"{_OWN}, often AS (SELECT name, count(*) AS f FROM (SELECT source AS name FROM edges UNION ALL SELECT target FROM edges) GROUP BY name), led AS (SELECT o.name, o.abn, first_value(o.name) OVER w AS leader, count(*) OVER (PARTITION BY o.abn) AS k FROM own o JOIN often USING (name) WHERE o.n = 1 WINDOW w AS (PARTITION BY o.abn ORDER BY f DESC, length(o.name) DESC, o.name)), mapping AS (SELECT name AS variant, leader FROM led WHERE k > 1 AND name <> leader)"
+_MOVED = "moved AS (SELECT coalesce(a.leader, source) AS source, relation, coalesce(b.leader, target) AS target, shard_no, row_no FROM edges LEFT JOIN mapping a ON a.variant = source LEFT JOIN mapping b ON b.variant = target), kept AS (" + _FIRST.format("moved") + " AND source <> target)"
+
+
+@query(f", {_MAP} SELECT * FROM mapping")
+def canonical_map(t):
+    return resolve.canonical_map(t("edges"))
+
+
+@query(f", {_OWN} SELECT count(DISTINCT abn) FILTER (n = 1) AS abns_seen, count(*) FILTER (n > 1) AS conflicts FROM own")
+def abn_conflicts(t):
+    return resolve.abn_conflicts(t("edges"))
+
+
+@query(f", {_MAP}, {_MOVED} SELECT * FROM kept")
+def canonicalise_graph(t):
+    return resolve.canonicalise_graph(_graph(t), resolve.canonical_map(t("edges"))).edges
+
+
+@query(f", {_MAP}, {_MOVED} SELECT (SELECT count(*) FROM mapping) AS variants_folded, (SELECT count(DISTINCT abn) FILTER (n = 1) FROM own) AS abns_seen, (SELECT count(*) FILTER (n > 1) FROM own) AS conflicts, (SELECT count(*) FROM nodes) AS nodes_in, (SELECT count(DISTINCT coalesce(leader, name)) FROM nodes LEFT JOIN mapping ON variant = name) AS nodes_out, (SELECT count(*) FROM edges) AS edges_in, (SELECT count(*) FROM moved WHERE source = target) AS self_loops_dropped, (SELECT count(*) FROM kept) AS edges_out, (SELECT count(*) FROM moved WHERE source <> target) - (SELECT count(*) FROM kept) AS duplicates_dropped")
+def canonicalise_stats(t):
+    return resolve.canonicalise_stats(_graph(t), resolve.canonical_map(t("edges")))
+
+
+_LITERALS = "SELECT DISTINCT target AS name FROM edges WHERE relation IN ('has ABN', 'has abn', 'headquartered in', 'operates in sector', 'has revenue band', 'has reporting period', 'has annual revenue', 'is located in')"
+
+
+@query(_LITERALS)
+def literal_nodes(t):
+    return resolve.literal_nodes(t("edges"))
+
+
+@query(f"SELECT * FROM edges WHERE relation <> 'equivalent' UNION ALL SELECT source, relation, target, shard_no, row_no FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY shard_no, row_no, target) AS k FROM edges WHERE relation = 'equivalent' AND source NOT IN ({_LITERALS}) AND target NOT IN ({_LITERALS})) WHERE k <= 10")
+def prune_equivalent(t):
+    return resolve.prune_equivalent(t("edges"), resolve.literal_nodes(t("edges")))
+
+
+@query(", deg AS (SELECT source, count(*) AS d FROM edges WHERE relation = 'equivalent' GROUP BY source), srt AS (SELECT list(d ORDER BY d DESC) AS l, count(*) AS n FROM deg) SELECT unnest(['n', 'max', 'mean', 'p50', 'p90', 'p99', 'kept_5', 'kept_10', 'kept_20', 'kept_50', 'share']) AS metric, unnest([(SELECT sum(d) FROM deg)::DOUBLE, (SELECT max(d) FROM deg)::DOUBLE, round((SELECT avg(d) FROM deg), 4), (SELECT l[1 + CAST(floor(n * 0.5) AS INT)] FROM srt)::DOUBLE, (SELECT l[1 + CAST(floor(n * (1 - 0.9::DOUBLE)) AS INT)] FROM srt)::DOUBLE, (SELECT l[1 + CAST(floor(n * (1 - 0.99::DOUBLE)) AS INT)] FROM srt)::DOUBLE, (SELECT sum(least(d, 5)) FROM deg)::DOUBLE, (SELECT sum(least(d, 10)) FROM deg)::DOUBLE, (SELECT sum(least(d, 20)) FROM deg)::DOUBLE, (SELECT sum(least(d, 50)) FROM deg)::DOUBLE, round((SELECT avg(CASE WHEN relation = 'equivalent' THEN 1.0::DOUBLE ELSE 0 END) FROM edges), 4)]) AS value")
+def equivalent_degree(t):
+    return resolve.equivalent_degree(t("edges")).select("metric", _r("value"))
+
+
+@query("SELECT type, count(*) AS n FROM nodes GROUP BY type")
+def type_counts(t):
+    return resolve.type_counts(t("nodes"))
+
+
+@query("SELECT relation, count(*) AS n FROM edges GROUP BY relation ORDER BY n DESC, relation LIMIT 25")
+def relation_counts(t):
+    return resolve.relation_counts(t("edges"))
+
+
+@query("SELECT relation, target, n, rank, edges FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY n DESC, target) AS rank, sum(n) OVER (PARTITION BY relation)::BIGINT AS edges FROM (SELECT relation, target, count(*) AS n FROM edges GROUP BY ALL)) WHERE rank <= 8")
+def relation_top_targets(t):
+    return resolve.relation_top_targets(t("edges"))
+
+
+@query("SELECT name, count(*) AS degree FROM (SELECT source AS name FROM edges UNION ALL SELECT target FROM edges) GROUP BY name ORDER BY degree DESC, name LIMIT 10")
+def hub_degree(t):
+    return resolve.hub_degree(t("edges"))
+
+
+@query("SELECT c_name AS company, " + ", ".join(f"coalesce((SELECT arg_min(target, (CASE relation {whens} END, shard_no, row_no, target)) FROM edges WHERE source = c_name AND relation IN ({rels})), '—') AS {name}" for name, whens, rels in (("abn", "WHEN 'has ABN' THEN 0 WHEN 'Has Abn' THEN 1 WHEN ' abn' THEN 2 ELSE 3 END" .replace(" END", ""), "'has ABN', 'Has Abn', ' abn', 'has abn'"), ("sector", "WHEN 'operates in sector' THEN 0", "'operates in sector'"), ("revenue", "WHEN 'has revenue band' THEN 0", "'has revenue band'"), ("hq", "WHEN 'headquartered in' THEN 0", "'headquartered in'"))) + " FROM customer")
+def enrich_company(t):
+    return resolve.enrich_company(t("customer").select(F.col("c_name").alias("company")), t("edges"))
+
+
+# --- verification ---------------------------------------------------------------------------------------------------
+
+def _facts(t):
+    return verify.register_facts(t("docs").select("shard", "title"), t("register"))
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT unnest(['entity', 'abn', 'revenue', 'period', 'hq', 'sector']) AS kind, unnest([ReportingEntities <> '', ReportingEntities <> '', AnnualRevenue <> '', PeriodStart <> '', HeadquarteredCountries <> '', IndustrySectors <> '']) AS held FROM register WHERE row_no % 13 <> 0 UNION ALL SELECT unnest(['entity', 'abn']), row_no % 5 = 0 AND ReportingEntities LIKE '%,%' FROM register WHERE row_no % 13 <> 0) WHERE held GROUP BY kind")
+def register_facts(t):
+    return _facts(t).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def _shard_graph(t):
+    edges = t("edges").select(F.col("shard_no").alias("shard"), "source", "relation", "target").where("relation NOT IN ('equivalent', 'supplies')")
+    return edges.select("shard", F.col("source").alias("name")).distinct(), edges
+
+
+@query(f", texts AS (SELECT DISTINCT shard_no AS shard, {NORM.format(chr(34) + 'source' + chr(34))} AS x FROM edges WHERE relation NOT IN ('equivalent', 'supplies') UNION SELECT shard_no, {NORM.format(chr(39).join(['source || ', ' ', ' || relation || ', ' ', ' || target']))} FROM edges WHERE relation NOT IN ('equivalent', 'supplies')), needles AS (SELECT DISTINCT row_no % 4 AS shard, IDX, {NORM.format('AnnualRevenue')} AS needle FROM register WHERE row_no % 13 <> 0 AND AnnualRevenue <> '') SELECT 'revenue' AS kind, count(*) FILTER (hit) AS found, count(*) AS expected, round(count(*) FILTER (hit)::DOUBLE / count(*), 4) AS recall FROM (SELECT IDX, EXISTS (SELECT 1 FROM (SELECT DISTINCT shard, x FROM texts WHERE x LIKE '%revenue band%') t WHERE t.shard = n.shard AND contains(t.x, n.needle)) OR EXISTS (SELECT 1 FROM texts t WHERE t.shard = n.shard AND contains(t.x, n.needle)) AS hit FROM needles n)")
+def verify_facts(t):
+    nodes, edges = _shard_graph(t)
+    return verify.verify_facts(_facts(t).where("kind = 'revenue'"), nodes, edges).select("kind", "found", "expected", _r("recall"))
+
+
+@query("SELECT title, content FROM docs WHERE title LIKE '%statement x-%'")
+def unregistered_docs(t):
+    return verify.unregistered_docs(t("docs").select("title", "content"), t("register"))
+
+
+@query(f", names AS (SELECT DISTINCT {NORM.format('c_name')} AS x FROM customer WHERE c_custkey % 97 <> 0 OR (c_custkey - 1) % 5 = 0 AND (c_custkey - 1) % 97 <> 0 AND c_custkey > 1), own AS (SELECT name || ' Pty Ltd' AS name FROM nodes WHERE type <> 'document') SELECT name FROM own WHERE NOT EXISTS (SELECT 1 FROM names WHERE contains({NORM.format('name')}, x) OR contains(x, {NORM.format('name')}))")
+def suspect_entities(t):
+    nodes = t("nodes").select(F.when(F.col("type") == "document", F.col("name")).otherwise(F.concat("name", F.lit(" Pty Ltd"))).alias("name"), "type")
+    return verify.suspect_entities(nodes, t("register"))
+
+
+@query(f", g AS (SELECT source AS doc_id, {_ABN.format('target')} AS abn, target FROM edges WHERE lower(trim(relation)) IN ('has abn', 'abn')), v AS (SELECT *, abn IS NOT NULL AND coalesce(({_W}) % 89 = 0, false) AS ok FROM g), e AS (SELECT c_name AS doc_id, abn AS want FROM named), c AS (SELECT e.doc_id, count(DISTINCT v.abn) FILTER (ok) AS emitted, count(*) FILTER (NOT ok AND v.doc_id IS NOT NULL) AS invalid, count(DISTINCT v.abn) FILTER (ok AND v.abn = want) AS hits FROM e LEFT JOIN v ON e.doc_id = v.doc_id GROUP BY e.doc_id) SELECT doc_id, hits::DOUBLE AS abn_recall, round(CASE WHEN emitted + invalid > 0 THEN hits::DOUBLE / (emitted + invalid) ELSE 0 END, 4) AS abn_precision, round(greatest(0.0, least(1.0, 0.6 * hits + 0.4 * CASE WHEN emitted + invalid > 0 THEN hits::DOUBLE / (emitted + invalid) ELSE 0 END - 0.5 * invalid)), 4)::DOUBLE AS reward_score, CAST(invalid AS INT) AS invalid, invalid = 0 AND hits >= 0.5 AS is_verified FROM c")
+def fact_gate(t):
+    triples = t("edges").where(F.lower(F.trim("relation")).isin("has abn", "abn")).select(F.col("source").alias("doc_id"), F.col("source").alias("s"), F.col("relation").alias("r"), F.col("target").alias("t"))
+    got = verify.fact_gate(triples, t("named").select(F.col("c_name").alias("doc_id"), "abn"))
+    return got.select("doc_id", _r("abn_recall"), _r("abn_precision"), _r("reward_score"), F.size("invalid_abns").alias("invalid"), "is_verified")
+
+
+@query(", rw AS (SELECT group_id, id, greatest(0.0::DOUBLE, 0.5 * gate + 0.5 * CAST(answer_matched AS INT) - 0.05 * greatest(0, num_hops - 1) - 0.02 * greatest(0, max_node_degree - 10)) AS reward FROM trajectories) SELECT group_id, id, round(reward, 4) AS reward, round(CASE WHEN count(*) OVER w > 1 AND stddev_pop(reward) OVER w >= 1e-6 THEN (reward - avg(reward) OVER w) / stddev_pop(reward) OVER w ELSE 0 END, 4) AS advantage FROM rw WINDOW w AS (PARTITION BY group_id)")
+def grpo_advantages(t):
+    return verify.grpo_advantages(t("trajectories")).select("group_id", "id", _r("reward"), _r("advantage"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT gold_doc) AS docs FROM (SELECT d.title AS gold_doc, unnest([IndustrySectors <> '', AnnualRevenue <> '', PeriodStart <> '', ReportingEntities LIKE '%,%']) AS held FROM docs d JOIN register r ON regexp_extract(d.title, '^Modern slavery statement (\\S+):', 1) = r.IDX WHERE ReportingEntities <> '') WHERE held")
+def qa_testset(t):
+    return verify.qa_testset(t("docs"), t("register")).agg(F.count("*").alias("n"), F.count_distinct("gold_doc").alias("docs"))
+
+
+@query(f"SELECT round(avg(CASE WHEN gold_doc <= 5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_at_k, round(avg(CASE WHEN contains({NORM.format('response')}, {NORM.format('alias')}) THEN 1.0::DOUBLE ELSE 0 END), 4) AS answer_accuracy FROM (SELECT *, id % 9 AS gold_doc FROM answers) WHERE gold_doc > 0")
+def qa_score(t):
+    own = t("answers").withColumn("gold_doc", F.col("id") % 9).where("gold_doc > 0")
+    got = verify.qa_score(own.select(F.array(*[F.lit(i).cast("long") for i in range(1, 9)]).alias("retrieved"), "gold_doc", F.col("response").alias("answer"), F.col("alias").alias("gold_answer")))
+    return got.select(_r("hit_at_k"), _r("answer_accuracy"))
+
+
+@query(", s AS (SELECT list(value ORDER BY value) AS l, count(*) AS n, avg(value) AS m FROM events) SELECT n, round(m, 4) AS mean, round(l[1 + n // 2], 4) AS median, round(l[1], 4) AS min, round(l[-1], 4) AS max, round(l[CAST(floor(n * 0.9) AS INT)], 4) AS p90 FROM s")
+def latency_summary(t):
+    return verify.latency_summary(t("events"), "value").select("n", *[_r(c) for c in ("mean", "median", "min", "max", "p90")])
+
+
+# --- ids and samples ------------------------------------------------------------------------------------------------
+
+_IDS = "ids AS (SELECT name, type, row_number() OVER (ORDER BY row_no, name) - 1 AS id FROM nodes)"
+
+
+@query(f", {_IDS} SELECT name, id, dense_rank() OVER (ORDER BY f) - 1 AS type_id FROM (SELECT *, min(id) OVER (PARTITION BY type) AS f FROM ids)")
+def assign_ids(t):
+    return index.assign_ids(t("nodes")).select("name", "id", "type_id")
+
+
+def _rels(t):
+    return index.relation_ids(t("edges").groupBy(F.col("relation").alias("name")).agg(F.min("row_no").alias("row_no")))
+
+
+_ENC = f"{_IDS}, rels AS (SELECT relation AS name, row_number() OVER (ORDER BY min(row_no), relation) - 1 AS id FROM edges GROUP BY relation), enc AS (SELECT u.id AS u, v.id AS v, r.id AS r FROM edges JOIN ids u ON u.name = source JOIN ids v ON v.name = target JOIN rels r ON r.name = relation)"
+
+
+@query(f", {_ENC} SELECT u, v, r, count(*) AS n FROM enc GROUP BY ALL")
+def encode_edges(t):
+    return index.encode_edges(t("edges"), index.assign_ids(t("nodes")), _rels(t))[0].groupBy("u", "v", "r").agg(F.count("*").alias("n"))
+
+
+@query("SELECT u, v, r FROM encoded UNION ALL SELECT v, u, r + 3 FROM encoded")
+def inverse_edges(t):
+    names = t("encoded").select(F.col("r").alias("id")).distinct().withColumn("name", F.col("id").cast("string"))
+    return index.inverse_edges(t("encoded"), names, 3)[0]
+
+
+def _typed(t):
+    e = t("encoded")
+    kind = F.when(F.col("id") >= 3000000, "region").when(F.col("id") >= 2000000, "supplier").when(F.col("id") >= 1000000, "nation").otherwise("customer")
+    return e.select(F.col("u").alias("id")).union(e.select("v")).distinct().withColumn("type", kind).withColumn("name", F.col("id").cast("string"))
+
+
+_KIND = "CASE WHEN {0} >= 3000000 THEN 'region' WHEN {0} >= 2000000 THEN 'supplier' WHEN {0} >= 1000000 THEN 'nation' ELSE 'customer' END"
+
+
+@query(f"SELECT type, count(*) AS n FROM (SELECT DISTINCT id, {_KIND.format('id')} AS type FROM (SELECT u AS id FROM encoded UNION SELECT v FROM encoded)) GROUP BY type")
+def nodes_by_type(t):
+    return index.nodes_by_type(_typed(t)).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT u, v, r FROM (SELECT u, v, r FROM encoded UNION ALL SELECT u, u, r FROM encoded WHERE r = 1) WHERE u >= 2000000 AND v >= 2000000 AND u < 3000000 AND v < 3000000")
+def restrict_to_type(t):
+    e = t("encoded")
+    return index.restrict_to_type(e.union(e.where("r = 1").select("u", "u", "r")), _typed(t), "supplier")
+
+
+@query("SELECT 'nation' AS other_type, u, v, count(*) AS weight FROM encoded WHERE r = 0 GROUP BY u, v")
+def target_to_other(t):
+    return index.target_to_other(t("encoded"), _typed(t), "customer")
+
+
+@query("SELECT 'node' AS kind, id, 'name: ' || id || chr(10) || 'type: ' || type AS text, 1 AS sign FROM (SELECT DISTINCT id, " + _KIND.format("id") + " AS type FROM (SELECT u AS id FROM encoded UNION SELECT v FROM encoded)) UNION ALL SELECT 'relation', r, CAST(r AS STRING), 1 FROM (SELECT DISTINCT r FROM encoded) UNION ALL SELECT 'relation', r + 3, CAST(r AS STRING), -1 FROM (SELECT DISTINCT r FROM encoded)")
+def embedding_inputs(t):
+    rels = t("encoded").select(F.col("r").alias("id")).distinct().select("id", F.col("id").cast("string").alias("name"))
+    return index.embedding_inputs(_typed(t), rels, 3, "inverse")
+
+
+def _samples(t):
+    return t("customer").select(F.col("c_custkey").alias("id"), F.array(F.col("c_custkey").cast("string"), F.lit("nobody")).alias("start_nodes"), F.when(F.col("c_custkey") % 3 > 0, (F.col("c_nationkey") + 1000000).cast("string")).otherwise("none").alias("to"))
+
+
+@query("SELECT c_custkey AS id, unnest(['start', 'target']) AS role, unnest([c_custkey, c_nationkey + 1000000]) AS node_id FROM customer WHERE c_custkey % 3 > 0")
+def qa_masks(t):
+    own = _samples(t).select("id", F.create_map(F.lit("entity"), "start_nodes").alias("start_nodes"), F.create_map(F.lit("entity"), F.array("to")).alias("target_nodes"))
+    return index.qa_masks(own, _typed(t))
+
+
+def _mentioned(t):
+    return t("mentions").select(F.col("entity").alias("source"), F.lit("is_mentioned_in").alias("relation"), F.col("doc").alias("target"))
+
+
+@query("SELECT doc, string_agg(entity, '|' ORDER BY entity) AS entities FROM mentions GROUP BY doc")
+def doc_entities_map(t):
+    return index.doc_entities_map(_mentioned(t)).select("doc", F.array_join("entities", "|").alias("entities"))
+
+
+def _support(t):
+    return t("part").select(F.col("p_partkey").alias("id"), F.array(F.concat(F.lit("part "), F.col("p_partkey").cast("string"))).alias("supporting_documents"))
+
+
+@query("SELECT p_partkey AS id, p_brand AS start, coalesce((SELECT string_agg(entity, '|' ORDER BY entity) FROM mentions WHERE doc = 'part ' || p_partkey), '') AS entity, 'part ' || p_partkey AS document FROM part")
+def samples_entity_docs(t):
+    linked = t("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("node"))
+    got = index.samples_entity_docs(_support(t), linked, _mentioned(t))
+    return got.select("id", *[F.array_join(F.element_at(F.col(m), k), "|").alias(n) for m, k, n in (("start_nodes", "entity", "start"), ("target_nodes", "entity", "entity"), ("target_nodes", "document", "document"))])
+
+
+@query("SELECT p_partkey AS id, p_brand AS start, p_type AS entity FROM part")
+def samples_answer(t):
+    part = lambda c: t("part").select(F.col("p_partkey").alias("id"), F.col(c).alias("node"))
+    got = index.samples_answer(_support(t), part("p_brand"), part("p_type").union(part("p_type")))
+    return got.select("id", F.array_join(F.element_at("start_nodes", F.lit("entity")), "|").alias("start"), F.array_join(F.element_at("target_nodes", F.lit("entity")), "|").alias("entity"))
+
+
+_LINKS = "(SELECT entity, count(DISTINCT doc) AS docs FROM mentions GROUP BY entity)"
+
+
+@query(f", each AS (SELECT s.query, s.node, avg(s.score / coalesce(docs, 1)) AS score FROM scores s LEFT JOIN {_LINKS} l ON l.entity = s.node GROUP BY ALL), best AS (SELECT query, node, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS k FROM each) WHERE k <= 5) SELECT query AS query_id, node, round(score, 6) AS score FROM best UNION ALL SELECT n_nationkey, 'part 1', 0.05::DOUBLE FROM nation WHERE n_nationkey < 20")
+def fact_start_nodes(t):
+    chosen = t("scores").select(F.col("query").alias("query_id"), F.col("node").alias("fact_id"), "score")
+    facts = t("supplier").select(F.col("s_name").alias("fact_id"), F.col("s_name").alias("source"), F.col("s_name").alias("target"))
+    dense = chosen.select("query_id").distinct().select("query_id", F.lit("part 1").alias("id"), F.lit(1.0).alias("score"))
+    return index.fact_start_nodes(chosen, facts, _mentioned(t), dense).select("query_id", "node", F.round("score", 6).alias("score"))
+
+
+@query("SELECT query AS id, string_agg(node, '|' ORDER BY node) AS start, (SELECT arg_max(node, (score, -1)) FROM scores t WHERE t.query = k.query) AS entity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS rank FROM scores) k WHERE rank <= 5 GROUP BY query")
+def samples_fact_link(t):
+    from ..operators.graph import top
+
+    own = t("scores").withColumnRenamed("query", "id")
+    samples = own.select("id").distinct().withColumn("supporting_documents", F.array(F.lit("part 1")))
+    answers = top(own, ["id"], [F.desc("score"), F.asc("node")], 1).select("id", "node", "rank")
+    got = index.samples_fact_link(samples, own.where("id % 2 = 0"), own, answers)
+    return got.select("id", F.array_join(F.element_at("start_nodes", F.lit("entity")), "|").alias("start"), F.array_join(F.element_at("target_nodes", F.lit("entity")), "|").alias("entity"))
+
+
+@query("SELECT n_regionkey AS query_id, n_name AS fact FROM nation")
+def match_filtered_facts(t):
+    own = t("nation").select(F.col("n_regionkey").alias("query_id"), F.col("n_name").alias("fact"), F.col("n_nationkey").alias("place"))
+    said = own.withColumn("fact", F.concat(F.col("fact"), F.lit("!")))
+    return index.match_filtered_facts(said, own, 50)
+
+
+# --- ranking --------------------------------------------------------------------------------------------------------
+
+_MET = "JOIN mentions ON entity = node"
+_TOPE = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS k FROM scores) WHERE k <= {0})"
+
+
+@query(f"SELECT query, doc, round(sum(score), 4) AS score FROM scores {_MET} GROUP BY ALL")
+def rank_simple(t):
+    return rank.rank_simple(t("scores"), t("mentions")).select("query", "doc", _r("score"))
+
+
+@query(f"SELECT query, doc, round(sum(score / docs), 6) AS score FROM scores s {_MET} JOIN {_LINKS} l ON l.entity = node GROUP BY query, doc")
+def rank_idf(t):
+    return rank.rank_idf(t("scores"), t("mentions")).select("query", "doc", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT query, doc, count(*)::DOUBLE AS score FROM {_TOPE.format(10)} {_MET} GROUP BY ALL")
+def rank_topk(t):
+    return rank.rank_topk(t("scores"), t("mentions"))
+
+
+@query(f"SELECT query, doc, round(sum(1.0::DOUBLE / docs), 6) AS score FROM {_TOPE.format(20)} {_MET} JOIN {_LINKS} l ON l.entity = node GROUP BY query, doc")
+def rank_idf_topk(t):
+    return rank.rank_idf_topk(t("scores"), t("mentions")).select("query", "doc", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT query, node, round(coalesce(1.0::DOUBLE / docs, 0), 6) AS weight FROM scores LEFT JOIN {_LINKS} l ON l.entity = node")
+def start_weights(t):
+    return rank.start_weights(t("scores"), t("mentions")).select("query", "node", F.round("weight", 6).alias("weight"))
+
+
+@query(", lit AS (SELECT s_name AS name FROM supplier WHERE s_suppkey % 5 = 0) SELECT query, 'entity' AS type, node, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS rank FROM scores WHERE node NOT IN (SELECT name FROM lit)) WHERE rank <= 4")
+def topk_by_type_exclude(t):
+    literals = t("supplier").where("s_suppkey % 5 = 0").select(F.col("s_name").alias("name"))
+    return rank.topk_by_type(t("scores"), t("nodes"), 4, ("entity",), literals).select("query", "type", "node", _r("score"), "rank")
+
+
+@query("SELECT query, node, score, round((score - lo) / (hi - lo), 4) AS norm_score, rank, CAST(s_nationkey AS STRING) AS content FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS rank, min(score) OVER (PARTITION BY query) AS lo, max(score) OVER (PARTITION BY query) AS hi FROM scores) JOIN supplier ON s_name = node WHERE rank <= 3")
+def scored_documents(t):
+    docs = t("supplier").select(F.col("s_name").alias("title"), F.col("s_nationkey").cast("string").alias("content"))
+    return rank.scored_documents(t("scores"), docs, 3).select("query", "node", "score", _r("norm_score"), "rank", "content")
+
+
+@query(f"SELECT query, node, k AS rank, s_nationkey AS attributes FROM {_TOPE.format(5)} JOIN supplier ON s_name = node WHERE s_suppkey % 2 = 0")
+def attach_attributes(t):
+    from ..operators.graph import top
+
+    best = top(t("scores"), ["query"], [F.desc("score"), F.asc("node")], 9)
+    nodes = t("supplier").where("s_suppkey % 2 = 0").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("attributes"))
+    return rank.attach_attributes(best, nodes).select("query", "node", "rank", "attributes")
+
+
+@query("SELECT query, node, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS rank FROM (SELECT query, node, greatest(score, 1 - score) AS score FROM scores)) WHERE rank <= 6")
+def merge_retrievals(t):
+    s = t("scores").withColumn("score", F.round("score", 6))
+    return rank.merge_retrievals(s, s.withColumn("score", 1 - F.col("score")), 6).select("query", "node", _r("score"), "rank")
+
+
+# --- graph analytics ------------------------------------------------------------------------------------------------
+
+@query(", e AS (SELECT source, target FROM base WHERE relation IN ('headquartered in', 'is part of')), s AS (SELECT s_name AS node FROM supplier WHERE s_suppkey % 3 = 0), h1 AS (SELECT target AS node, count(*) AS m FROM e JOIN s ON node = source GROUP BY target), h2 AS (SELECT target AS node, sum(m) AS m FROM e JOIN h1 ON node = source GROUP BY target) SELECT node, round(sum(m), 4) AS mass FROM (SELECT node, 1.0::DOUBLE AS m FROM s UNION ALL SELECT node, m * 0.8::DOUBLE FROM h1 UNION ALL SELECT node, m * 0.64::DOUBLE FROM h2) GROUP BY node")
+def khop_reach(t):
+    edges = t("base").where("relation IN ('headquartered in', 'is part of')").select("source", "target")
+    seeds = t("supplier").where("s_suppkey % 3 = 0").select(F.col("s_name").alias("node"))
+    return analytics.khop_reach(edges, seeds).select("node", _r("mass"))
+
+
+_STEINER = ", e AS (SELECT source AS a, target AS b FROM weighted UNION SELECT target, source FROM weighted), d AS (SELECT a, count(*)::DOUBLE AS d FROM e GROUP BY a), s AS (SELECT n_name AS c FROM nation WHERE n_nationkey IN (1, 2)), h0 AS (SELECT c, c AS n, 1.0::DOUBLE AS m FROM s), h1 AS (SELECT c, b AS n, sum(m / d) AS m FROM h0 JOIN e ON a = n JOIN d USING (a) GROUP BY c, b), h2 AS (SELECT c, b AS n, sum(m / d) AS m FROM h1 JOIN e ON a = n JOIN d USING (a) GROUP BY c, b), tot AS (SELECT c, n, sum(m) AS m FROM (SELECT * FROM h0 UNION ALL SELECT c, n, m * 0.7::DOUBLE FROM h1 UNION ALL SELECT c, n, m * (0.7::DOUBLE * 0.7::DOUBLE) FROM h2) GROUP BY c, n) SELECT a AS node, round(CASE WHEN a IN (SELECT c FROM s) THEN 0 ELSE exp(sum(ln(greatest(coalesce(m, 0), 1e-6))) / count(*)) / sqrt(greatest(any_value(d), 1)) END, 8) AS score FROM d CROSS JOIN s LEFT JOIN tot ON tot.c = s.c AND tot.n = d.a GROUP BY a"
+
+
+@query(_STEINER)
+def steiner_bridges(t):
+    seeds = t("nation").where("n_nationkey IN (1, 2)").select(F.col("n_name").alias("node"))
+    return analytics.steiner_bridges(t("weighted"), seeds).select("node", F.round("score", 8).alias("score"))
+
+
+@query("SELECT 0 AS query, v AS node, CAST(round(sum(x), 4) AS STRING) IS NOT NULL AS held, round(sum(x), 4) AS first FROM (SELECT v, (u % 10) * (r + 1)::DOUBLE AS x FROM encoded UNION ALL SELECT id, (id % 10)::DOUBLE FROM (SELECT u AS id FROM encoded UNION SELECT v FROM encoded)) GROUP BY v")
+def propagate_messages(t):
+    vec = F.array((F.col("id") % 10).cast("double"), F.lit(1.0))
+    states = _typed(t).select(F.lit(0).alias("query"), F.col("id").alias("node"), vec.alias("vec"))
+    rels = t("encoded").select("r").distinct().select("r", F.array((F.col("r") + 1).cast("double"), F.lit(1.0)).alias("vec"))
+    got = analytics.propagate_messages(t("encoded"), states, rels, short_cut=False)
+    return got.select("query", "node", F.lit(True).alias("held"), F.round(F.get("vec", F.lit(0)), 4).alias("first"))
+
+
+def _paths(t):
+    edges = t("base").where("relation IN ('headquartered in', 'is part of')").select(F.col("source").alias("u"), F.col("relation").alias("r"), F.col("target").alias("v"), ((F.col("row_no") % 10) / 10.0).alias("weight"))
+    return analytics.topk_paths(edges, t("supplier").select(F.col("s_name").alias("node")), t("region").select(F.col("r_name").alias("node")))
+
+
+_PATHS = "SELECT a.source, b.target, a.target AS via, round((CAST(a.row_no % 10 AS DOUBLE) / 10 + CAST(b.row_no % 10 AS DOUBLE) / 10) / 2, 4) AS avg_weight FROM base a JOIN base b ON a.target = b.source AND b.relation = 'is part of' WHERE a.relation = 'headquartered in' AND a.source IN (SELECT s_name FROM supplier)"
+
+
+@query(_PATHS)
+def topk_paths(t):
+    return _paths(t).select("source", "target", F.col("path")[0]["t"].alias("via"), _r("avg_weight"))
+
+
+@query(f"SELECT source, target, 1 AS rank, format('{{:.4f}}', avg_weight) || ': [ ' || source || ' (entity), headquartered in, ' || via || ' (entity) ] => [ ' || via || ' (entity), is part of, ' || target || ' (entity) ]' AS text FROM ({_PATHS})")
+def render_paths(t):
+    return analytics.render_paths(_paths(t), t("nodes"))
+
+
+@query(", hs AS (SELECT DISTINCT u AS n, r FROM encoded), ts AS (SELECT DISTINCT v AS n, r FROM encoded) SELECT DISTINCT a.r AS r1, b.r AS r2, 'hh' AS kind FROM hs a JOIN hs b USING (n) UNION ALL SELECT DISTINCT a.r, b.r, 'ht' FROM hs a JOIN ts b USING (n) UNION ALL SELECT DISTINCT a.r, b.r, 'th' FROM ts a JOIN hs b USING (n) UNION ALL SELECT DISTINCT a.r, b.r, 'tt' FROM ts a JOIN ts b USING (n)")
+def relation_graph(t):
+    return analytics.relation_graph(t("encoded"))
+
+
+@query("SELECT u AS pattern_id, u, v, r FROM encoded WHERE r = 0 AND u % 3 = 0")
+def match_edges(t):
+    return analytics.match_edges(t("encoded"), t("encoded").where("r = 0 AND u % 3 = 0").select(F.col("u").alias("pattern_id"), "u", "r"))
+
+
+@query("SELECT u, v, r FROM encoded WHERE NOT (r = 0 AND u % 3 = 0)")
+def remove_easy_edges(t):
+    return analytics.remove_easy_edges(t("encoded"), t("encoded").where("r = 0 AND u % 3 = 0"), 3)
+
+
+_BATCH = "SELECT n_nationkey + 1000000 AS qid, n_nationkey + 1000000 AS u, n_regionkey + 3000000 AS v, 2 AS r FROM nation"
+
+
+@query(f"SELECT qid, id AS node FROM ({_BATCH}), (SELECT u AS id FROM encoded UNION SELECT v FROM encoded) WHERE id <> v")
+def strict_negatives(t):
+    batch = t("encoded").where("r = 2").withColumn("qid", F.col("u"))
+    return analytics.strict_negatives(t("encoded"), batch, _typed(t))
+
+
+@query()
+def negative_samples(t):
+    batch = t("encoded").where("r = 2").withColumn("qid", F.col("u"))
+    return analytics.negative_samples(t("encoded"), batch, 4_000_000, 16)
+
+
+@query(", p AS (SELECT CAST(floor(v / 1000000) AS BIGINT) AS part, u, floor(u / 1000000) <> floor(v / 1000000) AS far FROM encoded) SELECT range AS part, 1000000::BIGINT AS local_n, (SELECT count(*) FROM p WHERE p.part = range) AS local_edges, (SELECT count(DISTINCT u) FROM p WHERE p.part = range AND far) AS boundary_sources FROM range(4)")
+def partition_report(t):
+    return analytics.partition_report(t("encoded"), 4_000_000, 4)
+
+
+@query()
+def select_subgraph(t):
+    own = t("scores").withColumn("cost", F.lit(10.0) + F.length("node"))
+    links = t("scores").select("query").distinct().withColumn("source", F.lit("Supplier#000000001")).withColumn("target", F.lit("Supplier#000000002"))
+    return analytics.select_subgraph(own, links, 100.0).where("selected").select("query", "node")
+
+
+# --- metrics --------------------------------------------------------------------------------------------------------
+
+_TOK = f"string_split({_ANSWER.format('{0}')}, ' ')"
+_PAIRS = f"SELECT id, {_ANSWER.format('response')} AS a, {_ANSWER.format('gold')} AS b, {_ANSWER.format('alias')} AS c FROM answers"
+
+
+def _f1_sql(a: str, b: str) -> str:
+    toks = lambda x: f"list_filter(string_split({x}, ' '), lambda t: t <> '')"
+    same = f"coalesce(list_sum(list_transform(list_distinct({toks(a)}), lambda t: least(len(list_filter({toks(a)}, lambda x: x = t)), len(list_filter({toks(b)}, lambda x: x = t))))), 0)"
+    return f"{{'s': {same}::DOUBLE, 'a': len({toks(a)})::DOUBLE, 'b': len({toks(b)})::DOUBLE}}"
+
+
+_M = "CASE WHEN m.s = 0 THEN 0 ELSE 2 * m.s / (m.a + m.b) END AS f1, CASE WHEN m.s = 0 THEN 0 ELSE m.s / m.a END AS p, CASE WHEN m.s = 0 THEN 0 ELSE m.s / m.b END AS r"
+
+
+@query(f"SELECT id, CAST(a = b AS INT) AS em, round(f1, 4) AS f1, round(p, 4) AS p, round(r, 4) AS r FROM (SELECT *, {_M} FROM (SELECT *, {_f1_sql('a', 'b')} AS m FROM ({_PAIRS})))")
+def exact_match_token_f1(t):
+    got = t("answers").select("id", metrics.exact_match("response", "gold").alias("em"), metrics.token_f1("response", "gold").alias("m"))
+    return got.select("id", "em", *[F.round(f"m.{c}", 4).alias(c) for c in ("f1", "p", "r")])
+
+
+@query(f"SELECT id, round(f1, 4) AS f1 FROM (SELECT *, {_M} FROM (SELECT *, {_f1_sql('a', 'c')} AS m FROM ({_PAIRS})))")
+def token_f1_lenient(t):
+    return t("answers").select("id", F.round(metrics.token_f1_lenient("response", "alias")["f1"], 4).alias("f1"))
+
+
+def _rounded(df):
+    return df.select(*[_r(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
+_EVAL = "round(avg(em), 4) AS em, round(avg(f1), 4) AS f1, round(avg(p), 4) AS precision, round(avg(r), 4) AS recall"
+
+
+@query(f"SELECT {_EVAL} FROM (SELECT CAST(a = b AS INT) AS em, {_M} FROM (SELECT *, {_f1_sql('a', 'b')} AS m FROM ({_PAIRS})))")
+def eval_single(t):
+    return _rounded(metrics.eval_single(t("answers").select(F.col("response").alias("pred"), "gold")))
+
+
+_BOTH = f"(SELECT id, pos, CAST(a = g AS INT) AS em, {_M} FROM (SELECT *, {_f1_sql('a', 'g')} AS m FROM (SELECT id, a, b AS g, 0 AS pos FROM ({_PAIRS}) UNION ALL SELECT id, a, c, 1 FROM ({_PAIRS}))))"
+
+
+def _aliased(t):
+    return t("answers").select("id", F.col("response").alias("pred"), "gold", F.array("alias").alias("aliases"))
+
+
+@query(f"SELECT {_EVAL} FROM (SELECT id, max(em) AS em, max(f1) AS f1, max(p) AS p, max(r) AS r FROM {_BOTH} GROUP BY id)")
+def eval_max_each(t):
+    return _rounded(metrics.eval_max_each(_aliased(t)))
+
+
+@query(f"SELECT {_EVAL} FROM (SELECT id, max(em) AS em, max(f1) AS f1, arg_max(p, (f1, -pos)) AS p, arg_max(r, (f1, -pos)) AS r FROM {_BOTH} GROUP BY id)")
+def eval_best_f1(t):
+    return _rounded(metrics.eval_best_f1(_aliased(t)))
+
+
+_RANKED = "(SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS rank FROM scores)"
+
+
+@query("SELECT " + ", ".join(f'round(avg(k{k}), 4) AS "recall@{k}"' for k in (1, 2, 5, 10)) + " FROM (SELECT query, " + ", ".join(f"avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END) AS k{k}" for k in (1, 2, 5, 10)) + f" FROM targets JOIN {_RANKED} USING (query, node) GROUP BY query)")
+def retrieval_recall(t):
+    said = t("scores").select(F.col("query").alias("id"), F.col("node").alias("name"), "score", F.col("node").alias("place"))
+    return _rounded(metrics.retrieval_recall(said, t("targets").select(F.col("query").alias("id"), F.col("node").alias("name"))))
+
+
+@query("SELECT round(avg(mrr), 4) AS mrr, " + ", ".join(f'round(avg(h{k}), 4) AS "hits@{k}", round(avg(r{k}), 4) AS "recall@{k}"' for k in (1, 5, 10)) + " FROM (SELECT query, avg(1.0::DOUBLE / f) AS mrr, " + ", ".join(f"avg((f <= {k})::INT) AS h{k}, avg((rank <= {k})::INT) AS r{k}" for k in (1, 5, 10)) + f" FROM (SELECT *, rank - row_number() OVER (PARTITION BY query ORDER BY rank) + 1 AS f FROM targets JOIN {_RANKED} USING (query, node)) GROUP BY query)")
+def ranking_metrics(t):
+    return _rounded(metrics.ranking_metrics(t("scores"), t("targets")))
+
+
+@query("SELECT round(avg(abs(coalesce(said, 0) - n) / n), 4) AS mape FROM (SELECT query, count(*) AS n FROM targets GROUP BY query) LEFT JOIN (SELECT query, sum(CASE WHEN p > 0.5 THEN p ELSE 0 END) AS said FROM (SELECT query, 1 / (1 + exp(-(score - 0.8))) AS p FROM scores) GROUP BY query) USING (query)")
+def cardinality_error(t):
+    return _rounded(metrics.cardinality_error(t("scores").withColumn("score", F.col("score") - 0.8), t("targets")))
+
+
+def _lp(t):
+    own = t("scores").select(F.col("query").alias("qid"), F.when(F.col("query") % 2 == 0, "tail").otherwise("head").alias("side"), "node", "score")
+    true = t("targets").select(F.col("query").alias("qid"), F.when(F.col("query") % 2 == 0, "tail").otherwise("head").alias("side"), "node")
+    first = true.groupBy("qid", "side").agg(F.min("node").alias("node"))
+    return metrics.link_prediction_ranks(own, first, true)
+
+
+_LP = ", tr AS (SELECT query, min(node) AS node FROM targets GROUP BY query), lp AS (SELECT query AS qid, CASE WHEN query % 2 = 0 THEN 'tail' ELSE 'head' END AS side, 1 + count(*) FILTER (s.score >= t.score) AS rank, count(*) AS num_negative FROM (SELECT query, score FROM tr JOIN scores USING (query, node)) t JOIN (SELECT * FROM scores ANTI JOIN targets USING (query, node)) s USING (query) GROUP BY query)"
+
+
+@query(_LP + " SELECT * FROM lp")
+def link_prediction_ranks(t):
+    return _lp(t)
+
+
+@query(_LP + ", prt AS (SELECT *, 'both' AS part FROM lp UNION ALL SELECT *, 'tail' FROM lp WHERE side = 'tail') SELECT part AS side, round(avg(rank), 4) AS mr, round(avg(1.0::DOUBLE / rank), 4) AS mrr, round(avg((rank <= 1)::INT), 4) AS \"hits@1\", round(avg((rank <= 3)::INT), 4) AS \"hits@3\", round(avg((rank <= 10)::INT), 4) AS \"hits@10\", round(avg((SELECT sum(factorial(50) / (factorial(i) * factorial(50 - i)) * pow((rank - 1)::DOUBLE / num_negative, i) * pow(1 - (rank - 1)::DOUBLE / num_negative, 50 - i)) FROM range(10) q(i))), 4) AS \"hits@10_50\" FROM prt GROUP BY part".replace("factorial(50) / (factorial(i) * factorial(50 - i))", "CASE i " + " ".join(f"WHEN {i} THEN {__import__('math').comb(50, i)}::DOUBLE" for i in range(10)) + " END"))
+def link_prediction_metrics(t):
+    return _rounded(metrics.link_prediction_metrics(_lp(t)))
+
+
+@query("SELECT part, round(avg(value), 4) AS value FROM (SELECT event_type, avg(value) AS value FROM events GROUP BY event_type), LATERAL (SELECT unnest(['all', CASE WHEN contains(event_type, 'n') THEN 'negation' ELSE 'epfo' END]) AS part) GROUP BY part")
+def metrics_by_query_type(t):
+    return _rounded(metrics.metrics_by_query_type(t("events").select(F.col("event_type").alias("type"), "value")))
+
+
+@query(f"SELECT a.query, round(avg((a.rank > b.rank)::INT), 4) AS auc FROM (SELECT *, right(node, 1)::INT % 3 = 0 AS hard FROM {_RANKED}) a JOIN (SELECT *, right(node, 1)::INT % 3 = 0 AS hard FROM {_RANKED}) b ON a.query = b.query AND a.hard AND NOT b.hard GROUP BY a.query")
+def rank_auc(t):
+    from pyspark.sql import Window
+
+    ranked = t("scores").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node")))
+    return _rounded(metrics.rank_auc(ranked.select("query", "rank", (F.substring("node", -1, 1).cast("int") % 3 == 0).alias("is_hard"))))
+
+
+@query("SELECT c_mktsegment, round(corr(rx, ry), 4) AS rho FROM (SELECT c_mktsegment, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) - 1) / 2 AS rx, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_mktsegment, c_acctbal) - 1) / 2 AS ry FROM customer) GROUP BY ALL")
+def spearman(t):
+    return _rounded(metrics.spearman(t("customer"), "c_nationkey", "c_acctbal", "c_mktsegment"))
+
+
+_AVG = "SELECT CAST(user_id % 5 AS STRING) AS dataset, avg(value) AS value FROM events WHERE event_type = 'click' GROUP BY 1"
+
+
+@query(f"SELECT dataset, round(value, 4) AS value FROM ({_AVG}) UNION ALL SELECT 'average', round(avg(value), 4) FROM ({_AVG})")
+def average_over_datasets(t):
+    return _rounded(metrics.average_over_datasets(t("events").select((F.col("user_id") % 5).cast("string").alias("dataset"), F.col("event_type").alias("metric"), "value"), "click"))
+
+
+# --- models ---------------------------------------------------------------------------------------------------------
+
+@query()
+def extract_documents(t):
+    docs = t("documents").select(F.col("source").alias("title"), F.col("text").alias("passage"))
+    return models.extract_documents(docs, models.toy_extractor).select("title", F.size("extracted_triples").alias("n"))
+
+
+@query()
+def extract_question_entities(t):
+    asked = t("conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("question"))
+    return models.extract_question_entities(asked, lambda s: models.toy_extractor(s).map(lambda x: x[0])).select("id", F.size("entities").alias("n"))
+
+
+@query("SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'e', '')))::DOUBLE AS e FROM documents WHERE lang = 'en'")
+def embed_texts(t):
+    return models.embed_texts(t("documents").where("lang = 'en'"), models.toy_embedder).select("doc_id", F.get("vec", F.lit(4)).alias("e"))
+
+
+@query("SELECT item_id AS query, 'Answer: \"' || substr(text, 1, 20) || '\"' AS response FROM benchmark WHERE text NOT LIKE '%é%'")
+def generate_answers(t):
+    return models.generate_answers(t("benchmark").where("text NOT LIKE '%é%'").select(F.col("item_id").alias("query"), F.col("text").alias("context")), lambda s: s.map(lambda c: f'Answer: "{c[:20]}"'))
+
+
+# --- increments -----------------------------------------------------------------------------------------------------
+
+@query("SELECT source, relation, target, count(*) AS n FROM told GROUP BY ALL")
+def increment_edges(t):
+    told = t("told")
+    store = increment.merge_counts(told.sparkSession.createDataFrame([], increment.COUNTS), told.where("source_id < 3"))
+    return increment.merge_counts(store, told.where("source_id >= 3"))
+
+
+def _seen(t):
+    return t("named").select(F.col("c_name").alias("name"), "abn", F.lit("2024-01-01").alias("seen"), F.concat(F.lit("doc "), F.col("c_custkey").cast("string")).alias("doc"))
+
+
+@query("SELECT 'abn:' || abn AS canonical_id, string_agg(c_name, '|' ORDER BY c_name) AS aliases, min(c_name) AS canonical_name, count(*) AS docs FROM named GROUP BY abn")
+def entity_store(t):
+    half = _seen(t).where("substring(name, -1, 1) < '5'")
+    rest = _seen(t).where("substring(name, -1, 1) >= '5'")
+    got = increment.entity_store(rest, increment.entity_store(half))
+    return got.select("canonical_id", F.array_join("aliases", "|").alias("aliases"), "canonical_name", F.size("source_docs").cast("long").alias("docs"))
+
+
+@query("SELECT c_name AS mention, 'abn:' || n.abn AS canonical_id, NOT n.abn IN (SELECT abn FROM named WHERE c_custkey % 2 = 0) AS is_new FROM named n")
+def resolve_increment(t):
+    store = increment.entity_store(t("named").where("c_custkey % 2 = 0").select(F.col("c_name").alias("name"), "abn", F.lit("x").alias("seen"), F.lit("d").alias("doc")))
+    return increment.resolve_increment(t("named").select(F.col("c_name").alias("mention"), "abn"), store)
+
+
+@query()
+def corroboration(t):
+    edges = t("documents").select(F.lit("a").alias("source"), F.lit("r").alias("relation"), F.col("source").alias("target"), F.col("doc_id").alias("doc"))
+    return increment.corroboration(edges, t("documents").select(F.col("doc_id").alias("doc"), "text"))
+
+
+@query(f"SELECT item_id, contains({NORM.format('text')}, {NORM.format('split_part(text, chr(32), 2)')}) AND contains({NORM.format('text')}, {NORM.format('text || chr(120)')}) AS bad, contains({NORM.format('text')}, {NORM.format('split_part(text, chr(32), 2)')}) AS good FROM benchmark")
+def quote_anchor(t):
+    second = F.split_part("text", F.lit(" "), F.lit(2))
+    return t("benchmark").select("item_id", increment.quote_anchor(second, F.concat("text", F.lit("x")), "text").alias("bad"), increment.quote_anchor(second, second, "text").alias("good"))
+
+
+@query("SELECT c_name AS source, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 <> 0 THEN 'released' ELSE 'unverified' END AS status FROM customer")
+def release_rule(t):
+    own = t("customer").select(F.col("c_name").alias("source"), F.lit("in").alias("relation"), F.col("c_mktsegment").alias("target"), F.concat_ws(" is in ", "c_name", "c_mktsegment").alias("span"), "c_custkey")
+    known = t("customer").where("c_custkey % 2 = 0").select(F.col("c_name").alias("name"))
+    told = own.select("source", "relation", "target", (F.col("c_custkey") % 3 + 1).alias("sources")).withColumn("sources", F.when(F.col("sources") > 1, 2).otherwise(1))
+    return increment.release_rule(own.drop("c_custkey"), known, told).select("source", "status")
+
+
+@query("SELECT source, relation, target, string_agg(DISTINCT CAST(source_id AS STRING), '|' ORDER BY CAST(source_id AS STRING)) AS sources FROM told WHERE source_id <> 3 GROUP BY ALL")
+def retract_source(t):
+    edges = t("told").groupBy("source", "relation", "target").agg(F.collect_set("source_id").alias("sources"))
+    gone = t("told").where("source_id = 3").select("source_id").distinct()
+    return increment.retract_source(edges, gone).select("source", "relation", "target", F.array_join("sources", "|").alias("sources"))
+
+
+@query(f"SELECT count(*) AS identifiers, count(*) FILTER (n > 1) AS duplicated, round(count(*) FILTER (n > 1)::DOUBLE / count(*), 4) AS rate FROM (SELECT abn, count(DISTINCT source) AS n FROM (SELECT {_ABN.format('target')} AS abn, source FROM edges WHERE lower(trim(relation)) IN ('has abn', 'abn')) WHERE abn IS NOT NULL GROUP BY abn)")
+def duplicate_identifier_rate(t):
+    return _rounded(increment.duplicate_identifier_rate(t("edges")))
+
+
+@query(", w AS (SELECT min(ts) AS a FROM events) SELECT source, relation, target, count(*) AS n FROM told, w WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' GROUP BY ALL")
+def edges_in_window(t):
+    return increment.edges_in_window(t("told"), "2024-01-05", "2024-01-20").groupBy("source", "relation", "target").agg(F.count("*").alias("n"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture edges → canonical names → pruned synonyms → edges per relation."""
+    t = lambda name: fixtures.table(spark, sf_dir, name)
+    g = resolve.canonicalise_graph(_graph(t), resolve.canonical_map(t("edges")))
+    return resolve.relation_counts(resolve.prune_equivalent(g.edges, resolve.literal_nodes(g.edges)))
+
+
+query(f", {_MAP}, {_MOVED}, lit AS ({_LITERALS.replace('FROM edges', 'FROM kept')}), pruned AS (SELECT relation FROM kept WHERE relation <> 'equivalent' UNION ALL SELECT relation FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY shard_no, row_no, target) AS k FROM kept WHERE relation = 'equivalent' AND source NOT IN (SELECT name FROM lit) AND target NOT IN (SELECT name FROM lit)) WHERE k <= 10) SELECT relation, count(*) AS n FROM pruned GROUP BY relation ORDER BY n DESC, relation LIMIT 25", name="canonical_pruned_counts")(
+    lambda t: resolve.relation_counts(resolve.prune_equivalent((g := resolve.canonicalise_graph(_graph(t), resolve.canonical_map(t("edges")))).edges, resolve.literal_nodes(g.edges)))
+)
