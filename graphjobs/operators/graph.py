@@ -5,6 +5,8 @@ Order is data: nearly every rule keeps the first or the last row in file order,
 
 from __future__ import annotations
 
+import functools
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,3 +43,16 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
 
 def ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("source", "target")).alias("name"))
+
+
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-checkpoints-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(_own_dir())
+    return df.checkpoint()

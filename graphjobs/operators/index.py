@@ -8,14 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import order_key, top
+from .graph import cut, order_key, top
 from .kg import MENTIONED
 
 
-def _placed(df: DataFrame, order: Column, name: str) -> DataFrame:
+def placed(df: DataFrame, order: Column, name: str) -> DataFrame:
     """df with its global place by an order, from 0: rows are dealt by range and each partition adds those before it."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = df.withColumn("_o", order).repartitionByRange(n, "_o").sortWithinPartitions("_o").withColumn("_at", F.monotonically_increasing_id())
+    laid = cut(laid)  # read twice below: another run could deal other ranges
     laid = laid.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.expr("_at & ((1L << 33) - 1)"))
     sizes = laid.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
@@ -25,14 +26,14 @@ def _placed(df: DataFrame, order: Column, name: str) -> DataFrame:
 
 def assign_ids(nodes: DataFrame) -> DataFrame:
     """nodes with id in row order and type_id by a type's first appearance."""
-    placed = _placed(nodes, F.struct(order_key(nodes), "name"), "id")
-    types = placed.groupBy("type").agg(F.min("id").alias("first"))
+    own = placed(nodes, F.struct(order_key(nodes), "name"), "id")
+    types = own.groupBy("type").agg(F.min("id").alias("first"))
     types = types.select("type", (F.row_number().over(Window.orderBy("first")) - 1).alias("type_id"))  # a row a type
-    return placed.join(F.broadcast(types), "type")
+    return own.join(F.broadcast(types), "type")
 
 
 def relation_ids(relations: DataFrame) -> DataFrame:
-    return _placed(relations, F.struct(order_key(relations), "name"), "id")
+    return placed(relations, F.struct(order_key(relations), "name"), "id")
 
 
 def encode_edges(edges: DataFrame, node_ids: DataFrame, rel_ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -31,7 +31,7 @@ def _f1(same, a, b) -> Column:
     p, r = same / F.greatest(a, F.lit(1)), same / F.greatest(b, F.lit(1))
     zero = F.lit(0.0)
     one = lambda f, p_, r_: F.struct(f.alias("f1"), p_.alias("p"), r_.alias("r"))
-    return F.when(same == 0, one(zero, zero, zero)).otherwise(one(2 * p * r / (p + r), p, r))
+    return F.when(same == 0, one(zero, zero, zero)).otherwise(one(2.0 * same / (a + b), p, r))
 
 
 def token_f1(pred, gold) -> Column:

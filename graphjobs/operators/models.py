@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import normalise_phrase
 from .corpus import pending_passages
@@ -56,7 +57,7 @@ def extract_question_entities(samples: DataFrame, fn: Model, done: DataFrame | N
 
 def embed_texts(df: DataFrame, fn: Model, is_query: bool = False, instruct: str = "") -> DataFrame:
     """df with vec of its text; queries carry the instruction before them."""
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series(_safely(fn, texts))

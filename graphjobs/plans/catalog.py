@@ -122,7 +122,7 @@ def with_title(t):
     return t("documents").select("doc_id", tx.with_title("source", "text").alias("passage"))
 
 
-@query("SELECT event_id, props AS block, event_type || '|' || 'user ' || user_id AS entities, 'a;b;' || event_type AS triple FROM events")
+@query("SELECT event_id, props AS block, least(event_type, 'user ' || user_id) || '|' || greatest(event_type, 'user ' || user_id) AS entities, 'a;b;' || event_type AS triple FROM events")
 def extract_json_parse_responses(t):
     own = t("events")
     said = F.concat(F.lit("Sure: "), "props", F.lit(" done"))
@@ -131,7 +131,9 @@ def extract_json_parse_responses(t):
     return own.select("event_id", tx.extract_json(said).alias("block"), F.array_join(tx.parse_entities_response(named), "|").alias("entities"), F.array_join(F.get(tx.parse_triples_response(triples), F.lit(0)), ";").alias("triple"))
 
 
-_ANSWER = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+_WORD = "[^\\p{{L}}\\p{{M}}\\p{{N}}_]"
+_ARTICLE = f"(^|{_WORD})(?:a|an|the)($|{_WORD})"
+_ANSWER = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '" + _ARTICLE + "', '\\1 \\2', 'g'), '" + _ARTICLE + "', '\\1 \\2', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 
 
 @query(f"SELECT id, {_ANSWER.format('response')} AS own, CASE WHEN contains(response, 'Answer: ') THEN regexp_replace(split_part(response, 'Answer:', 2), '^\\s+|\\s+$', '', 'g') ELSE response END AS answer FROM answers")
@@ -175,7 +177,7 @@ def shard_ladder(t):
 
 @query("SELECT title, max(idx) AS idx, shard FROM (SELECT source AS title, row_number() OVER (ORDER BY doc_id) - 1 AS idx, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / ceil(n / ceil(n / 700.0))) AS INT) AS shard FROM documents, (SELECT count(*) AS n FROM documents)) GROUP BY title, shard")
 def shard_balanced(t):
-    placed = index._placed(t("documents").select(F.col("source").alias("title"), "doc_id"), F.col("doc_id"), "idx")
+    placed = index.placed(t("documents").select(F.col("source").alias("title"), "doc_id"), F.col("doc_id"), "idx")
     return corpus.shard_balanced(placed.select("title", "idx"))
 
 
@@ -441,9 +443,10 @@ def fact_gate(t):
     return got.select("doc_id", _r("abn_recall"), _r("abn_precision"), _r("reward_score"), F.size("invalid_abns").alias("invalid"), "is_verified")
 
 
-@query(", rw AS (SELECT group_id, id, greatest(0.0::DOUBLE, 0.5 * gate + 0.5 * CAST(answer_matched AS INT) - 0.05 * greatest(0, num_hops - 1) - 0.02 * greatest(0, max_node_degree - 10)) AS reward FROM trajectories) SELECT group_id, id, round(reward, 4) AS reward, round(CASE WHEN count(*) OVER w > 1 AND stddev_pop(reward) OVER w >= 1e-6 THEN (reward - avg(reward) OVER w) / stddev_pop(reward) OVER w ELSE 0 END, 4) AS advantage FROM rw WINDOW w AS (PARTITION BY group_id)")
+@query(", rw AS (SELECT group_id, id, greatest(0.0::DOUBLE, 0.5 * gate + 0.5 * CAST(answer_matched AS INT) - 0.05 * greatest(0, num_hops - 1) - 0.02 * greatest(0, max_node_degree - 10)) AS reward FROM trajectories) SELECT group_id, id, round(reward, 4) AS reward, round(CASE WHEN count(*) OVER w > 1 AND stddev_pop(reward) OVER w >= 1e-6 THEN (reward - avg(reward) OVER w) / stddev_pop(reward) OVER w ELSE 0 END, 4) + 0.0 AS advantage FROM rw WINDOW w AS (PARTITION BY group_id)")
 def grpo_advantages(t):
-    return verify.grpo_advantages(t("trajectories")).select("group_id", "id", _r("reward"), _r("advantage"))
+    got = verify.grpo_advantages(t("trajectories"))
+    return got.select("group_id", "id", _r("reward"), (F.round("advantage", 4) + 0.0).alias("advantage"))  # no negative zero
 
 
 @query("SELECT count(*) AS n, count(DISTINCT gold_doc) AS docs FROM (SELECT d.title AS gold_doc, unnest([IndustrySectors <> '', AnnualRevenue <> '', PeriodStart <> '', ReportingEntities LIKE '%,%']) AS held FROM docs d JOIN register r ON regexp_extract(d.title, '^Modern slavery statement (\\S+):', 1) = r.IDX WHERE ReportingEntities <> '') WHERE held")
@@ -735,7 +738,6 @@ def select_subgraph(t):
 
 # --- metrics --------------------------------------------------------------------------------------------------------
 
-_TOK = f"string_split({_ANSWER.format('{0}')}, ' ')"
 _PAIRS = f"SELECT id, {_ANSWER.format('response')} AS a, {_ANSWER.format('gold')} AS b, {_ANSWER.format('alias')} AS c FROM answers"
 
 
