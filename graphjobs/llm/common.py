@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Texts are long, so few of them make an Arrow batch; a Python worker holds one batch at a time.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 
 @functools.cache

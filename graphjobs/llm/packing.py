@@ -15,6 +15,7 @@ Defined cases: a null or empty text has the end id alone. Repeated rows are pack
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import defaultdict
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import columns, small_batches, stage
 
 SIZE, END, SLACK = 4096, 2, 64
-#: Ids of so many text parts are remembered by a task; longer parts aren't.
-CACHE, LONGEST = 200_000, 48
+#: Ids of about so many text parts are remembered by a worker; longer parts aren't.
+CACHE, LONGEST = 500_000, 48
 
 
 def _powers(n: int) -> list[int]:
@@ -35,33 +36,41 @@ def _powers(n: int) -> list[int]:
 
 
 class Encoder:
-    """Ids of a text, part by part between spaces and line ends, which the tokenizer drops and never joins across."""
+    """Ids of a text, part by part between spaces and line ends, which the tokenizer drops and never joins across.
 
-    def __init__(self, tokenizer: str, end: int):
+    A worker keeps one encoder for its tasks, so frequent parts are encoded once."""
+
+    def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
-        self.own, self.held, self.end = Tokenizer.from_str(tokenizer), {}, np.array([end], "<u4").tobytes()
+        self.own, self.held = Tokenizer.from_str(tokenizer), {}
+
+    def _new(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part, encoded side by side."""
+        got = self.own.encode(parts, is_pretokenized=True, add_special_tokens=False)
+        words = got.word_ids
+        if None in words:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch(parts, add_special_tokens=False)]
+        ends = 4 * np.bincount(np.array(words, np.int64), minlength=len(parts)).cumsum()
+        data, starts = np.array(got.ids, "<u4").tobytes(), [0, *ends[:-1].tolist()]
+        return [data[s:e] for s, e in zip(starts, ends.tolist(), strict=True)]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
         held = self.held
-        if len(held) > CACHE:
-            held.clear()
         new = list({p for own in parts for p in own if p not in held})
         found = {}
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
-            for p, e in zip(some, self.own.encode_batch(some, add_special_tokens=False), strict=True):
-                found[p] = np.array(e.ids, "<u4").tobytes()
-        held.update((p, i) for p, i in found.items() if len(p) <= LONGEST)
-        out = []
-        for own in parts:
-            try:
-                ids = list(map(held.__getitem__, own))
-            except KeyError:
-                ids = [held[p] if p in held else found[p] for p in own]
-            out.append(b"".join(ids) + self.end)
-        return out
+            found.update(zip(some, self._new(some), strict=True))
+        if len(held) < CACHE:  # what comes early is what comes often
+            held.update((p, i) for p, i in found.items() if len(p) <= LONGEST)
+        return [b"".join([held[p] if p in held else found[p] for p in own]) for own in parts]
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(tokenizer: str) -> Encoder:
+    return Encoder(tokenizer)
 
 
 def _pieces(docs: DataFrame, tokenizer: str, size: int, end: int) -> DataFrame:
@@ -74,10 +83,11 @@ def _pieces(docs: DataFrame, tokenizer: str, size: int, end: int) -> DataFrame:
     def run(pdfs):
         from pyspark import TaskContext
 
-        encoder, part, seen, row = Encoder(model.value, end), TaskContext.get().partitionId(), defaultdict(int), 0
+        encoder, last, part, seen, row = _encoder(model.value), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId(), defaultdict(int), 0
         for pdf in pdfs:
             rows = []
             for i, ids in zip(pdf["doc_id"], encoder.ids(pdf["text"].tolist()), strict=True):
+                ids += last
                 n = len(ids) // 4
                 full = [zlib.crc32(ids[4 * s : 4 * (s + size)]) for s in range(0, n - size + 1, size)]
                 rest, cuts, s = n % size, [], n - n % size

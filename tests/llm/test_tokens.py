@@ -15,11 +15,11 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def greedy(word, pieces):
-    n = 0
+    n = at = 0
     longest = max(map(len, pieces))
-    while word:
-        size = next(s for s in range(min(longest, len(word)), 0, -1) if word[:s] in pieces)
-        word, n = word[size:], n + 1
+    while at < len(word):
+        at += next(s for s in range(min(longest, len(word) - at), 0, -1) if word[at : at + s] in pieces)
+        n += 1
     return n
 
 
