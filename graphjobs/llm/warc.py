@@ -2,8 +2,8 @@
 
 Headers (id, digest, length) are shuffled by payload digest; of equal payloads of at least ``least`` bytes the one with the
 largest id is written as a response, the others as revisits without payload that name it. Only the headers of repeated
-payloads join the pages. Each task writes one archive of records with fresh headers; an archive ends up about ``FILE_BYTES``
-long, so that a task reads it whole. Reading gives back each record, checks digests against payloads, and joins revisits to
+payloads join the pages. Each task writes one archive of records with fresh headers; an archive holds at most ``FILE_RECORDS``
+records, and a task reads it whole. Reading gives back each record, checks digests against payloads, and joins revisits to
 the responses by digest.
 
 Defined cases: a null html is an empty payload. A null url is an empty one; control characters in it are percent-encoded. Of
@@ -24,8 +24,8 @@ from .common import columns, new_folder, stage
 
 #: Payloads shorter than this are always written.
 LEAST = 1000
-#: Bytes of records in an archive, and records.
-FILE_BYTES, FILE_RECORDS = 32 << 20, 4000
+#: Records in an archive at most.
+FILE_RECORDS = 4000
 _END = "\r\n\r\n"
 
 
