@@ -4,7 +4,8 @@ Vectors that are alike bit for bit make one class. A class vector is rotated (th
 transform) and hashed to the nearest signed axis; ``hashes`` such values name its bucket in each of ``tables`` tables.
 Multiprobe: it also goes to the buckets where its least certain value is replaced by the next nearest axis. The vectors of
 a bucket are compared by a matrix product in double precision, and pairs that meet in several buckets are counted in the
-least of them, which both sides work out from their hashes. A task gives back link counts and a forest, not pairs.
+least of them, which both sides tell from the hashes they carry. A task reads its buckets one after the other and gives back
+link counts and a forest, not pairs.
 
 A bucket over ``BLOCK`` vectors is cut into blocks and each two blocks meet in a group of their own, so no task grows with
 the bucket and nothing is dropped. More values are combined as the number of vectors grows, so buckets stay small where
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import afresh, columns, connected_components, local_roots, stage
 
 COSINE, TABLES, PROBES, BLOCK = 0.95, 8, 3, 2048
+#: Pairs that a task holds before it counts them.
+PAIRS = 200_000
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -64,22 +67,44 @@ def buckets(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int = 5)
     return out
 
 
-def _linked(x: np.ndarray, codes: np.ndarray, left: np.ndarray, right: np.ndarray, table: int, bucket: int, cosine: float):
-    """Index pairs between left and right with the cosine, of which this bucket is the least that they share."""
-    for at in range(0, len(left), 512):
-        rows = left[at : at + 512]
-        i, j = np.nonzero(x[rows] @ x[right].T >= cosine)
-        i, j = rows[i], right[j]
-        keep = i < j if left is right else np.ones(len(i), bool)
-        i, j = i[keep], j[keep]
-        mine = np.ones(len(i), bool)
-        for t in range(table + 1):
-            a, b = codes[i, t], codes[j, t]
-            shared = a[:, :, None] == b[:, None, :]
-            if t == table:
-                shared &= (a < bucket)[:, :, None]
-            mine &= ~shared.any(axis=(1, 2))
-        yield i[mine], j[mine]
+class _Links:
+    """Link counts and a forest over the rows of some whole buckets; pairs are forgotten once counted."""
+
+    def __init__(self, x: np.ndarray, codes: np.ndarray, sizes: np.ndarray, cosine: float):
+        self.x, self.codes, self.sizes, self.cosine = x, codes, sizes, cosine
+        self.links, self.root = np.zeros(len(x), np.int64), np.arange(len(x))
+        self.pairs, self.held = [], 0
+
+    def compare(self, left: np.ndarray, right: np.ndarray, same: bool, table: int, bucket: int) -> None:
+        """Every left row with every right one; with the later ones of its own block where both sides are ``same``."""
+        for at in range(0, len(left), 512):
+            rows = left[at : at + 512]
+            i, j = np.nonzero(self.x[rows] @ self.x[right].T >= self.cosine)
+            i, j = rows[i], right[j]
+            if same:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                self.pairs.append((i, j, np.full(len(i), table), np.full(len(i), bucket)))
+                self.held += len(i)
+            if self.held > PAIRS:
+                self.count()
+
+    def count(self) -> None:
+        """Count the pairs whose bucket is the least that both rows are in."""
+        if not self.pairs:
+            return
+        i, j, table, bucket = (np.concatenate(p) for p in zip(*self.pairs, strict=True))
+        self.pairs, self.held = [], 0
+        for t in range(int(table.max()) + 1):
+            a, b = self.codes[i, t], self.codes[j, t]
+            met = a[:, :, None] == b[:, None, :]
+            met &= ((t < table)[:, None] | ((t == table)[:, None] & (a < bucket[:, None])))[:, :, None]
+            mine = ~met.any(axis=(1, 2))
+            i, j, table, bucket = i[mine], j[mine], table[mine], bucket[mine]
+        np.add.at(self.links, i, self.sizes[j])
+        np.add.at(self.links, j, self.sizes[i])
+        at = np.flatnonzero(self.root != np.arange(len(self.root)))
+        self.root = local_roots(np.concatenate((i, at)), np.concatenate((j, self.root[at])), len(self.root))
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -104,13 +129,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
 
     def hashed(pdfs):
         for pdf in pdfs:
-            if not len(pdf):
-                continue
-            codes = buckets(unit(pdf), tables, hashes, probes)
-            reps = tables * probes
-            yield pd.DataFrame({"key": np.repeat(pdf["key"].to_numpy(), reps), "t": np.tile(np.repeat(np.arange(tables, dtype=np.int32), probes), len(pdf)), "bucket": codes.ravel()})
+            if len(pdf):
+                codes = buckets(unit(pdf), tables, hashes, probes)
+                yield pdf.assign(codes=list(codes.reshape(len(pdf), -1)))
 
-    met = stage(classes.select("key", "v").mapInPandas(hashed, "key long, t int, bucket long"), "buckets")
+    coded = stage(classes.select("key", "v", "n").mapInPandas(hashed, "key long, v array<double>, n long, codes array<long>"), "buckets")
+    met = coded.select("key", F.posexplode("codes").alias("slot", "bucket")).select("key", F.expr(f"slot div {probes}").cast("int").alias("t"), "bucket")
     # of the buckets with more than one vector: how many blocks each has
     full = met.groupBy("t", "bucket").agg(F.count("*").alias("held")).where("held > 1").select("t", "bucket", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
     within = met.join(full.select("t", afresh(F.col("bucket")).alias("bucket"), "blocks"), ["t", "bucket"])
@@ -118,28 +142,41 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = within.withColumn("own", block).withColumn("other", other)
     dealt = dealt.select("t", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key")
-    dealt = dealt.join(classes.select("key", "v", "n"), "key")
-
-    def compare(key, pdf):
-        t, bucket, lo, hi = key
-        pdf = pdf.drop_duplicates("key")
-        ids, sizes, side = pdf["key"].to_numpy().astype(np.int64), pdf["n"].to_numpy().astype(np.int64), pdf["own"].to_numpy()
-        if len(ids) < 2:
-            return pd.DataFrame({"key": [], "links": [], "root": []})
-        x = unit(pdf)
-        codes = buckets(x, tables, hashes, probes)
-        left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-        links, ends = np.zeros(len(ids), np.int64), []
-        for i, j in _linked(x, codes, left, left if lo == hi else right, t, bucket, cosine):
-            np.add.at(links, i, sizes[j])
-            np.add.at(links, j, sizes[i])
-            ends.append(np.stack((i, j)))
-        a, b = np.concatenate(ends, axis=1) if ends else np.zeros((2, 0), np.int64)
-        root = local_roots(a, b, len(ids))
-        at = np.flatnonzero(links)
-        return pd.DataFrame({"key": ids[at], "links": links[at], "root": ids[root[at]]})
-
-    found = stage(dealt.groupBy("t", "bucket", "lo", "hi").applyInPandas(compare, "key long, links long, root long"), "links")
+    group = ["t", "bucket", "lo", "hi"]
+    # each group, of two blocks at most, lies in one partition and its rows follow one another
+    laid = dealt.join(coded, "key").repartition(*group).sortWithinPartitions(*group)
+
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links within the groups that pdf holds whole."""
+        codes = np.stack(pdf["codes"].to_numpy()).reshape(len(pdf), tables, probes)
+        found = _Links(unit(pdf), codes, pdf["n"].to_numpy().astype(np.int64), cosine)
+        names, side = pdf[group].to_numpy().astype(np.int64), pdf["own"].to_numpy()
+        ends = np.flatnonzero(np.append((names[1:] != names[:-1]).any(axis=1), True)) + 1
+        for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            t, bucket, lo, hi = names[s].tolist()
+            if e - s > 1:
+                rows = np.arange(s, e)
+                left = rows if lo == hi else rows[side[s:e] == lo]
+                found.compare(left, rows if lo == hi else rows[side[s:e] == hi], lo == hi, t, bucket)
+        found.count()
+        ids, at = pdf["key"].to_numpy().astype(np.int64), np.flatnonzero(found.links)
+        return pd.DataFrame({"key": ids[at], "links": found.links[at], "root": ids[found.root[at]]})
+
+    def compare(pdfs):
+        held = None
+        for pdf in pdfs:
+            if not len(pdf):
+                continue
+            pdf = pdf if held is None else pd.concat((held, pdf), ignore_index=True)
+            names = pdf[group].to_numpy().astype(np.int64)
+            last = int((names != names[-1]).any(axis=1).sum())  # the last group may go on
+            held = pdf.iloc[last:]
+            if last:
+                yield compared(pdf.iloc[:last])
+        if held is not None:
+            yield compared(held)
+
+    found = stage(laid.mapInPandas(compare, "key long, links long, root long"), "links")
     roots = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
     counted = found.groupBy("key").agg(F.sum("links").alias("links"))
     each = classes.select("key", "n", "least").join(counted, "key", "left").join(roots, "key", "left")
