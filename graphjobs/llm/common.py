@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Texts are long, so few of them make an Arrow batch; a Python worker holds one batch at a time.
 BATCH_ROWS = 256
+#: Text in a batch; cut into words it takes about ten times as much.
+BATCH_BYTES = "8m"
 
 
 @functools.cache
@@ -28,10 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound an Arrow batch of whole texts; an already lower bound stays."""
+    """Bound the rows and bytes of an Arrow batch of whole texts; a lower number of rows or a set number of bytes stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
