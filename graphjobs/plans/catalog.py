@@ -55,6 +55,12 @@ def normalise_phrase(t):
     return t("documents").where("lang = 'en'").select("doc_id", tx.normalise_phrase(F.substring("text", 1, 200000)).alias("phrase"))
 
 
+@query()
+def normalise_phrase_whole(t):
+    """Whole texts in all languages; the query above is cut as its SQL is."""
+    return t("documents").select("doc_id", tx.normalise_phrase("text").alias("phrase"))
+
+
 @query(f"SELECT doc_id, {NORM.format('text')} AS own FROM documents WHERE lang = 'en'")
 def normalise_text(t):
     return t("documents").where("lang = 'en'").select("doc_id", tx.normalise_text("text").alias("own"))
