@@ -16,6 +16,7 @@ Defined cases: a null or empty text has the end id alone. Repeated rows are pack
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections import defaultdict
 
@@ -28,44 +29,53 @@ from .common import columns, small_batches, stage
 
 SIZE, END, SLACK = 4096, 2, 64
 #: Ids of about so many text parts are remembered by a worker; longer parts aren't.
-CACHE, LONGEST = 500_000, 48
+CACHE, LONGEST = 400_000, 48
+#: How the pre-tokenizer cuts ASCII letters, digits and signs.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 def _powers(n: int) -> list[int]:
     return [1 << i for i in range(n.bit_length() - 1, -1, -1) if n >> i & 1]
 
 
-class Encoder:
-    """Ids of a text, part by part between spaces and line ends, which the tokenizer drops and never joins across.
+class Encoder(dict):
+    """Part of a text → its ids as bytes; parts lie between spaces and line ends, which the tokenizer drops and never joins across.
 
-    A worker keeps one encoder for its tasks, so frequent parts are encoded once."""
+    A worker keeps one encoder for its tasks, so frequent parts are encoded once. A printable ASCII part is changed by the
+    normalizer to lower case alone and is cut by the pre-tokenizer as by _PIECE; other parts go through both. The pieces go to
+    the tokenizer's model, and a part that may hold a special token goes through the whole tokenizer."""
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
-        self.own, self.held = Tokenizer.from_str(tokenizer), {}
-
-    def _new(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part, encoded side by side."""
-        got = self.own.encode(parts, is_pretokenized=True, add_special_tokens=False)
-        words = got.word_ids
-        if None in words:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch(parts, add_special_tokens=False)]
-        ends = 4 * np.bincount(np.array(words, np.int64), minlength=len(parts)).cumsum()
-        data, starts = np.array(got.ids, "<u4").tobytes(), [0, *ends[:-1].tolist()]
-        return [data[s:e] for s, e in zip(starts, ends.tolist(), strict=True)]
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        held = self.held
-        new = list({p for own in parts for p in own if p not in held})
-        found = {}
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            found.update(zip(some, self._new(some), strict=True))
-        if len(held) < CACHE:  # what comes early is what comes often
-            held.update((p, i) for p, i in found.items() if len(p) <= LONGEST)
-        return [b"".join([held[p] if p in held else found[p] for p in own]) for own in parts]
+        self.own, self.pieces = Tokenizer.from_str(tokenizer), {}
+        self.as_bytes = [i.to_bytes(4, "little") for i in range(self.own.get_vocab_size())]
+        self.model = self.own.model
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = b"".join([self.as_bytes[t.id] for t in self.model.tokenize(piece)])
+            if len(self.pieces) < CACHE:
+                self.pieces[piece] = ids
+        return ids
+
+    def __missing__(self, part: str) -> bytes:
+        if part.isascii() and part.isalpha():
+            ids = self._piece(part.lower())
+        elif "<|" in part:
+            ids = np.array(self.own.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        elif part.isascii() and part.isprintable():
+            ids = b"".join(map(self._piece, _PIECE.findall(part.lower())))
+        else:
+            cut = self.own.pre_tokenizer.pre_tokenize_str(self.own.normalizer.normalize_str(part))
+            ids = b"".join([self._piece(piece) for piece, _ in cut])
+        if len(self) < CACHE and len(part) <= LONGEST:  # what comes early is what comes often
+            self[part] = ids
+        return ids
+
+    def ids(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
 @functools.lru_cache(maxsize=1)
@@ -75,7 +85,8 @@ def _encoder(tokenizer: str) -> Encoder:
 
 def _pieces(docs: DataFrame, tokenizer: str, size: int, end: int) -> DataFrame:
     """A row a document: its length, the checksums of its full pieces, of the rest, and of the rest cut into powers of two;
-    ``at``: its place among the rests of that length in its partition."""
+    ``at``: its place among the rests of that length in its partition; ``alone``: pieces before it there that may be sequences
+    of their own."""
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as file:
         model = spark.sparkContext.broadcast(file.read())  # bounded by the vocabulary
@@ -83,27 +94,27 @@ def _pieces(docs: DataFrame, tokenizer: str, size: int, end: int) -> DataFrame:
     def run(pdfs):
         from pyspark import TaskContext
 
-        encoder, last, part, seen, row = _encoder(model.value), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId(), defaultdict(int), 0
+        encoder, last, part, seen, alone = _encoder(model.value), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId(), defaultdict(int), 0
         for pdf in pdfs:
             rows = []
-            for i, ids in zip(pdf["doc_id"], encoder.ids(pdf["text"].tolist()), strict=True):
-                ids += last
+            for i, text in zip(pdf["doc_id"], pdf["text"].tolist(), strict=True):
+                ids = encoder.ids(text) + last
                 n = len(ids) // 4
                 full = [zlib.crc32(ids[4 * s : 4 * (s + size)]) for s in range(0, n - size + 1, size)]
                 rest, cuts, s = n % size, [], n - n % size
                 for p in _powers(rest):
                     cuts.append(zlib.crc32(ids[4 * s : 4 * (s + p)]))
                     s += p
-                rows.append((i, n, full, rest, zlib.crc32(ids[4 * (n - rest) :]), cuts, part, row, seen[rest]))
+                rows.append((i, n, full, rest, zlib.crc32(ids[4 * (n - rest) :]), cuts, part, alone, seen[rest]))
                 seen[rest] += 1
-                row += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "full", "rest", "crc", "cuts", "part", "row", "at"])
+                alone += len(full) + len(cuts)
+            out = pd.DataFrame(rows, columns=["doc_id", "n", "full", "rest", "crc", "cuts", "part", "alone", "at"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
     doc_id, text = columns(docs, "doc_id", "text")
     chosen = docs.select(doc_id.cast("long").alias("doc_id"), text.cast("string").alias("text"))
-    return chosen.mapInPandas(run, "doc_id long, n long, full array<long>, rest int, crc long, cuts array<long>, part int, row long, at long")
+    return chosen.mapInPandas(run, "doc_id long, n long, full array<long>, rest int, crc long, cuts array<long>, part int, alone long, at long")
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -163,10 +174,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, slac
             rest = pdf["rest"].to_numpy().astype(np.int64)
             slot = np.searchsorted(keys, rest << 48 | rank, "right") - 1
             out = []
-            for i, n, full, r, crc, cuts, part, row, k, s in zip(pdf["doc_id"], pdf["n"], pdf["full"], rest.tolist(), pdf["crc"], pdf["cuts"], pdf["part"], pdf["row"], rank.tolist(), slot.tolist(), strict=True):
-                # sequences of one piece are numbered after the packed ones, apart by partition, row and place
-                own = sequences + (int(part) << 40) + (int(row) << 14)
-                out += [(i, j * size, size, c, n, own + 16 + j, 0) for j, c in enumerate(full)]
+            for i, n, full, r, crc, cuts, part, alone, k, s in zip(pdf["doc_id"], pdf["n"], pdf["full"], rest.tolist(), pdf["crc"], pdf["cuts"], pdf["part"], pdf["alone"], rank.tolist(), slot.tolist(), strict=True):
+                # sequences of one piece are numbered after the packed ones, counted within their partition
+                own = sequences + (int(part) << 40) + int(alone)
+                out += [(i, j * size, size, c, n, own + len(cuts) + j, 0) for j, c in enumerate(full)]
                 if r and first[s] >= 0:
                     out.append((i, n - r, r, crc, n, int(first[s] + k - least[s]), int(offset[s])))
                 elif r:
