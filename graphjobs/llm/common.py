@@ -25,8 +25,15 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a folder of this machine
+    serves a local session; on a cluster executors wouldn't see it, so that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master: {master})")
+    return _own_dir()
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -43,10 +50,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs nothing before it."""
+def stage(df: DataFrame, label: str, *spent: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs nothing before it.
+    spent: staged tables that nothing reads after this one; they are deleted."""
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
+    for gone in spent:
+        unstage(gone)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -59,6 +69,20 @@ def unstage(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever its columns are called."""
+    name, held = f"_{name}", {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame, label: str = "rows") -> tuple[DataFrame, str]:
+    """df, staged, with a number for each row, and that column's name. Staging fixes the numbers."""
+    name = own_name(df, "row")
+    return stage(df.withColumn(name, F.monotonically_increasing_id()), label), name
+
+
 def columns(df: DataFrame, *names: str) -> list[Column]:
     """The named columns; those that df lacks are null."""
     return [df[n] if n in df.columns else F.lit(None).alias(n) for n in names]
@@ -125,7 +149,7 @@ def ranked(df: DataFrame, by: str, order: list[Column]) -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = df.repartitionByRange(n, F.col(by), *order).sortWithinPartitions(F.col(by), *order)
-    laid = stage(laid.withColumn("_at", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_at", 33))
+    laid = stage(laid.withColumn("_at", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_at", 33))  # df is a table of our own
     seen = laid.groupBy("_part", by).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = seen.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -8,11 +8,12 @@ least of them, which both sides tell from the hashes they carry. A task reads it
 link counts and a forest, not pairs.
 
 A bucket over ``BLOCK`` vectors is cut into blocks and each two blocks meet in a group of their own, so no task grows with
-the bucket and nothing is dropped. More values are combined as the number of vectors grows, so buckets stay small where
+the bucket and nothing is dropped. Buckets with the same members are compared once. More values are combined as the number of vectors grows, so buckets stay small where
 vectors aren't alike. Recall is measured against brute force in the tests.
 
-Defined cases: a vector that is null, zero, of another length than most, or holds null or non-finite components links with
-nothing; so do rows without id. Repeated rows count as other vectors. No vectors give no rows.
+Defined cases: a vector that is null, zero or empty, or holds null or non-finite components links with nothing; so do rows
+without id. Vectors of each length are hashed and compared among themselves. Repeated rows count as other vectors. Other
+columns are ignored. No vectors give no rows.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
 
 def buckets(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int = 5) -> np.ndarray:
     """The buckets of each row, as (rows, tables, probes) of numbers; the same for a row whatever rows stand beside it."""
-    n, dim = len(x), 1 << max(1, (x.shape[1] - 1).bit_length())
+    n, dim = len(x), 1 << max(2, (x.shape[1] - 1).bit_length())  # at least as many axes as probes
     rng, padded = np.random.default_rng(seed), np.zeros((n, dim))
     padded[:, : x.shape[1]] = x
     out = np.empty((n, tables, probes), np.int64)
@@ -107,57 +108,72 @@ class _Links:
         self.root = local_roots(np.concatenate((i, at)), np.concatenate((j, self.root[at])), len(self.root))
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of vectors."""
-    spark = vectors.sparkSession
+def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (vec_id, hash, v) and classes (key, hash, v, n, least) of sound vectors that are alike bit for bit; both staged.
+
+    key: a number of the class's own. Two classes may share a hash, so a row finds its class by the vector where they do."""
     vec_id, own = columns(vectors, "vec_id", "embedding")
-    rows = vectors.select(vec_id.cast("long").alias("vec_id"), own.cast("array<double>").alias("v"))
+    kind = "array<float>" if dict(vectors.dtypes).get("embedding") == "array<float>" else "array<double>"
+    rows = vectors.select(vec_id.cast("long").alias("vec_id"), own.cast(kind).alias("v"))
     sound = F.col("vec_id").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     sound &= F.exists("v", lambda c: c != 0)
-    dims = rows.where(sound).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = dims[0] if dims else 0
-    rows = rows.withColumn("key", F.when(sound & (F.size("v") == dim), F.xxhash64("v")))
-    classes = stage(rows.where("key is not null").groupBy("key", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("least")), "classes")
-    count = classes.count()
-    axes = 2 << max(1, (max(dim, 2) - 1).bit_length())
-    hashes = max(2, math.ceil(math.log(max(2, count) / 512, axes)))
-
-    def unit(pdf: pd.DataFrame) -> np.ndarray:
-        x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+    rows = stage(rows.withColumn("hash", F.when(sound, F.xxhash64("v"))), "vectors")
+    classes = rows.where("hash is not null").groupBy("hash", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    return rows, stage(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
+
+
+def _groups(met: DataFrame) -> DataFrame:
+    """(d, t, bucket, lo, hi, own, key): the members of each bucket with more than one, by pairs of blocks.
+
+    Buckets with the same members need comparing once: of those with the same count and sums of hashes the least stays."""
+    name = ["d", "t", "bucket"]
+    held = met.groupBy(*name).agg(F.count("*").alias("held"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(2))).alias("y"))
+    least = held.where("held > 1").groupBy("held", "x", "y").agg(F.min(F.struct(*name)).alias("b"))
+    full = least.select("b.d", "b.t", afresh(F.col("b.bucket")).alias("bucket"), F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
+    within = met.join(full, name).withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
+    dealt = within.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(*name, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key")
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for each row of vectors."""
+    rows, classes = _classes(vectors)
+    count = max(2, classes.count())
+
+    def unit(vs) -> np.ndarray:
+        x = np.stack(vs.to_numpy()).astype(np.float64)
         x /= np.abs(x).max(axis=1, keepdims=True)  # neither squares nor sums leave the range
         return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
+    def hashes(d: int) -> int:
+        """How many values name a bucket of vectors of this length."""
+        return max(2, math.ceil(math.log(count / 512, 2 << max(2, (d - 1).bit_length()))))
+
     def hashed(pdfs):
         for pdf in pdfs:
-            if len(pdf):
-                codes = buckets(unit(pdf), tables, hashes, probes)
-                yield pdf.assign(codes=list(codes.reshape(len(pdf), -1)))
-
-    coded = stage(classes.select("key", "v", "n").mapInPandas(hashed, "key long, v array<double>, n long, codes array<long>"), "buckets")
-    met = coded.select("key", F.posexplode("codes").alias("slot", "bucket")).select("key", F.expr(f"slot div {probes}").cast("int").alias("t"), "bucket")
-    # of the buckets with more than one vector: how many blocks each has
-    full = met.groupBy("t", "bucket").agg(F.count("*").alias("held")).where("held > 1").select("t", "bucket", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
-    within = met.join(full.select("t", afresh(F.col("bucket")).alias("bucket"), "blocks"), ["t", "bucket"])
-    block = F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = within.withColumn("own", block).withColumn("other", other)
-    dealt = dealt.select("t", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key")
-    group = ["t", "bucket", "lo", "hi"]
+            for d, some in pdf.groupby(pdf["v"].str.len()):
+                codes = buckets(unit(some["v"]), tables, hashes(d), probes)
+                yield some.assign(d=d, codes=list(codes.reshape(len(some), -1)))
+
+    kind = dict(classes.dtypes)["v"]
+    coded = stage(classes.select("key", "v", "n").mapInPandas(hashed, f"key long, v {kind}, n long, d int, codes array<long>"), "buckets")
+    met = coded.select("key", "d", F.posexplode("codes").alias("slot", "bucket")).select("key", "d", F.expr(f"slot div {probes}").cast("int").alias("t"), "bucket")
+    group = ["d", "t", "bucket", "lo", "hi"]
     # each group, of two blocks at most, lies in one partition and its rows follow one another
-    laid = dealt.join(coded, "key").repartition(*group).sortWithinPartitions(*group)
+    laid = _groups(met).join(coded.drop("d"), "key").repartition(*group).sortWithinPartitions(*group)
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links within the groups that pdf holds whole."""
+        """Links within the groups that pdf holds whole; all of vectors of one length."""
         codes = np.stack(pdf["codes"].to_numpy()).reshape(len(pdf), tables, probes)
-        found = _Links(unit(pdf), codes, pdf["n"].to_numpy().astype(np.int64), cosine)
+        found = _Links(unit(pdf["v"]), codes, pdf["n"].to_numpy().astype(np.int64), cosine)
         names, side = pdf[group].to_numpy().astype(np.int64), pdf["own"].to_numpy()
         ends = np.flatnonzero(np.append((names[1:] != names[:-1]).any(axis=1), True)) + 1
         for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            t, bucket, lo, hi = names[s].tolist()
+            _, t, bucket, lo, hi = names[s].tolist()
             if e - s > 1:
-                rows = np.arange(s, e)
-                left = rows if lo == hi else rows[side[s:e] == lo]
-                found.compare(left, rows if lo == hi else rows[side[s:e] == hi], lo == hi, t, bucket)
+                at = np.arange(s, e)
+                left = at if lo == hi else at[side[s:e] == lo]
+                found.compare(left, at if lo == hi else at[side[s:e] == hi], lo == hi, t, bucket)
         found.count()
         ids, at = pdf["key"].to_numpy().astype(np.int64), np.flatnonzero(found.links)
         return pd.DataFrame({"key": ids[at], "links": found.links[at], "root": ids[found.root[at]]})
@@ -171,20 +187,28 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
             names = pdf[group].to_numpy().astype(np.int64)
             last = int((names != names[-1]).any(axis=1).sum())  # the last group may go on
             held = pdf.iloc[last:]
-            if last:
-                yield compared(pdf.iloc[:last])
+            for _, some in pdf.iloc[:last].groupby("d"):
+                yield compared(some)
         if held is not None:
             yield compared(held)
 
-    found = stage(laid.mapInPandas(compare, "key long, links long, root long"), "links")
+    found = stage(laid.mapInPandas(compare, "key long, links long, root long"), "links", coded)
     roots = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
     counted = found.groupBy("key").agg(F.sum("links").alias("links"))
     each = classes.select("key", "n", "least").join(counted, "key", "left").join(roots, "key", "left")
     each = stage(each.select("key", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "key").alias("root")), "named")
     named = each.groupBy("root").agg(F.min("least").alias("component")).select(afresh(F.col("root")).alias("root"), "component")
-    final = stage(each.join(named, "root").select("key", (F.col("links") + F.col("n") - 1).alias("links"), "component"), "final")
+    final = stage(each.join(named, "root").select("key", (F.col("links") + F.col("n") - 1).alias("links"), "component"), "final", each, found)
+    # a hash that one class has needs no vector to tell it
+    alone = classes.groupBy("hash").agg(F.count("*").alias("k"), F.min("key").alias("one"))
+    twins = classes.join(alone.where("k > 1").select("hash"), "hash", "left_semi").select("hash", F.col("v").alias("w"), F.col("key").alias("of"))
+    by_hash = alone.where("k = 1").select("hash", F.col("one").alias("key"))
+    simple = rows.select("vec_id", "hash").join(by_hash, "hash", "left").select("vec_id", "hash", "key")
+    if twins.head(1):
+        met_twin = rows.join(twins, "hash").where(F.col("v") == F.col("w")).select("vec_id", "hash", "of")
+        simple = simple.join(twins.select("hash").distinct(), "hash", "left_anti").select("vec_id", "hash", "key").union(met_twin)
     component = F.coalesce("component", "vec_id")
-    return rows.select("vec_id", "key").join(final, "key", "left").select(
+    return simple.select("vec_id", "key").join(final, "key", "left").select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept")
     )
 

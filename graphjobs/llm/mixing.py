@@ -7,15 +7,17 @@ source's taken words miss its target by less than its largest document. The sum
 come from a range shuffle with per-partition counts, so a source with a third of all rows is spread like the others.
 
 Defined cases: a null text has size 0; a source without words has target 0 and gives nothing; null is a source of its own,
-the last one. No documents give no rows. The offset depends on source name and seed alone, so reruns agree.
+the last one. No documents give no rows. Rows of one source, size and doc_id are laid out by their place in the table; each
+counts for itself. The offset depends on source name and seed alone, so reruns agree. Texts are read once for their sizes.
+Other columns are ignored by ``mix`` and kept by ``mixed``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, columns, ranked, stage
+from .common import WORD, columns, numbered, own_name, ranked, stage
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (3, 1, 2)
@@ -28,48 +30,57 @@ def word_count(text):
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """(named, source_size, target) for each source of (named, size).
-
-    A source's target is the smaller of cap times its size and its weight times a common level. Sources fill up in the
-    order of cap times size a weight; the level is what remains of the share for each unit of weight beyond them.
-    One row a source: the windows without a key run over sources, not documents.
-    """
-    sources = sizes.groupBy("named").agg(F.sum("size").alias("source_size"))
-    place = (F.row_number().over(Window.orderBy("named")) - 1) % len(weights)
-    weighed = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place + 1).cast("int")).cast("long"))
+    """(named, source_size, target) for each source of (named, size); staged.
+
+    A source's target is the smaller of cap times its size and its weight times a common level. The level is what remains of
+    the share for each unit of weight once the full sources are taken out; taking out those that it overfills raises it, until
+    it overfills no other. Each round is one aggregate over the sources, of which a few numbers reach the driver."""
+    sources = sizes.groupBy("named").agg(F.sum("size").alias("source_size")).withColumn("all", F.lit("all"))
+    placed = ranked(sources, "all", [F.col("named").asc()])
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("long")
+    weighed = stage(placed.select("named", "source_size", weight.alias("weight")), "sources")
     full = F.col("source_size") * cap
-    order = Window.orderBy((full / F.col("weight")), "named")
-    whole = Window.partitionBy()
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum(full).over(upto), F.lit(0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(upto), F.lit(0)))
-    filled = weighed.withColumn("level", level).withColumn("over", F.col("level") * F.col("weight") > full)
-    common = F.max(F.when(~F.col("over"), F.col("level"))).over(whole)
-    target = F.when(F.col("over"), full.cast("double")).otherwise(F.least(full.cast("double"), common * F.col("weight")))
-    return filled.select("named", "source_size", target.alias("target"))
-
-
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 7) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for each row of docs."""
-    doc_id, text, source = columns(docs, "doc_id", "text", "source")
+    least, level = None, None
+    while True:
+        over = F.lit(False) if level is None else F.lit(level) * F.col("weight") > full
+        words, held, left, now = weighed.agg(
+            F.sum("source_size"), F.sum(F.when(over, full).otherwise(0)), F.sum(F.when(over, 0).otherwise(F.col("weight"))), F.count(F.when(over, 1))
+        ).first()
+        if not left or now == least:  # every source is full, or the level stands
+            break
+        least, level = now, (words * float(share) - held) / left
+    target = full.cast("double") if level is None or not left else F.least(full.cast("double"), F.lit(level) * F.col("weight"))
+    return weighed.select("named", "source_size", target.alias("target"))
+
+
+def _taken(rows: DataFrame, row: str, weights, share, cap, seed) -> DataFrame:
+    """(row, doc_id, named, size, source_size, target, copies) for each row of docs that carries its number in column row."""
+    doc_id, text, source = columns(rows, "doc_id", "text", "source")
     named = F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("z"))  # not null, and null is the last
-    sized = docs.select(doc_id.alias("doc_id"), named.alias("named"), word_count(text.cast("string")).alias("size"))
-    laid = ranked(sized, "named", [F.col("size").desc(), F.col("doc_id").asc()])
-    goals = stage(targets(laid, weights, share, cap), "targets")
-    whole = laid.join(goals, "named")
+    sized = stage(rows.select(F.col(row).alias("row"), doc_id.alias("doc_id"), named.alias("named"), word_count(text.cast("string")).alias("size")), "sized")
+    laid = ranked(sized, "named", [F.col("size").desc(), F.col("doc_id").asc(), F.col("row").asc()])
+    whole = laid.join(targets(sized, weights, share, cap), "named")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.col("named"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     summed = lambda rank: F.floor(rate * rank + offset)
     copies = F.least(summed(F.col("rank")) - summed(F.col("rank") - 1), F.lit(cap)).cast("long")
+    return whole.select("row", "doc_id", "named", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 7) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) for each row of docs."""
+    row = own_name(docs, "row")
+    taken = _taken(docs.withColumn(row, F.monotonically_increasing_id()), row, weights, share, cap, seed)
     source = F.when(F.col("named") != "z", F.expr("substring(named, 2)"))
-    return whole.select("doc_id", source.alias("source"), "size", "source_size", "target", copies.alias("copies"))
+    return taken.select("doc_id", source.alias("source"), "size", "source_size", "target", "copies")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it; rows that share a doc_id are taken alike."""
-    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    copies = copies.select(F.struct(F.col("doc_id")).alias("_id"), "_copies")
-    met = docs.join(copies, F.struct(F.col("doc_id")).eqNullSafe(F.col("_id")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 7) -> DataFrame:
+    """docs with each row as often as the mix takes it. Rows are numbered, so those that share an id are taken apart."""
+    rows, row = numbered(docs)
+    copies = _taken(rows, row, weights, share, cap, seed).where("copies > 0").select(F.col("row").alias(row), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("n"))
+    times = own_name(docs, "times")
+    return rows.join(copies.withColumnRenamed("n", times), row).withColumn(times, F.explode(times)).select(*docs.columns)
 
 
 def _cte(weights=WEIGHTS, share=SHARE, cap=CAP, seed=7) -> str:

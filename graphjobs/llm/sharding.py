@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, new_folder, stage
+from .common import columns, new_folder, own_name, stage
 
 #: Bytes of text in a shard at most.
 SHARD_BYTES = 16 << 20
@@ -72,12 +72,15 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str | None = None, limit: int = SHARD_BYTES) -> DataFrame:
-    """Write docs with a folder for each shard; rows that share an id and a text go together. Returns what was written."""
+    """Write docs with a folder for each shard; rows that share an id and a text go together. Returns what was written: the
+    columns of docs and the shard, in column ``shard``, or ``_shard`` and so on where docs has that one."""
     path = path or new_folder(docs.sparkSession, "shards")
     where = shards(docs, limit).select("bits", "shard").distinct()
-    keyed = docs.withColumn("bits", hashed(F.col("doc_id"), F.col("text").cast("string")))
-    placed = keyed.join(where, "bits").drop("bits").withColumn("shard", F.concat(F.lit("b"), "shard"))
-    placed.write.partitionBy("shard").parquet(path)
+    key, shard = own_name(docs, "bits"), "shard" if "shard" not in map(str.lower, docs.columns) else own_name(docs, "shard")
+    doc_id, text = columns(docs, "doc_id", "text")
+    keyed = docs.withColumn(key, hashed(doc_id, text.cast("string")))
+    met = where.select(F.col("bits").alias(key), F.concat(F.lit("b"), "shard").alias(shard))
+    keyed.join(met, key).drop(key).write.partitionBy(shard).parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 

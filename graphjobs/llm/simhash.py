@@ -25,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import afresh, connected_components, local_roots, small_batches, stage
+from .common import afresh, columns, connected_components, local_roots, numbered, small_batches, stage
 
 BITS = 64
 SEED = 42
 #: Leading bits by which variants are dealt out at least; more where a group would hold over GROUP fingerprints.
 LEAD, GROUP = 8, 8192
+#: Fingerprints that a group may hold before it is dealt on, and by how many bits.
+CROWD, STEP = 1 << 19, 4
 #: Variants that one task sorts at a time.
 BLOCK = 4_000_000
 
@@ -64,8 +66,8 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
             fps = pa.array([_fingerprint(t, words) for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, fp long")
+    doc_id, text = columns(docs, id_col, text_col)
+    return docs.select(doc_id.cast("long").alias("doc_id"), text.cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 @functools.cache
@@ -103,25 +105,46 @@ def _meet(fps: np.ndarray, left: np.ndarray, rest: int, radius: int) -> tuple[np
     return a[near], b[near]
 
 
+def _dealt(fps: DataFrame, half: int, lead: int) -> DataFrame:
+    """(depth, lead, fp): each fingerprint in every group of variants with the same ``depth`` leading bits that it can reach
+    with half the radius. A group of over CROWD fingerprints, which lie closely together, is dealt on by STEP bits more."""
+    flips = lambda n: F.explode(F.array(*[F.lit(int(m)) for m in _masks(n, half)])).alias("flip")
+    top = F.shiftrightunsigned("fp", BITS - lead)
+    sizes = fps.groupBy(top.alias("own")).agg(F.count("*").alias("n")).select("own", "n", flips(lead))
+    sizes = sizes.groupBy(F.col("own").bitwiseXOR(F.col("flip")).alias("lead")).agg(F.sum("n").alias("n"))
+    rows = fps.select("fp", flips(lead)).select(top.bitwiseXOR(F.col("flip")).alias("lead"), "fp", (half - F.bit_count("flip")).alias("left"))
+    depth, done = lead, None
+    while True:
+        crowded = stage(sizes.where(F.col("n") > CROWD).select("lead"), "crowded")
+        any_crowd = depth + STEP <= BITS and bool(crowded.head(1))
+        calm = (rows.join(crowded, "lead", "left_anti") if any_crowd else rows).select(F.lit(depth).alias("depth"), "lead", "fp")
+        done = calm if done is None else done.union(calm)
+        if not any_crowd:
+            return done
+        depth += STEP
+        bits = F.shiftrightunsigned("fp", BITS - depth).bitwiseAND(F.lit((1 << STEP) - 1))
+        on = rows.join(crowded, "lead", "left_semi").select("lead", "fp", "left", flips(STEP)).where(F.bit_count("flip") <= F.col("left"))
+        deeper = F.shiftleft("lead", STEP).bitwiseOR(bits.bitwiseXOR(F.col("flip"))).alias("lead")
+        rows = stage(on.select(deeper, "fp", (F.col("left") - F.bit_count("flip")).alias("left")), "deeper")
+        sizes = rows.groupBy("lead").agg(F.count("*").alias("n"))
+
+
 def links(fps: DataFrame, bits: int = 4) -> DataFrame:
     """(a, b) over distinct fingerprints (column fp): a chain within ``bits`` differing bits through every linked set."""
     half, count = bits // 2, max(1, fps.count())
     if bits % 2:
         raise ValueError("the radius must be even to be met in the middle")
     lead = max(LEAD, int(np.ceil(np.log2(count / GROUP))))
-    prefix = F.shiftrightunsigned("fp", BITS - lead)
-    flips = F.explode(F.array(*[F.lit(int(m)) for m in _masks(lead, half)])).alias("flip")
-    dealt = fps.select("fp", flips).select(prefix.bitwiseXOR(F.col("flip")).alias("lead"), "fp")
 
     def meet(key, pdf):
-        own = np.unique(pdf["fp"].to_numpy().astype(np.int64)).view(np.uint64)
-        used = np.bitwise_count((own >> np.uint64(BITS - lead)) ^ np.uint64(key[0])).astype(np.int64)
-        a, b = _meet(own, half - used, BITS - lead, half)
+        depth, own = int(key[0]), np.unique(pdf["fp"].to_numpy().astype(np.int64)).view(np.uint64)
+        used = np.bitwise_count((own >> np.uint64(BITS - depth)) ^ np.int64(key[1]).astype(np.uint64)).astype(np.int64)
+        a, b = _meet(own, half - used, BITS - depth, half)
         root = local_roots(a, b, len(own))
         at = np.flatnonzero(root != np.arange(len(own)))
         return pd.DataFrame({"a": own[at].view(np.int64), "b": own[root[at]].view(np.int64)})
 
-    return dealt.groupBy("lead").applyInPandas(meet, "a long, b long")
+    return _dealt(fps, half, lead).groupBy("depth", "lead").applyInPandas(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,6 +161,14 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4, id_col: str
 
 
 def near_dedup(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
-    """docs without the rows whose component has a row with a smaller doc_id; rows without id stay."""
-    gone = near_duplicates(docs, bits, words).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each component: that with the smallest doc_id, rows without id last, then the first row."""
+    rows, row = numbered(docs)
+    doc_id, text = columns(rows, "doc_id", "text")
+    own = rows.select(F.col(row).alias("row"), doc_id.cast("long").alias("doc_id"), text.alias("text"))
+    each = near_duplicates(own, bits, words, "row").select(F.col("doc_id").alias("row"), "component_id")
+    members = stage(each.join(own.select("row", "doc_id"), "row"), "members")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    stays = members.groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    stays = stays.select(afresh(F.col("component_id")).alias("component_id"), F.col("first.row").alias("least"))
+    gone = members.join(stays, "component_id").where("row <> least").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)

@@ -1,5 +1,9 @@
+import gzip
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -45,7 +49,7 @@ def test_ranks_and_kth(spark):
 
 
 def test_mixing(make_docs, sample):
-    for docs in (sample, make_docs([e for e in EDGE if e[0] != 7], extra=True)):
+    for docs in (sample, make_docs([*EDGE, *EDGE], extra=True)):
         got = mixing.mix(docs)
         taken = got.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
         same(taken, mixing.ORACLE_SQL, documents=docs)
@@ -58,6 +62,31 @@ def test_mixing(make_docs, sample):
     assert mixing.mix(make_docs([])).collect() == []
 
 
+def test_mixed_takes_rows_apart(make_docs):
+    """Rows that share an id, and rows without id, count each: sources stay near their targets."""
+    rows = [(None, "one two three " * (1 + i % 5), "ab"[i % 2]) for i in range(100)] + [(7, f"w{i} x", "c") for i in range(40)]
+    docs = make_docs(rows).selectExpr("*", "1 AS _row", "2 AS row", "3 AS _copies", "4 AS copies", "5 AS _times", "6 AS named")
+    goals = {r.source: (r.target, 15) for r in mixing.mix(docs).collect()}
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns
+    taken = got.toPandas()
+    for source, (target, most) in goals.items():
+        assert abs(taken.loc[taken["source"] == source, "text"].str.split().str.len().sum() - target) <= most
+    assert mixing.mixed(make_docs([])).collect() == []
+
+
+def test_targets_of_many_sources(spark):
+    sizes = spark.createDataFrame([(f"s{i:03}", int(i % 7 == 0) + i * i % 97) for i in range(200)], "named string, size long")
+    got = {r.named: r.target for r in mixing.targets(sizes).collect()}
+    own = sorted((r.named, r.size) for r in sizes.collect())
+    weight = {n: (3, 1, 2)[i % 3] for i, (n, _) in enumerate(own)}
+    low, high = 0.0, 1e6  # the level by bisection
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * s, weight[n] * mid) for n, s in own) < 1.5 * sum(s for _, s in own) else (low, mid)
+    assert all(abs(got[n] - min(2 * s, weight[n] * low)) < 1e-6 for n, s in own)
+
+
 def test_sharding(make_docs, sample, monkeypatch):
     for limit in (2000, 20_000, 10**9):
         sql = sharding.ORACLE_SQL.replace(str(sharding.SHARD_BYTES), str(limit))
@@ -68,21 +97,47 @@ def test_sharding(make_docs, sample, monkeypatch):
     got = sharding.shards(make_docs(EDGE, extra=True), 100).toPandas()
     assert len(got) == len(EDGE) and got.loc[got["n_bytes"] > 100, "oversize"].all()
     assert sharding.shards(make_docs([])).collect() == []
-    written = sharding.write_shards(sample, limit=20_000)
-    assert written.count() == sample.count()
+    written = sharding.write_shards(sample.selectExpr("*", "1 AS bits", "2 AS SHARD", "3 AS _bits"), limit=20_000)
+    assert written.count() == sample.count() and {"bits", "SHARD", "_bits", "_shard"} <= set(written.columns)
+    placed = {r[0]: r[1] for r in sharding.shards(sample, 20_000).select("doc_id", "shard").collect()}
+    assert all(r._shard == "b" + placed[r.doc_id] for r in written.collect())
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
     big, odd = "é" * 600, "x\r\n\r\nWARC/1.1\r\n" * 100
-    rows = [(1, "http://a/ b%", big), (2, None, big), (3, "u\nv", odd), (4, "u", odd), (5, "u", "short"), (6, "u", "short"), (7, "u", None), (None, "u", "null id"), (9, "u", big), (10, "u", "y" * 2_000_000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS digest", "1 AS n")
+    rows = [(1, "http://a/ b%", big), (2, None, big), (3, "u\nv", odd), (4, "u", odd), (5, "u", "short"), (6, "u", "short"), (7, "u", None), (None, "u", "null id"), (9, "u", big), (9, "u", big), (10, "u", "y" * 2_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS digest", "1 AS n", "2 AS refers_to", "3 AS record_id")
     same(warc.archived(pages), warc.ORACLE_SQL, pages=pages)
     assert warc.archived(pages.where("false")).collect() == []
 
 
-def test_warc_rejects_a_changed_payload(spark):
+def test_archives(spark, tmp_path):
+    """Bounded by bytes, a member a record, each archive with its warcinfo; urls as they were; ids anew in every run."""
+    rng = np.random.default_rng(0)
+    rows = [(i, f"http://a/b%20c?é={i}\n", rng.bytes(20_000).hex()) for i in range(30)] + [(99, "u", "z" * 2000), (98, "u", "z" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    ids = []
+    for run in "ab":
+        warc.write_archives(pages, str(tmp_path / run), archive_bytes=100_000)
+        files = list((tmp_path / run).glob("part-*"))
+        assert len(files) > 4
+        for f in files:
+            data = f.read_bytes()
+            assert len(data) < 150_000 and gzip.decompress(data).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+            assert data.count(b"\x1f\x8b\x08") >= len(list(warc._parsed(data))) + 1
+        read = warc.read_archives(spark, str(tmp_path / run)).toPandas()
+        assert sorted(read["page_id"]) == sorted(r[0] for r in rows)
+        assert read.set_index("page_id").loc[3, "url"] == "http://a/b%20c?é=3%0A"
+        revisit = read[read["record_type"] == "revisit"].iloc[0]
+        assert revisit["page_id"] == 98 and read.set_index("record_id").loc[revisit["refers_to"], "page_id"] == 99
+        ids.append(set(read["record_id"]))
+    assert len(ids[0]) == len(rows) and not ids[0] & ids[1]
+
+
+def test_warc_rejects_a_changed_payload():
+    record = warc._record("response", "<urn:x:1>", "2020-01-01T00:00:00Z", warc._HTTP + b"ab", "application/http", "WARC-Target-URI: u", "WARC-Payload-Digest: sha1:0", "Page-ID: 1")
     with pytest.raises(ValueError):
-        list(warc._parsed(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Target-URI: u\r\nWARC-Payload-Digest: sha1:0\r\nContent-Length: 7\r\n\r\nh\r\n\r\nab\r\n\r\n"))
+        list(warc._parsed(record))
 
 
 def brute_vectors(ids, x):
@@ -112,6 +167,30 @@ def test_vectors(spark, block, monkeypatch):
     assert embeddings.near_vectors(df.where("false")).collect() == []
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for at, d in ((0, 64), (100, 48), (200, 3)):
+        x = rng.normal(size=(20, d))
+        x = np.concatenate([x, x[:8] * 2 + rng.normal(size=(8, d)) * 0.01])
+        rows += [(at + i, v.tolist()) for i, v in enumerate(x)]
+        want |= {at + i: (n, at + c) for i, (n, c) in brute_vectors(np.arange(len(x)), x).items()}
+    rows += [(300, []), (301, [5.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == want | {300: (0, 300), 301: (0, 301)}
+
+
+def test_vectors_that_share_a_hash(spark, monkeypatch):
+    """Classes are told apart by the vector where their hashes are equal."""
+    from pyspark.sql import functions as F
+
+    hashed = F.xxhash64
+    monkeypatch.setattr(embeddings.F, "xxhash64", lambda *c: hashed(*c) if c[0] != "v" else F.lit(7).cast("long"))
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, [1.0, 0.1]), (5, None)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (0, 2), 3: (2, 1), 4: (2, 1), 5: (0, 5)}
+
+
 def test_vector_recall(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(400, 64))
@@ -157,24 +236,116 @@ def test_battery_finds_random_strings_and_leaves_names(make_docs):
     assert len(found & set(range(20))) >= 18 and not found & set(range(20, 26))
 
 
-def test_quality(spark, sample):
+def brute_battery(own):
+    """Greatest p-value over the alphabets, and the log likelihood ratio, each from its definition."""
+    import string
+
+    low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    bare = own.rstrip("=")
+    plain = bare.replace("-", "+").replace("_", "/")
+    n, found, least = len(bare), [], 99
+    for alphabet in (dig + low[:6], dig + up[:6], up + "234567", low + "234567", dig + low, dig + up, up + low + dig, up + low + dig + "+/"):
+        if set(plain) - set(alphabet):
+            continue
+        m, x = len(alphabet), [alphabet.index(c) for c in plain]
+        least = min(least, m)
+        seen = Counter(x)
+        chi = sum((seen[i] - n / m) ** 2 for i in range(m)) / (n / m)
+        k = m - 1
+        z = [((chi / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))]
+        above = [v >= m / 2 for v in x]
+        runs, a, b = 1 + sum(p != q for p, q in zip(above, above[1:])), sum(above), n - sum(above)
+        var = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+        z.append((runs - (2 * a * b / n + 1)) / math.sqrt(max(1e-9, var)))
+        mean = (m - 1) / 2
+        z.append(sum((p - mean) * (q - mean) for p, q in zip(x, x[1:])) / ((m * m - 1) / 12 * math.sqrt(n - 1)))
+        h = -sum(math.log(max(1e-300, math.erfc(abs(v) / math.sqrt(2)))) for v in z)
+        found.append(math.exp(-h) * (1 + h + h * h / 2))
+    kind = [0 if c in low else 1 if c in up else 2 if c in dig else 3 for c in bare]
+    share = lambda c: secrets.LETTERS["abcdefghijklmnopqrstuvwxyz".index(c)] / sum(secrets.LETTERS) if c.isalpha() else 1 / 10 if c.isdigit() else 1 / 4
+    ordinary = math.log(1 / 4) + sum(math.log(share(c)) for c in bare.lower()) + sum(math.log(secrets.STEPS[p][q]) for p, q in zip(kind, kind[1:]))
+    return max(found), -n * math.log(least) - math.log(8) - ordinary
+
+
+def test_battery_and_step_up_against_brute_force(make_docs):
+    import base64
+    import string
+
+    rng = np.random.default_rng(9)
+    pick = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    lower36 = [pick(string.ascii_lowercase + string.digits, 48) for _ in range(30)]
+    strings = [base64.urlsafe_b64encode(rng.bytes(33)).decode() for _ in range(30)] + lower36 + [pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 40) for _ in range(30)]
+    strings += [pick(string.ascii_letters, 44) for _ in range(10)] + ["thisIsAnOrdinaryNameOfAFunction" + str(i) for i in range(100)]
+    strings += ["a" * 30 + str(i) for i in range(20)] + ["-" * 40, "path/to/some/file/or/other/" + "x" * 9]
+    docs = make_docs([(i, f"see {s} here", "a") for i, s in enumerate(strings)])
+    got = {r.doc_id: r.spans for r in secrets.digest(docs).collect()}
+    each = [(i, len(s.rstrip("=")), *brute_battery(s)) for i, s in enumerate(strings) if re.search("[A-Za-z0-9]", s) and not got[i].startswith(("hex", "assign"))]
+    mean = sum(n for _, n, *_ in each) / len(each)
+
+    def taken(evidence, level):
+        ranks = sorted((round(v // 0.1 * 0.1, 1) for v in evidence.values()), reverse=True)
+        cut = min((v for k, v in enumerate(ranks, 1) if 10**-v <= sum(r >= v for r in ranks) * level / len(ranks)), default=math.inf)
+        return {i for i, v in evidence.items() if v >= cut - 1e-9}
+
+    tenth = lambda v: max(0.0, math.floor(10 * v / math.log(10) + 1e-9) / 10)
+    aside = taken({i: tenth(math.log(n / mean) - math.log(p)) for i, n, p, _ in each}, secrets.MISS)
+    secret = taken({i: 0.0 if i in aside else tenth(math.log(n / mean) + e) for i, n, _, e in each}, secrets.FDR)
+    assert {i for i, spans in got.items() if "random" in spans} == secret
+    assert len(secret & set(range(90))) >= 85 and not secret & set(range(100, len(strings)))
+    frame = secrets.tested(docs.selectExpr("doc_id AS row", "named_struct('start', 4, 'kind', 3, 'end', 5, 'own', substring(text, 5, length(text) - 9)) AS s").where("s.own rlike '[a-zA-Z]'"))
+    for r in frame.collect():
+        p, e = brute_battery(r.s.own)
+        assert abs(r.p_random - p) < 1e-5 and abs(r.log_e - e) < 1e-6
+
+
+def test_quality(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    model = quality.Resampler(docs, labels)
-    scored = model.score().join(labels, "doc_id").toPandas()
+    model = quality.Resampler(docs, labels, whole=True)
+    pdf = model.score().toPandas()
+    scored = pdf.merge(labels.toPandas(), on="doc_id")
     good, bad = scored[scored["quality"] == 1], scored[scored["quality"] == 0]
     assert good["kept"].mean() > 0.97 and bad["kept"].mean() < 0.1
-    kept = {r[0] for r in model.score().where("kept").select("doc_id").collect()}
-    assert {r[0] for r in model.sample(docs).select("doc_id").collect()} == kept and len(kept) == model.k
-    # brute force: the k largest of weight plus noise
-    pdf = model.score().toPandas()
-    pdf["sum"] = pdf["log_weight"] + pdf["noise"]
+    kept = set(pdf.loc[pdf["kept"], "doc_id"])
+    assert {r[0] for r in model.sample().select("doc_id").collect()} == kept and len(kept) == model.k
+    # brute force: weights from their definition, then the k largest of weight plus noise
+    fit, _ = quality._labels(labels)
+    grams = {}
+    for r in docs.collect():
+        hashes = [zlib.crc32(t.encode()) for t in re.findall(r"[^\W_]+|(?:[^\w\s]|_)+", (r.text or "").lower())]
+        top = quality.BUCKETS - 1
+        grams[r.doc_id] = Counter([h % top for h in hashes] + [top if a == b else ((a * 0x9E3779B1 + b * 0x85EBCA6B + 2**63) % 2**64 - 2**63 >> 7) % top for a, b in zip(hashes, hashes[1:])])
+    raw, target = sum(grams.values(), Counter()), sum((grams[i] for i in fit if i in grams), Counter())
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {b: math.log(target[b] + quality.SMOOTHING) - math.log(raw[b] * share + quality.SMOOTHING) for b in raw}
+    weight = {i: 16 * sum(ratio[b] * n for b, n in g.items()) / g.total() if g else 0 for i, g in grams.items()}
+    assert all(abs(weight[i] - w) < 1e-4 for i, w in zip(pdf["doc_id"], pdf["log_weight"], strict=True))
+    pdf["sum"] = pdf["doc_id"].map(weight) + pdf["noise"]
     assert set(pdf.nlargest(model.k, "sum")["doc_id"]) == kept
+    few = {r[0] for r in quality.resample(docs, labels, k=300).where("kept").select("doc_id").collect()}
+    assert few == set(pdf.nlargest(300, "sum")["doc_id"]) != set(pdf.nlargest(300, "log_weight")["doc_id"])
+
+
+def test_sample_follows_the_weights(spark, sample):
+    """Few of many rows: a row of three times the weight is taken three times as often; k and temperature are the caller's."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40_000).withColumn("log_weight", F.when(F.col("id") % 2 == 0, math.log(3.0)).otherwise(0.0))
+    rows = rows.withColumn("key", quality.keyed(F.col("log_weight"), quality.gumbel(F.col("id"), 5)))
+    least = common.kth_largest(rows, "key", 2000)
+    heavy = [r[0] % 2 == 0 for r in rows.where(F.col("key") >= least).select("id").collect()]
+    assert len(heavy) == 2000 and abs(np.mean(heavy) - 0.745) < 0.03
+    labels = spark.createDataFrame([(r.doc_id, int(r.doc_id % 2), 0) for r in sample.select("doc_id").collect()], "doc_id long, quality int, toxic int")
+    assert quality.resample(sample, labels, k=17).where("kept").count() == 17
+    assert quality.resample(sample, labels, k=0).where("kept").count() == 0
+    flat = quality.resample(sample, labels, k=50, temperature=1e9).toPandas()
+    assert set(flat.nlargest(50, "noise")["doc_id"]) == set(flat.loc[flat["kept"], "doc_id"])
 
 
 def test_quality_edges(spark, make_docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
-    docs = make_docs(EDGE, extra=True)
-    assert quality.resample(docs, labels).where("kept").count() == len(EDGE)
+    docs = make_docs([*EDGE, *EDGE], extra=True).selectExpr("*", "1 AS log_weight", "2 AS _noise", "3 AS keyed", "4 AS _id", "5 AS noise")
+    assert quality.resample(docs, labels).where("kept").count() == 2 * len(EDGE)
     assert quality.resample(make_docs([]), labels.where("false")).collect() == []
-    assert quality.Resampler(docs, labels).sample(docs).columns == docs.columns
+    got = quality.sampled(docs, labels)
+    assert got.columns == docs.columns and {tuple(r[-5:]) for r in got.collect()} == {(1, 2, 3, 4, 5)} and got.count() == docs.count()

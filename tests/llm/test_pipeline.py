@@ -1,9 +1,14 @@
+from pathlib import Path
+
+import pytest
+
 import corpus_pipeline
 import __spark_entry__ as entry
 from graphjobs.llm import common, packing
 
+from .conftest import EDGE
 from .test_exact import brute
-from .test_simhash import brute_components, brute_print
+from .test_shingles import brute_kept
 from .test_tokens import WORDS, check_packing
 
 
@@ -18,13 +23,47 @@ def test_stages_against_brute_force(spark):
     ids = lambda df: sorted(r[0] for r in df.select("doc_id").collect())
     rows = [(r.doc_id, r.text, None) for r in quality.collect()]
     assert ids(exact) == sorted(i for i, _, _, kept, _ in brute(rows) if kept)
-    prints = {r.doc_id: brute_print(r.text) for r in exact.collect()}
-    assert ids(near) == sorted(set(brute_components(prints).values()))
+    rows = [(r.doc_id, r.text) for r in exact.collect()]
+    assert ids(near) == sorted(rows[i][0] for i in brute_kept(rows))
     assert set(ids(mixed)) <= set(ids(near)) and max(ids(mixed).count(i) for i in set(ids(mixed))) <= 2
     assert check_packing([(r.doc_id, r.text, None) for r in mixed.collect()], packed.collect()) < 0.02
     assert set(packed.columns) == set(packing.pack(docs, WORDS).columns)
 
 
+def test_stages_on_odd_rows(spark, make_docs, tmp_path):
+    """Null and repeated ids, null, empty and long texts, repeated rows, clashing columns; and an empty table."""
+    clash = ["'a' AS _row", "1 AS row", "2 AS _key", "3 AS key", "4 AS log_weight", "5 AS keyed", "6 AS _times", "7 AS copies", "8 AS fp", "9 AS n"]
+    odd = [*EDGE, *EDGE, (7, "another text under a known id", "b"), (None, "no id either", None)]
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in (odd, []):
+        docs = make_docs(rows).selectExpr("*", *clash)
+        texts = {(t or "").lower() for _, t, _ in rows}
+        for name, step in corpus_pipeline.STAGES:
+            out = common.stage(step(spark, docs, str(tmp_path)), name)
+            if name in ("exact_dedup", "near_dedup"):  # no text is lost, and none stays twice
+                left = [(r.text or "").lower() for r in out.collect()]
+                assert len(left) == len(set(left)) and (name != "exact_dedup" or set(left) == texts)
+            if name == "packing":
+                check_packing([(r.doc_id, r.text, None) for r in docs.collect() if r.doc_id is not None and r.doc_id != 7], [p for p in out.collect() if p.doc_id is not None and p.doc_id != 7])
+            else:
+                assert out.columns == docs.columns
+            docs = out
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Cluster())
+    Cluster.sparkContext.master = "local[4]"
+    assert common.shared_dir(Cluster())
+    staged = common.stage(spark.range(3), "gone")
+    after = common.stage(staged.selectExpr("id + 1 AS id"), "after", staged)
+    assert after.count() == 3 and not Path(staged._staged_at).exists()
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))

@@ -43,8 +43,8 @@ def test_whole_table_against_brute_force(spark, sample):
     assert len(set(parts.values())) < len(parts)
 
 
-@pytest.mark.parametrize("block", [4_000_000, 20_000])
-def test_all_links_within_radius_are_found(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "crowd"), [(4_000_000, 1 << 19), (20_000, 1 << 19), (20_000, 40)])
+def test_all_links_within_radius_are_found(spark, block, crowd, monkeypatch):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     prints = set(base.tolist())
@@ -54,6 +54,7 @@ def test_all_links_within_radius_are_found(spark, block, monkeypatch):
                 b ^= 1 << int(at)
             prints.add(b)
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "CROWD", crowd)  # 40: crowded groups are dealt on, down to all bits
     own = np.array(sorted(prints), np.uint64)
     a, b = simhash._meet(own, np.full(len(own), 2), 64, 2)
     from graphjobs.llm.common import local_roots
@@ -85,3 +86,6 @@ def test_edges(make_docs):
     assert simhash.near_duplicates(make_docs([])).collect() == []
     kept = simhash.near_dedup(make_docs([(1, "a b c d e f", "s"), (2, "A b c d e f", "s"), (3, "other", "s")], extra=True))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and "fp" in kept.columns
+    rows = [(5, "a b c d e f", "s"), (9, "A b c d e f", "s"), (9, "a text of its own", "s"), (None, "a B c d e f", "s")]
+    kept = simhash.near_dedup(make_docs(rows).selectExpr("*", "1 AS _row", "2 AS row", "3 AS component_id")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(5, "a b c d e f"), (9, "a text of its own")]

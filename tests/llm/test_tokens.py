@@ -46,6 +46,17 @@ def test_automaton_falls_back_over_several_nodes():
         tokencount.Automaton([b"a"])
 
 
+def test_long_words_are_walked(make_docs):
+    import time
+
+    auto = tokencount.Automaton(tokencount.read_vocabulary(VOCAB))
+    words = [b" " + b"AbC/9+xyz" * n for n in (7, 8, 30)] + [bytes(range(256)) * 2]
+    assert [auto._walk(w) for w in words] == auto._side_by_side(words).tolist() == auto.counts(words).tolist()
+    began = time.process_time()
+    got = tokencount.token_counts(make_docs([(1, "ab9/" * 500_000, "a")]), VOCAB).collect()[0]
+    assert got.n_words == 1 and auto.counts([b" " + b"ab9/" * 500_000])[0] == got.n_tokens and time.process_time() - began < 10
+
+
 def check_packing(rows, pieces, size=packing.SIZE):
     own = Tokenizer.from_file(WORDS)
     left = defaultdict(int)
