@@ -146,8 +146,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
         return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
     def hashes(d: int) -> int:
-        """How many values name a bucket of vectors of this length."""
-        return max(2, math.ceil(math.log(count / 512, 2 << max(2, (d - 1).bit_length()))))
+        """How many values name a bucket of vectors of this length: as many as make a million buckets, three at most unless
+        there are very many vectors, so that vectors which aren't alike seldom meet."""
+        bits = 1 + max(2, (d - 1).bit_length())
+        return max(min(3, math.ceil(20 / bits)), math.ceil(math.log2(count / 512) / bits))
 
     def hashed(pdfs):
         for pdf in pdfs:

@@ -31,7 +31,9 @@ GATHER = 1 << 20
 
 def normal(text: Column) -> Column:
     """The bytes of a text with A-Z in lower case."""
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary")
+    own = F.coalesce(text.cast("string"), F.lit(""))
+    each = F.translate(own, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(own) == F.length(own), F.lower(own)).otherwise(each).cast("binary")  # ASCII alone: lower does the same, faster
 
 
 def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

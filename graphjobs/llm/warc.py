@@ -24,7 +24,6 @@ import hashlib
 import io
 import re
 import uuid
-import zlib
 from datetime import UTC, datetime
 
 import pandas as pd
@@ -38,6 +37,8 @@ from .common import columns, new_folder, small_batches, stage
 LEAST = 1000
 #: Compressed bytes at which an archive is closed.
 ARCHIVE_BYTES = 32 << 20
+#: How hard gzip tries; above this it takes much more time for a little less space.
+LEVEL = 3
 _END = b"\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -64,7 +65,7 @@ def _record_id(run: uuid.UUID, page_id: int | None, digest: str) -> str:
 def _record(kind: str, record_id: str, date: str, body: bytes, content_type: str, *more: str) -> bytes:
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {date}", *more]
     head += [f"Content-Type: {content_type}", f"Content-Length: {len(body)}"]
-    return gzip.compress("\r\n".join(head).encode() + _END + body + _END, 6, mtime=0)
+    return gzip.compress("\r\n".join(head).encode() + _END + body + _END, LEVEL, mtime=0)
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> None:
