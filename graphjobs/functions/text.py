@@ -58,17 +58,17 @@ def clean_field(c) -> Column:
 
 def _entity_parts(c) -> Column:
     """The entries of "A (n), B (m)"; a parenthesis that the split takes away is put back."""
-    parts = F.filter(F.transform(F.split(clean_field(c), r"\)\s*,\s*"), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(clean_field(c), r"\)\s*,\s*"), lambda p: F.trim(F.regexp_replace(F.trim(p), ",+$", ""))), lambda p: p != "")
     dangling = lambda p: F.regexp_count(p, F.lit(r"\(")) > F.regexp_count(p, F.lit(r"\)"))
     return F.transform(parts, lambda p: F.when(dangling(p), F.concat(p, F.lit(")"))).otherwise(p))
 
 
 def parse_entities(c) -> Column:
-    return F.transform(_entity_parts(c), lambda p: F.regexp_replace(p, r"\(([0-9][0-9 ]*)\)", "(ABN $1)"))
+    return F.transform(_entity_parts(c), lambda p: F.regexp_replace(p, r"\(([0-9][0-9 ]*[0-9])\)$", "(ABN $1)"))
 
 
 def entity_names(c) -> Column:
-    names = F.transform(_entity_parts(c), lambda p: F.trim(F.regexp_replace(p, r"\s*\([0-9][0-9 ]*\)", "")))
+    names = F.transform(_entity_parts(c), lambda p: F.trim(F.regexp_replace(p, r"\s*\([0-9 ]+\)$", "")))
     return F.filter(names, lambda n: n != "")
 
 
@@ -80,21 +80,24 @@ def join_names(a) -> Column:
 
 
 def render_passage(register: DataFrame) -> DataFrame:
-    """(IDX, title, passage) of register rows that name an entity; clauses with blank fields are left out."""
+    """(IDX, title, passage) of register rows that name an entity. Sentences on blank fields are left out, but for the first;
+    columns that the register lacks are blank."""
     names, entities = entity_names("ReportingEntities"), parse_entities("ReportingEntities")
-    many = F.size(entities) > 1
-    given = lambda name: F.when(clean_field(name) != "", clean_field(name))
-    short = F.concat(join_names(F.slice(names, 1, 3)), F.when(F.size(names) > 3, " et al.").otherwise(""))
-    title = F.concat(F.lit("Modern slavery statement "), clean_field("IDX"), F.lit(": "), short)
-    it = F.when(many, "The entities are").otherwise("The entity is")
-    clauses = [
-        F.concat(F.when(many, "This joint statement covers ").otherwise("This statement covers "), join_names(entities), F.lit(".")),
-        F.concat(F.lit("The reporting period runs from "), given("PeriodStart"), F.lit(" to "), given("PeriodEnd"), F.lit(".")),
-        F.concat(it, F.lit(" headquartered in "), given("HeadquarteredCountries"), F.lit(".")),
-        F.concat(F.lit("Annual revenue: "), given("AnnualRevenue"), F.lit(".")),
-        F.concat(it, F.lit(" active in "), given("IndustrySectors"), F.lit(".")),
+    field = lambda c: clean_field(c) if c in register.columns else F.lit("")
+    many = lambda one, more: F.when(F.size(entities) > 1, more).otherwise(one)
+    kind = F.coalesce(F.nullif(F.lower(field("Type")), F.lit("")), F.lit("modern slavery"))
+    said = lambda c, *parts: F.when(field(c) != "", F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts], field(c), F.lit(".")))
+    # The wording of titles and passages
+    title = F.concat(F.lit("Modern slavery statement "), field("IDX"), F.lit(": "), F.concat_ws(" & ", F.slice(names, 1, 3)), F.when(F.size(names) > 3, " et al.").otherwise(""))
+    sentences = [
+        F.concat(join_names(entities), F.lit(" filed a "), kind, F.lit(" modern slavery statement with the Australian Modern Slavery Register for the reporting period "), field("PeriodStart"), F.lit(" to "), field("PeriodEnd"), F.lit(".")),
+        said("HeadquarteredCountries", "The reporting ", many("entity is", "entities are"), " headquartered in "),
+        said("AnnualRevenue", "The reporting ", many("entity has", "entities have"), " an annual revenue band of "),
+        said("IndustrySectors", "The reporting ", many("entity operates", "entities operate"), " in the industry sectors: "),
+        said("IncludedEntities", "The statement also covers the included entities: "),
+        said("Link", "Register entry: "),
     ]
-    return register.where(F.size(entities) > 0).select("IDX", title.alias("title"), F.concat_ws(" ", *clauses).alias("passage"))
+    return register.where(F.size(entities) > 0).select("IDX", title.alias("title"), F.concat_ws(" ", *sentences).alias("passage"))
 
 
 def title_idx(c) -> Column:
@@ -102,7 +105,9 @@ def title_idx(c) -> Column:
 
 
 def company_from_title(c) -> Column:
-    name = F.lower(F.regexp_extract(_c(c), r"^[^:]*:\s*([\s\S]*)$", 1))
+    """The first company after the colon, or of the whole title if it has none."""
+    after = F.regexp_extract(_c(c), r":\s*(.+)$", 1)
+    name = strip(F.lower(F.coalesce(F.nullif(after, F.lit("")), _c(c))))
     first = F.split_part(F.split_part(name, F.lit(","), F.lit(1)), F.lit(" & "), F.lit(1))
     return F.trim(F.regexp_replace(first, "[^a-z0-9]+", " "))
 
@@ -148,10 +153,11 @@ def extract_json(c) -> Column:
 
 
 def parse_entities_response(c) -> Column:
-    """Sorted distinct entities of {"named_entities": […]} or a bare list; empty if it doesn't parse."""
-    kind = "array<string>"
-    named = F.from_json(F.get_json_object(_c(c), "$.named_entities"), kind)
-    bare = F.from_json(F.when(F.ltrim(_c(c)).startswith("["), _c(c)), kind)
+    """Sorted distinct entities of {"named_entities": […]} or a bare list, with or without text around it; empty if it
+    doesn't parse."""
+    kind, block = "array<string>", extract_json(c)
+    named = F.from_json(F.get_json_object(block, "$.named_entities"), kind)
+    bare = F.from_json(F.when(block.startswith("["), block), kind)
     found = F.coalesce(named, bare, F.array().cast(kind))
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
 
@@ -188,14 +194,15 @@ def truncate_normalise(vec, d: int | None = None) -> Column:
     return F.transform(own, lambda x: F.when(norm > 0, x / norm).otherwise(x))
 
 
-def build_context(retrieved: DataFrame, questions: DataFrame) -> DataFrame:
-    """(query, context): a block for each type with key: value lines, then question and thoughts.
+def build_context(retrieved: DataFrame, questions: DataFrame, question_prompt: str = "{question}") -> DataFrame:
+    """(query, context): a block for each type, of items with key: value lines, then the question, and the thoughts behind it.
 
-    retrieved: (query, type, rank, name, content), a few rows a query; questions: (query, question[, thoughts])."""
+    retrieved: (query, type, rank, name, content), a few rows a query; questions: (query, question[, thoughts: array])."""
     item = F.concat_ws("\n", F.concat(F.lit("name: "), "name"), F.concat(F.lit("content: "), "content"))
     blocks = retrieved.groupBy("query", "type").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("text")))).alias("items"))
-    block = F.concat(F.lit("## Relevant "), F.initcap("type"), F.lit(":\n"), F.concat_ws("\n\n", F.col("items.text")))
+    block = F.concat(F.lit("## Relevant "), "type", F.lit(":\n\n"), F.concat_ws("\n\n", F.col("items.text")), F.lit("\n\n"))
     whole = blocks.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("type", block.alias("text")))).alias("blocks"))
-    thoughts = F.concat(F.lit("Thoughts: "), F.col("thoughts")) if "thoughts" in questions.columns else F.lit(None)
-    tail = [F.concat(F.lit("## Question:\n"), "question"), thoughts]
-    return questions.join(whole, "query", "left").select("query", F.concat_ws("\n\n", F.concat_ws("\n\n", F.col("blocks.text")), *tail).alias("context"))
+    before, _, after = question_prompt.partition("{question}")
+    thoughts = F.concat_ws(" ", "thoughts") if "thoughts" in questions.columns else F.lit("")
+    context = F.concat(F.concat_ws("", F.col("blocks.text")), F.lit(before), "question", F.lit(after), thoughts)
+    return questions.join(whole, "query", "left").select("query", context.alias("context"))

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORDER = ("shard_no", "row_no")
@@ -50,9 +51,39 @@ def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="spark-checkpoints-")
 
 
+def _shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of this machine serves a local session only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master: {master})")
+    return named or _own_dir()
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share."""
+    return f"{_shared(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df without its lineage."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_own_dir())
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(_shared(spark))
     return df.checkpoint()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for each end of links (a, b): the least node that it reaches.
+
+    Each round a node takes the least root among its neighbours' and then its root's root; it ends when none changes."""
+    both = cut(links.union(links.select("b", "a")).distinct())
+    roots = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    while True:
+        near = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        met = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
+        up = met.select(F.col("node").alias("new"), F.col("new").alias("up"))
+        moved = cut(met.join(up, "new").select("node", "root", F.least("new", "up").alias("new")))
+        roots = moved.select("node", F.col("new").alias("root"))
+        if not moved.where("new < root").head(1):
+            return roots

@@ -116,13 +116,15 @@ def samples_answer(samples: DataFrame, linked_q: DataFrame, linked_a: DataFrame)
     return _sample(samples, linked_q.distinct(), linked_a.distinct(), None)
 
 
-def fact_start_nodes(chosen: DataFrame, facts: DataFrame, edges: DataFrame, dense_docs: DataFrame, link_top_k: int = 5, passage_node_weight: float = 0.05, limit: int = 30) -> DataFrame:
-    """(query_id, node, score). chosen: (query_id, fact_id, score); facts: (fact_id, source, target); dense_docs: (query_id, id, score).
+def fact_start_nodes(chosen: DataFrame, facts: DataFrame, edges: DataFrame, nodes: DataFrame, dense_docs: DataFrame, link_top_k: int = 5, passage_node_weight: float = 0.05, limit: int = 30) -> DataFrame:
+    """(query_id, node, score). chosen: (query_id, fact_id, score); facts: (fact_id, source, target); nodes: (name);
+    dense_docs: (query_id, id, score).
 
-    A phrase's score is the sum of its facts' scores over its documents, divided by how often it occurs; documents enter with a
+    Phrases are lower-cased, and only those that are nodes count. A phrase's score is the sum of its facts' scores over its documents, divided by how often it occurs; documents enter with a
     small weight, in place of an equal key, and the best stay."""
     links = edges.where(F.col("relation") == MENTIONED).groupBy(F.col("source").alias("node")).agg(F.count_distinct("target").alias("docs"))
-    phrases = chosen.join(facts, "fact_id").select("query_id", F.explode(F.array("source", "target")).alias("node"), "score").join(links, "node", "left")
+    phrases = chosen.join(facts, "fact_id").select("query_id", F.explode(F.array(F.lower("source"), F.lower("target"))).alias("node"), "score")
+    phrases = phrases.join(nodes.select(F.col("name").alias("node")).distinct(), "node", "left_semi").join(links, "node", "left")
     each = phrases.groupBy("query_id", "node").agg(F.avg(F.col("score") / F.greatest(F.coalesce("docs", F.lit(1)), F.lit(1))).alias("score"))
     best = top(each, ["query_id"], [F.desc("score"), F.asc("node")], link_top_k).select("query_id", "node", "score", F.lit(0).alias("p"))
     docs = dense_docs.select("query_id", F.col("id").alias("node"), F.col("score") * passage_node_weight, F.lit(1))
@@ -141,15 +143,15 @@ def samples_fact_link(samples: DataFrame, starts: DataFrame, dense: DataFrame, a
 
 
 def match_filtered_facts(generated: DataFrame, candidates: DataFrame, len_after_rerank: int = 5) -> DataFrame:
-    """(query_id, fact): for each generated fact the closest candidate, in order, each once. Few candidates a query."""
+    """(query_id, place, fact): for each generated fact the closest candidate, in order, repeats included. Few candidates a query."""
     kind = dict(generated.dtypes)["query_id"]
 
     def run(key, left, right):
         own, out = right["fact"].tolist(), []
         for fact in left.sort_values("place")["fact"]:
             close = difflib.get_close_matches(fact, own, 1, 0.0)
-            if close and close[0] not in out:
-                out.append(close[0])
-        return pd.DataFrame({"query_id": [key[0]] * len(out[:len_after_rerank]), "fact": out[:len_after_rerank]})
+            out += close
+        out = out[:len_after_rerank]
+        return pd.DataFrame({"query_id": [key[0]] * len(out), "place": range(len(out)), "fact": out})
 
-    return generated.groupBy("query_id").cogroup(candidates.groupBy("query_id")).applyInPandas(run, f"query_id {kind}, fact string")
+    return generated.groupBy("query_id").cogroup(candidates.groupBy("query_id")).applyInPandas(run, f"query_id {kind}, place int, fact string")

@@ -111,9 +111,9 @@ def link_prediction_ranks(scores: DataFrame, positives: DataFrame, known: DataFr
 
 
 def _sampled_hits(k: int, n: int) -> Column:
-    """Chance of fewer than k of n sampled negatives above the true node."""
+    """Chance of fewer than k above the true node among n − 1 sampled negatives, which with it make n."""
     p = F.when(F.col("num_negative") > 0, (F.col("rank") - 1) / F.col("num_negative")).otherwise(0.0)
-    return sum((math.comb(n, i) * F.pow(p, i) * F.pow(1 - p, n - i) for i in range(k)), F.lit(0.0))
+    return sum((math.comb(n - 1, i) * F.pow(p, i) * F.pow(1 - p, n - 1 - i) for i in range(k)), F.lit(0.0))
 
 
 def link_prediction_metrics(ranks: DataFrame, ks=(1, 3, 10), sampled=((10, 50),)) -> DataFrame:

@@ -13,9 +13,14 @@ from .graph import ORDER, Graph, ends, keep_first, order_key, top
 
 ABN_RELATIONS = ("has abn", "abn")
 #: Relations whose targets are literals (matched as written).
-ATTRIBUTE_RELATIONS = ("has ABN", "has abn", "headquartered in", "operates in sector", "has revenue band", "has reporting period", "has annual revenue", "is located in")
+ATTRIBUTE_RELATIONS = ("has revenue band", "has annual revenue band", "covers reporting period", "headquartered in", "operates in sector", "has abn", "abn", "register entry")
 #: Which relations give a company's fields, the first present one wins.
-PRIORITIES = {"abn": ("has ABN", "Has Abn", " abn", "has abn"), "sector": ("operates in sector",), "revenue": ("has revenue band",), "hq": ("headquartered in",)}
+PRIORITIES = {
+    "abn": ("has abn", "has a b n"),
+    "sector": ("operates in sector", "received sector", "registered sector"),
+    "revenue": ("has annual revenue band", "annual revenue band", "received annual revenue band", "registered revenue band"),
+    "hq": ("headquartered in", "is headquartered in", "received headquartered in"),
+}
 
 
 def union_documents(docs: DataFrame) -> DataFrame:

@@ -1,14 +1,12 @@
 """Vector joins and entity linking. Vectors are arrays; scores are inner products.
 
-A top-k join cuts the queries into blocks by hash and each block meets every partition of the corpus once: the corpus is read
-in batches, a matrix product a batch, and a task keeps k rows a query. Queries are the smaller side; if they fit BLOCK they
-are broadcast whole, else block by block, so what is broadcast is bounded.
+Up to BLOCK queries are broadcast and meet the corpus batch by batch, a matrix product a tile, and a task keeps k rows a query.
+More queries are cut into blocks by hash, as is the corpus, and each two blocks meet in a group of their own. That work grows
+with queries times corpus, as the exact answer's does; nothing but a block of queries passes through the driver.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,6 +15,8 @@ from pyspark.sql import functions as F
 from .graph import top
 
 BLOCK = 20_000
+#: Queries whose scores against one batch of the corpus are held at a time.
+TILE = 500
 
 
 def _kept(scores: np.ndarray, ids: np.ndarray, k: int):
@@ -28,6 +28,14 @@ def _kept(scores: np.ndarray, ids: np.ndarray, k: int):
     return i, ids[j], scores[i, j]
 
 
+def _tiles(names: np.ndarray, q: np.ndarray, pdf: pd.DataFrame, k: int):
+    """The k best of pdf for each query, TILE queries at a time."""
+    x, ids = np.stack(pdf["vec"].to_numpy()).astype(np.float64), pdf["id"].to_numpy()
+    for at in range(0, len(q), TILE):
+        i, own, s = _kept(q[at : at + TILE] @ x.T, ids, k)
+        yield pd.DataFrame({"query_id": names[at : at + TILE][i], "id": own, "score": s})
+
+
 def _block_topk(asked: pd.DataFrame, corpus: DataFrame, k: int, kinds: tuple[str, str]) -> DataFrame:
     spark = corpus.sparkSession
     held = spark.sparkContext.broadcast((asked["id"].to_numpy(), np.stack(asked["vec"].to_numpy()).astype(np.float64)))
@@ -36,26 +44,36 @@ def _block_topk(asked: pd.DataFrame, corpus: DataFrame, k: int, kinds: tuple[str
         names, q = held.value
         for pdf in pdfs:
             if len(pdf):
-                scores = q @ np.stack(pdf["vec"].to_numpy()).astype(np.float64).T
-                i, ids, s = _kept(scores, pdf["id"].to_numpy(), k)
-                yield pd.DataFrame({"query_id": names[i], "id": ids, "score": s})
+                yield from _tiles(names, q, pdf, k)
 
     return corpus.select("id", "vec").mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
 
 
+def _crossed(queries: DataFrame, corpus: DataFrame, k: int, kinds: tuple[str, str], blocks: int) -> DataFrame:
+    """Every block of queries with every block of the corpus, a group each, within Spark: for queries beyond one block."""
+    others = max(1, -(-corpus.count() // BLOCK))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("id", "vec", block(blocks).alias("a"), each(others).alias("b"))
+    right = corpus.select("id", "vec", block(others).alias("b"), each(blocks).alias("a"))
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
+            return pd.DataFrame({"query_id": asked["id"][:0], "id": held["id"][:0], "score": np.zeros(0)})
+        return pd.concat(_tiles(asked["id"].to_numpy(), np.stack(asked["vec"].to_numpy()).astype(np.float64), held, k), ignore_index=True)
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+
+
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 1) -> DataFrame:
     """(query_id, id, score, norm_score, rank): the k best of corpus (id, vec) for each of queries (id, vec)."""
     queries, corpus = queries.where("vec is not null"), corpus.where("vec is not null")
     kinds = (dict(queries.dtypes)["id"], dict(corpus.dtypes)["id"])
-    blocks = max(1, -(-queries.count() // BLOCK))
-    found = []
-    for b in range(blocks):
-        asked = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "vec").toPandas()  # about BLOCK rows
-        if len(asked):
-            found.append(_block_topk(asked, corpus, k, kinds))
-    if not found:
+    blocks = -(-queries.count() // BLOCK)
+    if not blocks:
         return corpus.sparkSession.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, score double, norm_score double, rank int")
-    best = top(functools.reduce(DataFrame.union, found), ["query_id"], [F.desc("score"), F.asc("id")], k)
+    found = _block_topk(queries.select("id", "vec").toPandas(), corpus, k, kinds) if blocks == 1 else _crossed(queries, corpus, k, kinds, blocks)  # at most BLOCK rows
+    best = top(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
     first = F.max("score").over(Window.partitionBy("query_id"))
     return best.select("query_id", "id", "score", (F.col("score") / first).alias("norm_score"), "rank")
 
@@ -123,13 +141,15 @@ def sinkhorn(cost: np.ndarray, reg: float, iterations: int, r=None, c=None) -> n
     return np.exp(kernel + f[:, None] + g[None, :])
 
 
-def sinkhorn_align(costs: DataFrame, reg: float = 0.05, num_iters: int = 50) -> DataFrame:
-    """(group_id, i, j, mass) for costs (group_id, i, j, cost); a group is one small problem."""
+def sinkhorn_align(costs: DataFrame, reg: float = 0.05, num_iters: int = 50, r: dict | None = None, c: dict | None = None) -> DataFrame:
+    """(group_id, i, j, mass) for costs (group_id, i, j, cost); a group is one small problem. r, c: marginals by i and j, even
+    if not given; those below 1e-12 count as that."""
     kind = dict(costs.dtypes)["group_id"]
 
     def run(pdf):
         wide = pdf.pivot(index="i", columns="j", values="cost").fillna(1e6)
-        plan = sinkhorn(wide.to_numpy(float), reg, num_iters)
+        given = lambda m, names: None if m is None else np.maximum([m[x] for x in names], 1e-12)
+        plan = sinkhorn(wide.to_numpy(float), reg, num_iters, given(r, wide.index), given(c, wide.columns))
         i, j = np.meshgrid(wide.index, wide.columns, indexing="ij")
         return pd.DataFrame({"group_id": pdf["group_id"].iloc[0], "i": i.ravel(), "j": j.ravel(), "mass": plan.ravel()})
 

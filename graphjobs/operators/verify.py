@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import abn_spaced, entity_names, is_company_name, is_valid_abn, norm_abn, normalise_text, title_idx
+from ..functions.text import abn_spaced, entity_names, is_company_name, is_valid_abn, norm_abn, normalise_text, strip, title_idx
 
 GRAM = 3
 
@@ -13,35 +13,39 @@ GRAM = 3
 def contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """(scope, needle) of those that some text of their scope contains; both: (scope, needle) and (scope, text), normalised.
 
-    A needle meets texts by its rarest three letters, and texts are verified by substring; an empty needle is always found
-    and one of one or two letters meets all distinct texts of its scope through the grams that begin with it."""
-    needles, texts = needles.select("scope", "needle").distinct(), texts.select("scope", "text").distinct()
+    A needle meets texts by its rarest three letters, and texts are verified by substring; grams carry a text's hash, not the
+    text. An empty needle is always found and one of one or two letters meets all distinct texts of its scope."""
+    needles, texts = needles.select("scope", "needle").distinct(), texts.select("scope", "text").distinct().withColumn("tid", F.xxhash64("text"))
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substring(c, i, F.lit(GRAM))))
-    spread = texts.where(F.length("text") >= GRAM).select("scope", "text", F.explode(grams(F.col("text"))).alias("gram"))
+    spread = texts.where(F.length("text") >= GRAM).select("scope", "tid", F.explode(grams(F.col("text"))).alias("gram"))
     often = spread.groupBy("scope", "gram").agg(F.count("*").alias("n"))
     long = needles.where(F.length("needle") >= GRAM)
     keyed = long.select("scope", "needle", F.explode(grams(F.col("needle"))).alias("gram")).join(often, ["scope", "gram"], "left")
     rarest = keyed.groupBy("scope", "needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    hit = spread.join(rarest, ["scope", "gram"]).where(F.col("text").contains(F.col("needle"))).select("scope", "needle")
+    met = spread.join(rarest, ["scope", "gram"]).select("scope", "needle", "tid")
+    hit = met.join(texts, ["scope", "tid"]).where(F.col("text").contains(F.col("needle"))).select("scope", "needle")
     letters = texts.select("scope", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.array(F.substring("text", i, F.lit(1)), F.substring("text", i, F.lit(2))))).alias("a"))
     short = letters.select("scope", F.explode("a").alias("needle")).distinct().join(needles.where(F.length("needle").between(1, GRAM - 1)), ["scope", "needle"], "left_semi")
     return hit.union(short.select("scope", "needle")).union(needles.where("needle = ''")).distinct()
 
 
 def register_facts(docs: DataFrame, register: DataFrame) -> DataFrame:
-    """(shard, idx, kind, needles): what each document should hold; docs: (shard, title)."""
+    """(shard, idx, kind, needles): what each document should hold, in any of the forms; docs: (shard, title)."""
     own = docs.select("shard", title_idx("title").alias("IDX")).join(register, "IDX")
-    norm = lambda c: F.array(normalise_text(c))
-    abns = F.regexp_extract_all(F.regexp_replace("ReportingEntities", "[^0-9(]", ""), F.lit(r"(\d{11})"), F.lit(1))
-    countries = F.transform(F.split("HeadquarteredCountries", ","), normalise_text)
+    field = lambda c: F.coalesce(F.col(c), F.lit("")) if c in register.columns else F.lit("")
+    parts = lambda c: F.filter(F.transform(F.split(field(c), ","), lambda p: F.trim(p)), lambda p: p != "")
     fact = lambda kind, needles: F.struct(F.lit(kind).alias("kind"), needles.alias("needles"))
-    single = [("revenue", "AnnualRevenue"), ("period", "PeriodStart")]
+    abns = F.regexp_extract_all(F.replace(field("ABN"), F.lit(" "), F.lit("")), F.lit(r"(\d{11})"), F.lit(1))
+    period = normalise_text(F.concat_ws(" to ", field("PeriodStart"), field("PeriodEnd")))
     facts = F.concat(
-        F.transform(entity_names("ReportingEntities"), lambda n: fact("entity", norm(n))),
+        F.transform(entity_names("ReportingEntities"), lambda n: fact("entity", F.array(normalise_text(n)))),
         F.transform(abns, lambda a: fact("abn", F.array(a, abn_spaced(a)))),
-        F.array(*[F.when(F.trim(c) != "", fact(k, norm(F.col(c)))) for k, c in single]),
-        F.array(F.when(F.trim("HeadquarteredCountries") != "", fact("hq", countries))),
-        F.array(F.when(F.trim("IndustrySectors") != "", fact("sector", norm(F.split_part("IndustrySectors", F.lit(","), F.lit(1)))))),
+        F.array(
+            F.when(field("AnnualRevenue") != "", fact("revenue", F.array(normalise_text(field("AnnualRevenue"))))),
+            F.when((field("PeriodStart") != "") & (field("PeriodEnd") != ""), fact("period", F.array(period))),
+            F.when(field("HeadquarteredCountries") != "", fact("hq", F.transform(parts("HeadquarteredCountries"), normalise_text))),
+            F.when(F.size(parts("IndustrySectors")) > 0, fact("sector", F.array(normalise_text(F.get(parts("IndustrySectors"), F.lit(0)))))),
+        ),
     )
     return own.select("shard", F.col("IDX").alias("idx"), F.explode(facts).alias("f")).where("f is not null").select("shard", "idx", "f.*")
 
@@ -50,7 +54,6 @@ def verify_facts(facts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     """(kind, found, expected, recall): facts of which some needle occurs in a node or edge text of the shard."""
     texts = nodes.select(F.col("shard").alias("scope"), normalise_text("name").alias("text"))
     texts = texts.union(edges.select("shard", normalise_text(F.concat_ws(" ", "source", "relation", "target"))))
-    each = facts.withColumn("id", F.monotonically_increasing_id()) if "id" not in facts.columns else facts
     asked = facts.select(F.col("shard").alias("scope"), F.explode("needles").alias("needle")).distinct()
     hits = contained(asked, texts).withColumn("hit", F.lit(1))
     spread = facts.withColumn("key", F.xxhash64("shard", "idx", "kind", "needles")).select("key", "kind", F.col("shard").alias("scope"), F.explode("needles").alias("needle"))
@@ -64,8 +67,11 @@ def unregistered_docs(docs: DataFrame, register: DataFrame) -> DataFrame:
 
 
 def suspect_entities(nodes: DataFrame, register: DataFrame) -> DataFrame:
-    """(name): company-like nodes that neither contain a register name nor are contained in one."""
-    names = register.select(F.lit(0).alias("scope"), F.explode(entity_names("ReportingEntities")).alias("n")).select("scope", normalise_text("n").alias("text")).where("text <> ''").distinct()
+    """(name): company-like nodes that neither contain a register name, or a row's included entities, nor are contained in one."""
+    listed = register.select(F.explode(entity_names("ReportingEntities")).alias("n"))
+    if "IncludedEntities" in register.columns:
+        listed = listed.union(register.select("IncludedEntities"))
+    names = listed.select(F.lit(0).alias("scope"), "n").select("scope", normalise_text("n").alias("text")).where("text <> ''").distinct()
     own = nodes.where((F.col("type") != "document") & is_company_name("name")).select("name", F.lit(0).alias("scope"), normalise_text("name").alias("needle"))
     within = contained(own, names).select("needle")
     # register names inside node names: keyed by the register name's rarest gram
@@ -80,15 +86,19 @@ def suspect_entities(nodes: DataFrame, register: DataFrame) -> DataFrame:
 def fact_gate(triples: DataFrame, expected: DataFrame, known_entities: DataFrame | None = None, known_abns: DataFrame | None = None, min_recall_threshold: float = 0.5, abn_rels=("has abn", "abn")) -> DataFrame:
     """One row a doc_id: recall and precision of business numbers, invalid and ungrounded values, reward, violations.
 
-    triples: (doc_id, s, r, t); expected: (doc_id, abn); known_*: (name), (abn). Arrays are sorted."""
-    is_abn = F.lower(F.trim("r")).isin(*abn_rels)
+    triples: (doc_id, s, r, t); expected: (doc_id, abn); known_*: (name), (abn), not empty. A number is invalid by its form or
+    checksum alone; precision counts the valid ones, or the known ones where these are given, among all tried. Ungrounded
+    entities are told but don't decide. Arrays are sorted; numbers are rounded to four places."""
+    is_abn = F.lower(strip("r")).isin(*abn_rels)
     rows = triples.withColumn("is_abn", is_abn).withColumn("abn", F.when(is_abn, norm_abn("t"))).withColumn("valid", F.coalesce(is_abn & is_valid_abn("t"), F.lit(False)))
-    if known_abns is not None:
-        known = known_abns.select("abn", F.lit(True).alias("_k")).distinct()
-        rows = rows.join(known, "abn", "left").withColumn("valid", F.col("valid") & F.coalesce("_k", F.lit(False))).drop("_k")
     numbers = rows.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(F.col("valid"), F.col("abn")))).alias("emitted"), F.array_sort(F.collect_list(F.when(F.col("is_abn") & ~F.col("valid"), F.col("t")))).alias("invalid_abns"))
     wanted = expected.groupBy("doc_id").agg(F.array_sort(F.collect_set(norm_abn("abn"))).alias("expected"))
     out = numbers.join(wanted, "doc_id", "full")
+    grounded = F.size("emitted")
+    if known_abns is not None:
+        known = known_abns.select(norm_abn("abn").alias("abn")).where("abn is not null").distinct()
+        held = rows.where("valid").select("doc_id", "abn").distinct().join(known, "abn", "left_semi").groupBy("doc_id").agg(F.count("*").alias("grounded"))
+        out, grounded = out.join(held, "doc_id", "left"), F.coalesce("grounded", F.lit(0))
     if known_entities is not None:
         names = rows.select("doc_id", normalise_text("s").alias("n")).union(rows.where(~F.col("is_abn")).select("doc_id", normalise_text("t"))).where("n <> ''").distinct()
         odd = names.join(known_entities.select(normalise_text("name").alias("n")).distinct(), "n", "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_set("n")).alias("hallucinated_entities"))
@@ -96,15 +106,18 @@ def fact_gate(triples: DataFrame, expected: DataFrame, known_entities: DataFrame
     else:
         out = out.withColumn("hallucinated_entities", F.lit(None).cast("array<string>"))
     empty = F.array().cast("array<string>")
-    out = out.select("doc_id", *[F.coalesce(c, empty).alias(c) for c in ("emitted", "expected", "invalid_abns", "hallucinated_entities")])
-    hits = F.size(F.array_intersect("emitted", "expected"))
-    tried = F.size("emitted") + F.size("invalid_abns")
+    out = out.select(*[c for c in out.columns if c == "grounded"], "doc_id", *[F.coalesce(c, empty).alias(c) for c in ("emitted", "expected", "invalid_abns", "hallucinated_entities")])
+    hits, invalid = F.size(F.array_intersect("emitted", "expected")), F.size("invalid_abns")
+    tried = F.size("emitted") + invalid
     recall = F.when(F.size("expected") > 0, hits / F.size("expected")).otherwise((F.size("emitted") > 0).cast("double"))
-    precision = F.when(tried > 0, hits / tried).otherwise((F.size("expected") == 0).cast("double"))
+    precision = F.when(tried > 0, grounded / tried).otherwise((F.size("expected") == 0).cast("double"))
     out = out.withColumn("abn_recall", recall).withColumn("abn_precision", precision)
-    reward = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * F.col("abn_recall") + 0.4 * F.col("abn_precision") - 0.5 * F.size("invalid_abns")))
-    said = F.array_compact(F.array(F.when(F.size("invalid_abns") > 0, "invalid abn"), F.when(F.size("hallucinated_entities") > 0, "ungrounded entity"), F.when(F.col("abn_recall") < min_recall_threshold, "low recall")))
-    return out.select("doc_id", (F.size(said) == 0).alias("is_verified"), reward.alias("reward_score"), "abn_recall", "abn_precision", "hallucinated_entities", "invalid_abns", said.alias("violations"))
+    reward = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * F.col("abn_recall") + 0.4 * F.col("abn_precision") - 0.5 * invalid))
+    verified = (invalid == 0) & (F.col("abn_recall") >= min_recall_threshold) & (F.col("abn_precision") >= 0.5)
+    n_odd = F.size("hallucinated_entities")
+    said = F.concat(F.transform("invalid_abns", lambda a: F.concat(F.lit("invalid business number: "), a)), F.array_compact(F.array(F.when(n_odd > 0, F.concat(n_odd.cast("string"), F.lit(" ungrounded entities"))))))
+    to4 = lambda c, name: F.round(c, 4).alias(name)
+    return out.select("doc_id", verified.alias("is_verified"), to4(reward, "reward_score"), to4(F.col("abn_recall"), "abn_recall"), to4(F.col("abn_precision"), "abn_precision"), "hallucinated_entities", "invalid_abns", said.alias("violations"))
 
 
 def grpo_advantages(trajectories: DataFrame, hop_penalty_weight: float = 0.05, hub_penalty_weight: float = 0.02, degree_threshold: int = 10) -> DataFrame:
@@ -118,12 +131,19 @@ def grpo_advantages(trajectories: DataFrame, hop_penalty_weight: float = 0.05, h
 
 
 def qa_testset(docs: DataFrame, register: DataFrame) -> DataFrame:
-    """(q, gold_answer, gold_doc): questions about sector, revenue, period and joint filing."""
+    """(q, gold_answer, gold_doc): questions about sector, revenue, period and joint filing of documents that name a company."""
     own = docs.select("title", title_idx("title").alias("IDX")).join(register, "IDX").withColumn("names", entity_names("ReportingEntities")).where(F.size("names") > 0)
-    first, second = F.get("names", F.lit(0)), F.get("names", F.lit(1))
-    ask = lambda head, c, tail="?": F.when(F.trim(c) != "", F.struct(F.concat(F.lit(head), first, F.lit(tail)).alias("q"), F.trim(c).alias("gold_answer")))
-    made = F.array_compact(F.array(ask("Which sector does ", F.col("IndustrySectors"), " operate in?"), ask("What is the annual revenue of ", F.col("AnnualRevenue")), ask("When does the reporting period start for ", F.col("PeriodStart")), ask("Who filed jointly with ", F.coalesce(second, F.lit("")))))
-    return own.select(F.explode(made).alias("a"), F.col("title").alias("gold_doc")).select("a.q", "a.gold_answer", "gold_doc")
+    first = F.get("names", F.lit(0))
+    # The wording of the questions
+    ask = lambda when, head, who, tail, gold: F.when(when, F.struct(F.concat(F.lit(head), who, F.lit(tail)).alias("q"), gold.alias("gold_answer")))
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    made = F.array(
+        ask(given("IndustrySectors"), "What industry sectors does ", first, " operate in?", F.trim(F.split_part("IndustrySectors", F.lit(","), F.lit(1)))),
+        ask(given("AnnualRevenue"), "What is the annual revenue band of ", first, "?", F.col("AnnualRevenue")),
+        ask(given("PeriodStart"), "Which reporting period does the modern slavery statement of ", first, " cover?", F.col("PeriodStart")),
+        ask(F.size("names") > 1, "Which entities filed a joint modern slavery statement with ", F.element_at("names", -1), "?", first),
+    )
+    return own.select(F.explode(F.array_compact(made)).alias("a"), F.col("title").alias("gold_doc")).select("a.q", "a.gold_answer", "gold_doc")
 
 
 def qa_score(results: DataFrame, k: int = 5) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import analytics, corpus, index, kg, metrics, models, rank, resolve, similarity, verify
-from ..operators.graph import Graph
+from ..operators.graph import Graph, cut, shared_folder
+from ..sources import io
 from ..streaming import increment
 from . import fixtures
 
@@ -50,20 +51,20 @@ NORM = "trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'))"
 _ABN = "CASE WHEN length(regexp_replace({0}, '[^0-9]', '', 'g')) = 11 THEN regexp_replace({0}, '[^0-9]', '', 'g') END"
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 200000)), '[^A-Za-z0-9 ]', ' ', 'g')) AS phrase FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, trim(regexp_replace(lower(text), '[^A-Za-z0-9 ]', ' ', 'g')) AS phrase FROM documents")
 def normalise_phrase(t):
-    return t("documents").where("lang = 'en'").select("doc_id", tx.normalise_phrase(F.substring("text", 1, 200000)).alias("phrase"))
+    return t("documents").select("doc_id", tx.normalise_phrase("text").alias("phrase"))
 
 
 @query()
 def normalise_phrase_whole(t):
-    """Whole texts in all languages; the query above is cut as its SQL is."""
+    """The same by its other name, tested against brute force."""
     return t("documents").select("doc_id", tx.normalise_phrase("text").alias("phrase"))
 
 
-@query(f"SELECT doc_id, {NORM.format('text')} AS own FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, {NORM.format('text')} AS own FROM documents")
 def normalise_text(t):
-    return t("documents").where("lang = 'en'").select("doc_id", tx.normalise_text("text").alias("own"))
+    return t("documents").select("doc_id", tx.normalise_text("text").alias("own"))
 
 
 _W = " + ".join(f"(CAST(substr(abn, {i + 1}, 1) AS INT) - {1 if i == 0 else 0}) * {w}" for i, w in enumerate((10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19)))
@@ -89,9 +90,14 @@ def parse_entities_names_join(t):
     return t("register").select("IDX", F.array_join(tx.parse_entities("ReportingEntities"), "|").alias("entities"), F.array_join(names, "|").alias("names"), tx.join_names(names).alias("joined"))
 
 
-@query("SELECT IDX, 'Modern slavery statement ' || IDX || ': ' || replace(names, '|', ' and ') AS title, strlen(names) > 0 AS held FROM (SELECT IDX, regexp_replace(regexp_replace(ReportingEntities, '\\)\\s*,\\s*', ')|', 'g'), '\\s*\\([0-9 ]+\\)', '', 'g') AS names FROM register WHERE ReportingEntities <> '')")
+_ENTRIES = "string_split(regexp_replace(ReportingEntities, '\\)\\s*,\\s*', ')|', 'g'), '|')"
+_NAMES = f"list_transform({_ENTRIES}, lambda e: regexp_replace(e, '\\s*\\([0-9 ]+\\)$', ''))"
+_ALL = "CASE WHEN len({0}) = 1 THEN {0}[1] ELSE array_to_string(list_slice({0}, 1, len({0}) - 1), ', ') || ' and ' || {0}[-1] END"
+
+
+@query(f"SELECT IDX, 'Modern slavery statement ' || IDX || ': ' || array_to_string(list_slice(names, 1, 3), ' & ') || CASE WHEN len(names) > 3 THEN ' et al.' ELSE '' END AS title, {_ALL.format('labelled')} || ' filed a ' || CASE WHEN Type = '' THEN 'modern slavery' ELSE lower(Type) END || ' modern slavery statement with the Australian Modern Slavery Register for the reporting period ' || PeriodStart || ' to ' || PeriodEnd || '.' || CASE WHEN HeadquarteredCountries = '' THEN '' ELSE ' The reporting ' || CASE WHEN len(names) > 1 THEN 'entities are' ELSE 'entity is' END || ' headquartered in ' || HeadquarteredCountries || '.' END || CASE WHEN AnnualRevenue = '' THEN '' ELSE ' The reporting ' || CASE WHEN len(names) > 1 THEN 'entities have' ELSE 'entity has' END || ' an annual revenue band of ' || AnnualRevenue || '.' END || CASE WHEN IndustrySectors = '' THEN '' ELSE ' The reporting ' || CASE WHEN len(names) > 1 THEN 'entities operate' ELSE 'entity operates' END || ' in the industry sectors: ' || IndustrySectors || '.' END || CASE WHEN IncludedEntities = '' THEN '' ELSE ' The statement also covers the included entities: ' || IncludedEntities || '.' END || CASE WHEN Link = '' THEN '' ELSE ' Register entry: ' || Link || '.' END AS passage FROM (SELECT *, {_NAMES} AS names, list_transform({_ENTRIES}, lambda e: regexp_replace(e, '\\(([0-9][0-9 ]*[0-9])\\)$', '(ABN \\1)')) AS labelled FROM register WHERE ReportingEntities <> '')")
 def render_passage(t):
-    return tx.render_passage(t("register")).select("IDX", "title", (F.length("passage") > 0).alias("held"))
+    return tx.render_passage(t("register"))
 
 
 @query("SELECT title, regexp_extract(title, '^Modern slavery statement (\\S+):', 1) AS own FROM docs")
@@ -132,7 +138,7 @@ def with_title(t):
 def extract_json_parse_responses(t):
     own = t("events")
     said = F.concat(F.lit("Sure: "), "props", F.lit(" done"))
-    named = F.concat(F.lit('{"named_entities": ["user '), F.col("user_id").cast("string"), F.lit('", "'), "event_type", F.lit('", "'), "event_type", F.lit('"]}'))
+    named = F.concat(F.lit('Sure: {"named_entities": ["user '), F.col("user_id").cast("string"), F.lit('", "'), "event_type", F.lit('", "'), "event_type", F.lit('"]} ok'))
     triples = F.concat(F.lit('so {"triples": [["a", "b", "'), "event_type", F.lit('"]]} there'))
     return own.select("event_id", tx.extract_json(said).alias("block"), F.array_join(tx.parse_entities_response(named), "|").alias("entities"), F.array_join(F.get(tx.parse_triples_response(triples), F.lit(0)), ";").alias("triple"))
 
@@ -159,7 +165,7 @@ def truncate_normalise(t):
     return t("embeddings").select("vec_id", F.round(similarity.dot(cut, cut), 4).alias("kept"), F.round(similarity.dot(own, own), 4).alias("norm"))
 
 
-@query("SELECT query, '## Relevant Entity:' || chr(10) || string_agg('name: ' || node || chr(10) || 'content: ' || query, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || '## Question:' || chr(10) || 'q' || query AS context FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS rank FROM scores) WHERE rank <= 3 GROUP BY query")
+@query("SELECT query, '## Relevant entity:' || chr(10) || chr(10) || string_agg('name: ' || node || chr(10) || 'content: ' || query, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'q' || query AS context FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS rank FROM scores) WHERE rank <= 3 GROUP BY query")
 def build_context(t):
     from ..operators.graph import top
 
@@ -366,7 +372,7 @@ def canonicalise_stats(t):
     return resolve.canonicalise_stats(_graph(t), resolve.canonical_map(t("edges")))
 
 
-_LITERALS = "SELECT DISTINCT target AS name FROM edges WHERE relation IN ('has ABN', 'has abn', 'headquartered in', 'operates in sector', 'has revenue band', 'has reporting period', 'has annual revenue', 'is located in')"
+_LITERALS = "SELECT DISTINCT target AS name FROM edges WHERE relation IN ('has revenue band', 'has annual revenue band', 'covers reporting period', 'headquartered in', 'operates in sector', 'has abn', 'abn', 'register entry')"
 
 
 @query(_LITERALS)
@@ -404,7 +410,15 @@ def hub_degree(t):
     return resolve.hub_degree(t("edges"))
 
 
-@query("SELECT c_name AS company, " + ", ".join(f"coalesce((SELECT arg_min(target, (CASE relation {whens} END, shard_no, row_no, target)) FROM edges WHERE source = c_name AND relation IN ({rels})), '—') AS {name}" for name, whens, rels in (("abn", "WHEN 'has ABN' THEN 0 WHEN 'Has Abn' THEN 1 WHEN ' abn' THEN 2 ELSE 3 END" .replace(" END", ""), "'has ABN', 'Has Abn', ' abn', 'has abn'"), ("sector", "WHEN 'operates in sector' THEN 0", "'operates in sector'"), ("revenue", "WHEN 'has revenue band' THEN 0", "'has revenue band'"), ("hq", "WHEN 'headquartered in' THEN 0", "'headquartered in'"))) + " FROM customer")
+_FIELDS = {"abn": ("has abn", "has a b n"), "sector": ("operates in sector", "received sector", "registered sector"), "revenue": ("has annual revenue band", "annual revenue band", "received annual revenue band", "registered revenue band"), "hq": ("headquartered in", "is headquartered in", "received headquartered in")}
+
+
+def _first_of(name: str, rels: tuple) -> str:
+    whens = " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(rels))
+    return f"coalesce((SELECT arg_min(target, (CASE relation {whens} END, shard_no, row_no, target)) FROM edges WHERE source = c_name AND relation IN ({', '.join(map(repr, rels))})), '—') AS {name}"
+
+
+@query("SELECT c_name AS company, " + ", ".join(_first_of(n, r) for n, r in _FIELDS.items()) + " FROM customer")
 def enrich_company(t):
     return resolve.enrich_company(t("customer").select(F.col("c_name").alias("company")), t("edges"))
 
@@ -415,20 +429,34 @@ def _facts(t):
     return verify.register_facts(t("docs").select("shard", "title"), t("register"))
 
 
-@query("SELECT kind, count(*) AS n FROM (SELECT unnest(['entity', 'abn', 'revenue', 'period', 'hq', 'sector']) AS kind, unnest([ReportingEntities <> '', ReportingEntities <> '', AnnualRevenue <> '', PeriodStart <> '', HeadquarteredCountries <> '', IndustrySectors <> '']) AS held FROM register WHERE row_no % 13 <> 0 UNION ALL SELECT unnest(['entity', 'abn']), row_no % 5 = 0 AND ReportingEntities LIKE '%,%' FROM register WHERE row_no % 13 <> 0) WHERE held GROUP BY kind")
+_FACTS = f"""facts AS (
+  SELECT shard, IDX AS idx, 'entity' AS kind, {NORM.format('name')} AS needles FROM (SELECT shard, IDX, unnest({_NAMES}) AS name FROM listed WHERE ReportingEntities <> '')
+  UNION ALL SELECT shard, IDX, 'abn', a || '|' || substr(a, 1, 2) || ' ' || substr(a, 3, 3) || ' ' || substr(a, 6, 3) || ' ' || substr(a, 9, 3) FROM (SELECT shard, IDX, unnest(regexp_extract_all(replace(ABN, ' ', ''), '[0-9]{{11}}')) AS a FROM listed)
+  UNION ALL SELECT shard, IDX, 'revenue', {NORM.format('AnnualRevenue')} FROM listed WHERE AnnualRevenue <> ''
+  UNION ALL SELECT shard, IDX, 'period', {NORM.format('PeriodStart')} || ' to ' || {NORM.format('PeriodEnd')} FROM listed WHERE PeriodStart <> '' AND PeriodEnd <> ''
+  UNION ALL SELECT shard, IDX, 'hq', {NORM.format('HeadquarteredCountries')} FROM listed WHERE HeadquarteredCountries <> ''
+  UNION ALL SELECT shard, IDX, 'sector', {NORM.format("split_part(IndustrySectors, ',', 1)")} FROM listed WHERE IndustrySectors <> '')"""
+_LISTED = ", listed AS (SELECT *, CAST(row_no % 4 AS INT) AS shard FROM register WHERE row_no % 13 <> 0), " + _FACTS
+
+
+@query(_LISTED + " SELECT * FROM facts")
 def register_facts(t):
-    return _facts(t).groupBy("kind").agg(F.count("*").alias("n"))
+    return _facts(t).withColumn("needles", F.array_join("needles", "|"))
 
 
 def _shard_graph(t):
-    edges = t("edges").select(F.col("shard_no").alias("shard"), "source", "relation", "target").where("relation NOT IN ('equivalent', 'supplies')")
+    edges = t("edges").select(F.col("shard_no").alias("shard"), "source", "relation", "target")
     return edges.select("shard", F.col("source").alias("name")).distinct(), edges
 
 
-@query(f", texts AS (SELECT DISTINCT shard_no AS shard, {NORM.format(chr(34) + 'source' + chr(34))} AS x FROM edges WHERE relation NOT IN ('equivalent', 'supplies') UNION SELECT shard_no, {NORM.format(chr(39).join(['source || ', ' ', ' || relation || ', ' ', ' || target']))} FROM edges WHERE relation NOT IN ('equivalent', 'supplies')), needles AS (SELECT DISTINCT row_no % 4 AS shard, IDX, {NORM.format('AnnualRevenue')} AS needle FROM register WHERE row_no % 13 <> 0 AND AnnualRevenue <> '') SELECT 'revenue' AS kind, count(*) FILTER (hit) AS found, count(*) AS expected, round(count(*) FILTER (hit)::DOUBLE / count(*), 4) AS recall FROM (SELECT IDX, EXISTS (SELECT 1 FROM (SELECT DISTINCT shard, x FROM texts WHERE x LIKE '%revenue band%') t WHERE t.shard = n.shard AND contains(t.x, n.needle)) OR EXISTS (SELECT 1 FROM texts t WHERE t.shard = n.shard AND contains(t.x, n.needle)) AS hit FROM needles n)")
+@query(_LISTED + f""", texts AS (SELECT DISTINCT shard_no AS shard, {NORM.format("source || ' ' || relation || ' ' || target")} AS x FROM edges UNION SELECT shard_no, {NORM.format('source')} FROM edges),
+asked AS (SELECT DISTINCT shard, kind, idx, needles FROM facts), each AS (SELECT DISTINCT shard, unnest(string_split(needles, '|')) AS needle FROM asked),
+hit AS (SELECT DISTINCT e.shard, e.needle FROM each e JOIN texts t ON t.shard = e.shard AND contains(t.x, e.needle)),
+got AS (SELECT kind, shard, idx, needles, bool_or(h.needle IS NOT NULL) AS found FROM (SELECT *, unnest(string_split(needles, '|')) AS needle FROM asked) a LEFT JOIN hit h USING (shard, needle) GROUP BY ALL)
+SELECT kind, count(*) FILTER (found) AS found, count(*) AS expected, round(count(*) FILTER (found)::DOUBLE / count(*), 4) AS recall FROM got GROUP BY kind""")
 def verify_facts(t):
     nodes, edges = _shard_graph(t)
-    return verify.verify_facts(_facts(t).where("kind = 'revenue'"), nodes, edges).select("kind", "found", "expected", _r("recall"))
+    return verify.verify_facts(_facts(t), nodes, edges).select("kind", "found", "expected", _r("recall"))
 
 
 @query("SELECT title, content FROM docs WHERE title LIKE '%statement x-%'")
@@ -436,17 +464,25 @@ def unregistered_docs(t):
     return verify.unregistered_docs(t("docs").select("title", "content"), t("register"))
 
 
-@query(f", names AS (SELECT DISTINCT {NORM.format('c_name')} AS x FROM customer WHERE c_custkey % 97 <> 0 OR (c_custkey - 1) % 5 = 0 AND (c_custkey - 1) % 97 <> 0 AND c_custkey > 1), own AS (SELECT name || ' Pty Ltd' AS name FROM nodes WHERE type <> 'document') SELECT name FROM own WHERE NOT EXISTS (SELECT 1 FROM names WHERE contains({NORM.format('name')}, x) OR contains(x, {NORM.format('name')}))")
+@query(f", names AS (SELECT DISTINCT {NORM.format('c_name')} AS x FROM customer WHERE c_custkey % 97 <> 0 OR (c_custkey - 1) % 5 = 0 AND (c_custkey - 1) % 97 <> 0 AND c_custkey > 1 UNION SELECT {NORM.format('IncludedEntities')} FROM register WHERE IncludedEntities <> ''), own AS (SELECT name || ' Pty Ltd' AS name FROM nodes WHERE type <> 'document') SELECT name FROM own WHERE NOT EXISTS (SELECT 1 FROM names WHERE contains({NORM.format('name')}, x) OR contains(x, {NORM.format('name')}))")
 def suspect_entities(t):
     nodes = t("nodes").select(F.when(F.col("type") == "document", F.col("name")).otherwise(F.concat("name", F.lit(" Pty Ltd"))).alias("name"), "type")
     return verify.suspect_entities(nodes, t("register"))
 
 
-@query(f", g AS (SELECT source AS doc_id, {_ABN.format('target')} AS abn, target FROM edges WHERE lower(trim(relation)) IN ('has abn', 'abn')), v AS (SELECT *, abn IS NOT NULL AND coalesce(({_W}) % 89 = 0, false) AS ok FROM g), e AS (SELECT c_name AS doc_id, abn AS want FROM named), c AS (SELECT e.doc_id, count(DISTINCT v.abn) FILTER (ok) AS emitted, count(*) FILTER (NOT ok AND v.doc_id IS NOT NULL) AS invalid, count(DISTINCT v.abn) FILTER (ok AND v.abn = want) AS hits FROM e LEFT JOIN v ON e.doc_id = v.doc_id GROUP BY e.doc_id) SELECT doc_id, hits::DOUBLE AS abn_recall, round(CASE WHEN emitted + invalid > 0 THEN hits::DOUBLE / (emitted + invalid) ELSE 0 END, 4) AS abn_precision, round(greatest(0.0, least(1.0, 0.6 * hits + 0.4 * CASE WHEN emitted + invalid > 0 THEN hits::DOUBLE / (emitted + invalid) ELSE 0 END - 0.5 * invalid)), 4)::DOUBLE AS reward_score, CAST(invalid AS INT) AS invalid, invalid = 0 AND hits >= 0.5 AS is_verified FROM c")
+@query(f""", g AS (SELECT c_name AS doc_id, lower(trim(relation)) IN ('has abn', 'abn') AS is_abn, target, {_ABN.format('target')} AS abn FROM edges JOIN customer ON source = c_name),
+v AS (SELECT *, is_abn AND abn IS NOT NULL AND coalesce(({_W}) % 89 = 0, false) AS ok FROM g),
+known AS (SELECT {NORM.format('c_name')} AS n FROM customer UNION SELECT {NORM.format('n_name')} FROM nation),
+c AS (SELECT e.c_name AS doc_id, count(DISTINCT v.abn) FILTER (ok) AS emitted, count(*) FILTER (is_abn AND NOT ok) AS invalid, count(DISTINCT v.abn) FILTER (ok AND v.abn = e.abn)::DOUBLE AS hits,
+  count(DISTINCT v.abn) FILTER (ok AND v.abn IN (SELECT abn FROM named)) AS grounded, count(DISTINCT {NORM.format('v.target')}) FILTER (NOT is_abn AND {NORM.format('v.target')} NOT IN (SELECT n FROM known)) AS odd
+  FROM named e LEFT JOIN v ON e.c_name = v.doc_id GROUP BY e.c_name),
+p AS (SELECT *, CASE WHEN emitted + invalid > 0 THEN grounded::DOUBLE / (emitted + invalid) ELSE 0 END AS prec FROM c)
+SELECT doc_id, hits AS abn_recall, round(prec, 4) AS abn_precision, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.6::DOUBLE * hits + 0.4::DOUBLE * prec - 0.5::DOUBLE * invalid)), 4) AS reward_score, CAST(invalid AS INT) AS invalid, CAST(odd AS INT) AS odd, CAST(invalid + CASE WHEN odd > 0 THEN 1 ELSE 0 END AS INT) AS violations, invalid = 0 AND hits >= 0.5 AND prec >= 0.5 AS is_verified FROM p""")
 def fact_gate(t):
-    triples = t("edges").where(F.lower(F.trim("relation")).isin("has abn", "abn")).select(F.col("source").alias("doc_id"), F.col("source").alias("s"), F.col("relation").alias("r"), F.col("target").alias("t"))
-    got = verify.fact_gate(triples, t("named").select(F.col("c_name").alias("doc_id"), "abn"))
-    return got.select("doc_id", _r("abn_recall"), _r("abn_precision"), _r("reward_score"), F.size("invalid_abns").alias("invalid"), "is_verified")
+    triples = t("edges").join(t("customer").select(F.col("c_name").alias("source")), "source").select(F.col("source").alias("doc_id"), F.col("source").alias("s"), F.col("relation").alias("r"), F.col("target").alias("t"))
+    names = t("customer").select(F.col("c_name").alias("name")).union(t("nation").select("n_name"))
+    got = verify.fact_gate(triples, t("named").select(F.col("c_name").alias("doc_id"), "abn"), names, t("named").select("abn"))
+    return got.select("doc_id", "abn_recall", "abn_precision", "reward_score", F.size("invalid_abns").alias("invalid"), F.size("hallucinated_entities").alias("odd"), F.size("violations").alias("violations"), "is_verified")
 
 
 @query(", rw AS (SELECT group_id, id, greatest(0.0::DOUBLE, 0.5 * gate + 0.5 * CAST(answer_matched AS INT) - 0.05 * greatest(0, num_hops - 1) - 0.02 * greatest(0, max_node_degree - 10)) AS reward FROM trajectories) SELECT group_id, id, round(reward, 4) AS reward, round(CASE WHEN count(*) OVER w > 1 AND stddev_pop(reward) OVER w >= 1e-6 THEN (reward - avg(reward) OVER w) / stddev_pop(reward) OVER w ELSE 0 END, 4) + 0.0 AS advantage FROM rw WINDOW w AS (PARTITION BY group_id)")
@@ -455,14 +491,18 @@ def grpo_advantages(t):
     return got.select("group_id", "id", _r("reward"), (F.round("advantage", 4) + 0.0).alias("advantage"))  # no negative zero
 
 
-@query("SELECT count(*) AS n, count(DISTINCT gold_doc) AS docs FROM (SELECT d.title AS gold_doc, unnest([IndustrySectors <> '', AnnualRevenue <> '', PeriodStart <> '', ReportingEntities LIKE '%,%']) AS held FROM docs d JOIN register r ON regexp_extract(d.title, '^Modern slavery statement (\\S+):', 1) = r.IDX WHERE ReportingEntities <> '') WHERE held")
+@query(f""", own AS (SELECT d.title AS gold_doc, r.*, {_NAMES} AS names FROM docs d JOIN register r ON regexp_extract(d.title, '^Modern slavery statement (\\S+):', 1) = r.IDX WHERE ReportingEntities <> '')
+SELECT 'What industry sectors does ' || names[1] || ' operate in?' AS q, trim(split_part(IndustrySectors, ',', 1)) AS gold_answer, gold_doc FROM own WHERE IndustrySectors <> ''
+UNION ALL SELECT 'What is the annual revenue band of ' || names[1] || '?', AnnualRevenue, gold_doc FROM own WHERE AnnualRevenue <> ''
+UNION ALL SELECT 'Which reporting period does the modern slavery statement of ' || names[1] || ' cover?', PeriodStart, gold_doc FROM own WHERE PeriodStart <> ''
+UNION ALL SELECT 'Which entities filed a joint modern slavery statement with ' || names[-1] || '?', names[1], gold_doc FROM own WHERE len(names) > 1""")
 def qa_testset(t):
-    return verify.qa_testset(t("docs"), t("register")).agg(F.count("*").alias("n"), F.count_distinct("gold_doc").alias("docs"))
+    return verify.qa_testset(t("docs"), t("register"))
 
 
-@query(f"SELECT round(avg(CASE WHEN gold_doc <= 5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_at_k, round(avg(CASE WHEN contains({NORM.format('response')}, {NORM.format('alias')}) THEN 1.0::DOUBLE ELSE 0 END), 4) AS answer_accuracy FROM (SELECT *, id % 9 AS gold_doc FROM answers) WHERE gold_doc > 0")
+@query(f"SELECT round(avg(CASE WHEN gold_doc BETWEEN 1 AND 5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_at_k, round(avg(CASE WHEN contains({NORM.format('response')}, {NORM.format('alias')}) THEN 1.0::DOUBLE ELSE 0 END), 4) AS answer_accuracy FROM (SELECT *, id % 9 AS gold_doc FROM answers)")
 def qa_score(t):
-    own = t("answers").withColumn("gold_doc", F.col("id") % 9).where("gold_doc > 0")
+    own = t("answers").withColumn("gold_doc", F.col("id") % 9)
     got = verify.qa_score(own.select(F.array(*[F.lit(i).cast("long") for i in range(1, 9)]).alias("retrieved"), "gold_doc", F.col("response").alias("answer"), F.col("alias").alias("gold_answer")))
     return got.select(_r("hit_at_k"), _r("answer_accuracy"))
 
@@ -571,12 +611,14 @@ def samples_answer(t):
 _LINKS = "(SELECT entity, count(DISTINCT doc) AS docs FROM mentions GROUP BY entity)"
 
 
-@query(f", each AS (SELECT s.query, s.node, avg(s.score / coalesce(docs, 1)) AS score FROM scores s LEFT JOIN {_LINKS} l ON l.entity = s.node GROUP BY ALL), best AS (SELECT query, node, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS k FROM each) WHERE k <= 5) SELECT query AS query_id, node, round(score, 6) AS score FROM best UNION ALL SELECT n_nationkey, 'part 1', 0.05::DOUBLE FROM nation WHERE n_nationkey < 20")
+@query(f", each AS (SELECT s.query, lower(s.node) AS node, avg(s.score / coalesce(docs, 1)) AS score FROM scores s LEFT JOIN {_LINKS} l ON l.entity = s.node JOIN supplier ON s_name = s.node AND s_acctbal > 0 GROUP BY ALL), best AS (SELECT query, node, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS k FROM each) WHERE k <= 5) SELECT query AS query_id, node, round(score, 6) AS score FROM best UNION ALL SELECT n_nationkey, 'part 1', 0.05::DOUBLE FROM nation")
 def fact_start_nodes(t):
     chosen = t("scores").select(F.col("query").alias("query_id"), F.col("node").alias("fact_id"), "score")
     facts = t("supplier").select(F.col("s_name").alias("fact_id"), F.col("s_name").alias("source"), F.col("s_name").alias("target"))
     dense = chosen.select("query_id").distinct().select("query_id", F.lit("part 1").alias("id"), F.lit(1.0).alias("score"))
-    return index.fact_start_nodes(chosen, facts, _mentioned(t), dense).select("query_id", "node", F.round("score", 6).alias("score"))
+    edges = _mentioned(t).withColumn("source", F.lower("source"))
+    nodes = t("supplier").where("s_acctbal > 0").select(F.lower("s_name").alias("name"))  # phrases of the others aren't in the graph
+    return index.fact_start_nodes(chosen, facts, edges, nodes, dense).select("query_id", "node", F.round("score", 6).alias("score"))
 
 
 @query("SELECT query AS id, string_agg(node, '|' ORDER BY node) AS start, (SELECT arg_max(node, (score, -1)) FROM scores t WHERE t.query = k.query) AS entity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS rank FROM scores) k WHERE rank <= 5 GROUP BY query")
@@ -590,11 +632,12 @@ def samples_fact_link(t):
     return got.select("id", F.array_join(F.element_at("start_nodes", F.lit("entity")), "|").alias("start"), F.array_join(F.element_at("target_nodes", F.lit("entity")), "|").alias("entity"))
 
 
-@query("SELECT n_regionkey AS query_id, n_name AS fact FROM nation")
+@query("SELECT n_regionkey AS query_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY k, n_nationkey) - 1 AS INT) AS place, n_name AS fact FROM nation, (SELECT unnest([0, 1]) AS k)")
 def match_filtered_facts(t):
     own = t("nation").select(F.col("n_regionkey").alias("query_id"), F.col("n_name").alias("fact"), F.col("n_nationkey").alias("place"))
     said = own.withColumn("fact", F.concat(F.col("fact"), F.lit("!")))
-    return index.match_filtered_facts(said, own, 50)
+    again = said.withColumn("place", F.col("place") + 100)  # a fact told twice is matched twice
+    return index.match_filtered_facts(said.union(again), own, 50)
 
 
 # --- ranking --------------------------------------------------------------------------------------------------------
@@ -657,11 +700,9 @@ def merge_retrievals(t):
 
 # --- graph analytics ------------------------------------------------------------------------------------------------
 
-@query(", e AS (SELECT source, target FROM base WHERE relation IN ('headquartered in', 'is part of')), s AS (SELECT s_name AS node FROM supplier WHERE s_suppkey % 3 = 0), h1 AS (SELECT target AS node, count(*) AS m FROM e JOIN s ON node = source GROUP BY target), h2 AS (SELECT target AS node, sum(m) AS m FROM e JOIN h1 ON node = source GROUP BY target) SELECT node, round(sum(m), 4) AS mass FROM (SELECT node, 1.0::DOUBLE AS m FROM s UNION ALL SELECT node, m * 0.8::DOUBLE FROM h1 UNION ALL SELECT node, m * 0.64::DOUBLE FROM h2) GROUP BY node")
+@query(", e AS (SELECT source, target FROM base), s AS (SELECT s_name AS node FROM supplier), h1 AS (SELECT target AS node, count(*) AS m FROM e JOIN s ON node = source GROUP BY target), h2 AS (SELECT target AS node, sum(m) AS m FROM e JOIN h1 ON node = source GROUP BY target), h3 AS (SELECT target AS node, sum(m) AS m FROM e JOIN h2 ON node = source GROUP BY target) SELECT node, round(sum(m), 4) AS mass FROM (SELECT node, 1.0::DOUBLE AS m FROM s UNION ALL SELECT node, m * 0.8::DOUBLE FROM h1 UNION ALL SELECT node, m * 0.64::DOUBLE FROM h2 UNION ALL SELECT node, m * 0.512::DOUBLE FROM h3) GROUP BY node")
 def khop_reach(t):
-    edges = t("base").where("relation IN ('headquartered in', 'is part of')").select("source", "target")
-    seeds = t("supplier").where("s_suppkey % 3 = 0").select(F.col("s_name").alias("node"))
-    return analytics.khop_reach(edges, seeds).select("node", _r("mass"))
+    return analytics.khop_reach(t("base").select("source", "target"), t("supplier").select(F.col("s_name").alias("node"))).select("node", _r("mass"))
 
 
 _STEINER = ", e AS (SELECT source AS a, target AS b FROM weighted UNION SELECT target, source FROM weighted), d AS (SELECT a, count(*)::DOUBLE AS d FROM e GROUP BY a), s AS (SELECT n_name AS c FROM nation WHERE n_nationkey IN (1, 2)), h0 AS (SELECT c, c AS n, 1.0::DOUBLE AS m FROM s), h1 AS (SELECT c, b AS n, sum(m / d) AS m FROM h0 JOIN e ON a = n JOIN d USING (a) GROUP BY c, b), h2 AS (SELECT c, b AS n, sum(m / d) AS m FROM h1 JOIN e ON a = n JOIN d USING (a) GROUP BY c, b), tot AS (SELECT c, n, sum(m) AS m FROM (SELECT * FROM h0 UNION ALL SELECT c, n, m * 0.7::DOUBLE FROM h1 UNION ALL SELECT c, n, m * (0.7::DOUBLE * 0.7::DOUBLE) FROM h2) GROUP BY c, n) SELECT a AS node, round(CASE WHEN a IN (SELECT c FROM s) THEN 0 ELSE exp(sum(ln(greatest(coalesce(m, 0), 1e-6))) / count(*)) / sqrt(greatest(any_value(d), 1)) END, 8) AS score FROM d CROSS JOIN s LEFT JOIN tot ON tot.c = s.c AND tot.n = d.a GROUP BY a"
@@ -673,29 +714,26 @@ def steiner_bridges(t):
     return analytics.steiner_bridges(t("weighted"), seeds).select("node", F.round("score", 8).alias("score"))
 
 
-@query("SELECT 0 AS query, v AS node, CAST(round(sum(x), 4) AS STRING) IS NOT NULL AS held, round(sum(x), 4) AS first FROM (SELECT v, (u % 10) * (r + 1)::DOUBLE AS x FROM encoded UNION ALL SELECT id, (id % 10)::DOUBLE FROM (SELECT u AS id FROM encoded UNION SELECT v FROM encoded)) GROUP BY v")
+@query("SELECT 0 AS query, v AS node, round(sum(x), 4) AS first, count(*)::DOUBLE AS second FROM (SELECT v, (u % 10) * (r + 1)::DOUBLE AS x FROM encoded UNION ALL SELECT id, (id % 10)::DOUBLE FROM (SELECT u AS id FROM encoded UNION SELECT v FROM encoded)) GROUP BY v")
 def propagate_messages(t):
     vec = F.array((F.col("id") % 10).cast("double"), F.lit(1.0))
     states = _typed(t).select(F.lit(0).alias("query"), F.col("id").alias("node"), vec.alias("vec"))
     rels = t("encoded").select("r").distinct().select("r", F.array((F.col("r") + 1).cast("double"), F.lit(1.0)).alias("vec"))
     got = analytics.propagate_messages(t("encoded"), states, rels, short_cut=False)
-    return got.select("query", "node", F.lit(True).alias("held"), F.round(F.get("vec", F.lit(0)), 4).alias("first"))
+    return got.select("query", "node", F.round(F.get("vec", F.lit(0)), 4).alias("first"), F.get("vec", F.lit(1)).alias("second"))
 
 
 def _paths(t):
-    edges = t("base").where("relation IN ('headquartered in', 'is part of')").select(F.col("source").alias("u"), F.col("relation").alias("r"), F.col("target").alias("v"), ((F.col("row_no") % 10) / 10.0).alias("weight"))
+    edges = t("base").select(F.col("source").alias("u"), F.col("relation").alias("r"), F.col("target").alias("v"), ((F.col("row_no") % 10) / 10.0).alias("weight"))
     return analytics.topk_paths(edges, t("supplier").select(F.col("s_name").alias("node")), t("region").select(F.col("r_name").alias("node")))
 
 
-_PATHS = "SELECT a.source, b.target, a.target AS via, round((CAST(a.row_no % 10 AS DOUBLE) / 10 + CAST(b.row_no % 10 AS DOUBLE) / 10) / 2, 4) AS avg_weight FROM base a JOIN base b ON a.target = b.source AND b.relation = 'is part of' WHERE a.relation = 'headquartered in' AND a.source IN (SELECT s_name FROM supplier)"
-
-
-@query(_PATHS)
+@query()
 def topk_paths(t):
     return _paths(t).select("source", "target", F.col("path")[0]["t"].alias("via"), _r("avg_weight"))
 
 
-@query(f"SELECT source, target, 1 AS rank, format('{{:.4f}}', avg_weight) || ': [ ' || source || ' (entity), headquartered in, ' || via || ' (entity) ] => [ ' || via || ' (entity), is part of, ' || target || ' (entity) ]' AS text FROM ({_PATHS})")
+@query()
 def render_paths(t):
     return analytics.render_paths(_paths(t), t("nodes"))
 
@@ -727,7 +765,7 @@ def strict_negatives(t):
 @query()
 def negative_samples(t):
     batch = t("encoded").where("r = 2").withColumn("qid", F.col("u"))
-    return analytics.negative_samples(t("encoded"), batch, 4_000_000, 16)
+    return analytics.negative_samples(t("encoded"), batch, _typed(t).select("id"), 16)
 
 
 @query(", p AS (SELECT CAST(floor(v / 1000000) AS BIGINT) AS part, u, floor(u / 1000000) <> floor(v / 1000000) AS far FROM encoded) SELECT range AS part, 1000000::BIGINT AS local_n, (SELECT count(*) FROM p WHERE p.part = range) AS local_edges, (SELECT count(DISTINCT u) FROM p WHERE p.part = range AND far) AS boundary_sources FROM range(4)")
@@ -830,7 +868,7 @@ def link_prediction_ranks(t):
     return _lp(t)
 
 
-@query(_LP + ", prt AS (SELECT *, 'both' AS part FROM lp UNION ALL SELECT *, 'tail' FROM lp WHERE side = 'tail') SELECT part AS side, round(avg(rank), 4) AS mr, round(avg(1.0::DOUBLE / rank), 4) AS mrr, round(avg((rank <= 1)::INT), 4) AS \"hits@1\", round(avg((rank <= 3)::INT), 4) AS \"hits@3\", round(avg((rank <= 10)::INT), 4) AS \"hits@10\", round(avg((SELECT sum(factorial(50) / (factorial(i) * factorial(50 - i)) * pow((rank - 1)::DOUBLE / num_negative, i) * pow(1 - (rank - 1)::DOUBLE / num_negative, 50 - i)) FROM range(10) q(i))), 4) AS \"hits@10_50\" FROM prt GROUP BY part".replace("factorial(50) / (factorial(i) * factorial(50 - i))", "CASE i " + " ".join(f"WHEN {i} THEN {__import__('math').comb(50, i)}::DOUBLE" for i in range(10)) + " END"))
+@query(_LP + ", prt AS (SELECT *, 'both' AS part FROM lp UNION ALL SELECT *, 'tail' FROM lp WHERE side = 'tail') SELECT part AS side, round(avg(rank), 4) AS mr, round(avg(1.0::DOUBLE / rank), 4) AS mrr, round(avg((rank <= 1)::INT), 4) AS \"hits@1\", round(avg((rank <= 3)::INT), 4) AS \"hits@3\", round(avg((rank <= 10)::INT), 4) AS \"hits@10\", round(avg((SELECT sum(factorial(50) / (factorial(i) * factorial(50 - i)) * pow((rank - 1)::DOUBLE / num_negative, i) * pow(1 - (rank - 1)::DOUBLE / num_negative, 49 - i)) FROM range(10) q(i))), 4) AS \"hits@10_50\" FROM prt GROUP BY part".replace("factorial(50) / (factorial(i) * factorial(50 - i))", "CASE i " + " ".join(f"WHEN {i} THEN {__import__('math').comb(49, i)}::DOUBLE" for i in range(10)) + " END"))
 def link_prediction_metrics(t):
     return _rounded(metrics.link_prediction_metrics(_lp(t)))
 
@@ -875,23 +913,27 @@ def extract_question_entities(t):
     return models.extract_question_entities(asked, lambda s: models.toy_extractor(s).map(lambda x: x[0])).select("id", F.size("entities").alias("n"))
 
 
-@query("SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'e', '')))::DOUBLE AS e FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'e', '')))::DOUBLE AS e FROM documents")
 def embed_texts(t):
-    return models.embed_texts(t("documents").where("lang = 'en'"), models.toy_embedder).select("doc_id", F.get("vec", F.lit(4)).alias("e"))
+    return models.embed_texts(t("documents"), models.toy_embedder).select("doc_id", F.get("vec", F.lit(4)).alias("e"))
 
 
-@query("SELECT item_id AS query, 'Answer: \"' || substr(text, 1, 20) || '\"' AS response FROM benchmark WHERE text NOT LIKE '%é%'")
+@query("SELECT item_id AS query, 'Answer: \"' || text || '\"' AS response FROM benchmark")
 def generate_answers(t):
-    return models.generate_answers(t("benchmark").where("text NOT LIKE '%é%'").select(F.col("item_id").alias("query"), F.col("text").alias("context")), lambda s: s.map(lambda c: f'Answer: "{c[:20]}"'))
+    return models.generate_answers(t("benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("context")), lambda s: s.map(lambda c: f'Answer: "{c}"'))
 
 
 # --- increments -----------------------------------------------------------------------------------------------------
 
 @query("SELECT source, relation, target, count(*) AS n FROM told GROUP BY ALL")
 def increment_edges(t):
-    told = t("told")
-    store = increment.merge_counts(told.sparkSession.createDataFrame([], increment.COUNTS), told.where("source_id < 3"))
-    return increment.merge_counts(store, told.where("source_id >= 3"))
+    """The edges as a stream of several files, merged batch by batch."""
+    told = t("told").select("source", "relation", "target")
+    spark, folder = told.sparkSession, shared_folder(told.sparkSession, "increment")
+    told.repartition(4).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(told.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    increment.increment_edges(stream, f"{folder}/store", f"{folder}/progress").awaitTermination()
+    return increment.read_store(spark, f"{folder}/store")
 
 
 def _seen(t):
@@ -949,13 +991,110 @@ def edges_in_window(t):
     return increment.edges_in_window(t("told"), "2024-01-05", "2024-01-20").groupBy("source", "relation", "target").agg(F.count("*").alias("n"))
 
 
+def _pruned_counts(t) -> DataFrame:
+    """Tables that are read several times are cut first: the edges, the map and the canonical edges."""
+    edges = cut(t("edges"))
+    graph = Graph(t("nodes"), edges.select(F.col("relation").alias("name")).distinct(), edges)
+    kept = cut(resolve.canonicalise_graph(graph, cut(resolve.canonical_map(edges))).edges)
+    return resolve.relation_counts(resolve.prune_equivalent(kept, resolve.literal_nodes(kept)))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture edges → canonical names → pruned synonyms → edges per relation."""
-    t = lambda name: fixtures.table(spark, sf_dir, name)
-    g = resolve.canonicalise_graph(_graph(t), resolve.canonical_map(t("edges")))
-    return resolve.relation_counts(resolve.prune_equivalent(g.edges, resolve.literal_nodes(g.edges)))
+    return _pruned_counts(lambda name: fixtures.table(spark, sf_dir, name))
+
+
+query(f", {_MAP}, {_MOVED}, lit AS ({_LITERALS.replace('FROM edges', 'FROM kept')}), pruned AS (SELECT relation FROM kept WHERE relation <> 'equivalent' UNION ALL SELECT relation FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY shard_no, row_no, target) AS k FROM kept WHERE relation = 'equivalent' AND source NOT IN (SELECT name FROM lit) AND target NOT IN (SELECT name FROM lit)) WHERE k <= 10) SELECT relation, count(*) AS n FROM pruned GROUP BY relation ORDER BY n DESC, relation LIMIT 25", name="canonical_pruned_counts")(_pruned_counts)
+
+
+# --- sources and sinks: tables written into a folder of the checkpoint directory and read back -------------------------
+
+def _written(df: DataFrame, label: str, write) -> tuple[SparkSession, str]:
+    path = f"{shared_folder(df.sparkSession, label)}/{label}"
+    write(df, path)
+    return df.sparkSession, path
+
+
+def _json_files(df: DataFrame, by, value) -> DataFrame:
+    """One line of text a group, each a JSON document."""
+    return df.groupBy(by.alias("part")).agg(F.to_json(value).alias("value")).select("value")
+
+
+@query("SELECT 'node' AS kind, name, 'type' AS key, type AS value FROM nodes UNION ALL SELECT DISTINCT 'relation', relation, NULL, NULL FROM edges UNION ALL SELECT 'edge', source || '|' || relation || '|' || target, NULL, NULL FROM edges")
+def read_write_graph(t):
+    nodes = t("nodes").select("name", "type", F.create_map(F.lit("type"), "type").alias("attributes"))
+    relations = t("edges").select(F.col("relation").alias("name")).distinct()
+    spark, path = _written(nodes, "graph", lambda df, p: io.write_graph(Graph(df, relations, t("edges")), p))
+    g, none = io.read_graph(spark, path), F.lit(None).cast("string")
+    own = g.nodes.select(F.lit("node").alias("kind"), "name", F.map_keys("attributes")[0].alias("key"), F.element_at("attributes", "type").alias("value"))
+    return own.union(g.relations.select(F.lit("relation"), "name", none, none)).union(g.edges.select(F.lit("edge"), F.concat_ws("|", "source", "relation", "target"), none, none))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN NULL END AS name, CASE WHEN c_custkey % 3 < 2 THEN 1 ELSE 0 END AS n FROM customer")
+def parse_attributes(t):
+    said = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("{'name': '"), "c_name", F.lit("'}"))).when(F.col("c_custkey") % 3 == 1, F.lit("{'name': None}")).otherwise("")
+    got = t("customer").select("c_custkey", io.parse_attributes(said).alias("a"))
+    return got.select("c_custkey", F.element_at("a", "name").alias("name"), F.size("a").alias("n"))
+
+
+@query("SELECT title, content FROM docs")
+def read_documents(t):
+    pairs = F.map_from_entries(F.collect_list(F.struct("title", "content")))
+    listed = F.collect_list(F.struct("title", F.col("content").alias("text")))
+    own, part = t("docs"), F.floor(F.col("idx") / 500)
+    spark, a = _written(own.where("shard = 0"), "documents", lambda df, p: _json_files(df, part, pairs).write.option("maxRecordsPerFile", 1).text(p))
+    _, b = _written(own.where("shard <> 0"), "listed", lambda df, p: _json_files(df, part, listed).write.option("maxRecordsPerFile", 1).text(p))
+    return io.read_documents(spark, [a, b]).select("title", "content")
+
+
+@query("SELECT IDX, Type, PeriodStart, PeriodEnd, HeadquarteredCountries, AnnualRevenue, IndustrySectors, IncludedEntities, Link, ReportingEntities, ABN FROM register")
+def read_register(t):
+    own = t("register").drop("row_no")
+    spark, path = _written(own, "register", lambda df, p: df.write.options(header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(p))
+    return io.read_register(spark, path)
+
+
+@query("SELECT 'order ' || o_orderkey AS title, c_name || '|' || CASE WHEN two THEN r ELSE '' END AS said FROM dirty")
+def read_write_openie(t):
+    """A log of two lines a passage, of which the last stays."""
+    own = _openie(t).withColumn("passage", F.col("title"))
+    first = own.withColumn("extracted_entities", F.array(F.lit("old")))
+    spark, path = _written(first.coalesce(1), "openie", lambda df, p: (io.write_openie(df, p), io.write_openie(own.coalesce(1), f"{p}/z")))
+    got = io.read_openie(spark, [path, f"{path}/z"])
+    short = F.get("extracted_triples", F.lit(0))
+    return got.select("title", F.concat(F.get("extracted_entities", F.lit(0)), F.lit("|"), F.when(F.size(short) == 2, short[1]).otherwise("")).alias("said"))
+
+
+@query("SELECT 'c ' || o_orderkey AS title, c_name AS source, CASE WHEN blank THEN ' ! ' ELSE r END AS relation, t AS target, 'u' || o_orderkey AS url FROM dirty WHERE NOT two AND NOT four")
+def read_crawled_tuples(t):
+    own = _openie(t).select(F.regexp_replace("title", "^order", "c").alias("company"), F.array(F.regexp_replace("title", "^order ", "u")).alias("sources"), F.col("extracted_triples").alias("triples"))
+    files = lambda df, p: _json_files(df, F.pmod(F.xxhash64("company"), F.lit(16)), F.collect_list(F.struct("company", "sources", "triples"))).write.option("maxRecordsPerFile", 1).text(p)
+    spark, path = _written(own, "crawled", files)
+    return io.read_crawled_tuples(spark, path).select("title", "source", "relation", "target", F.get("sources", F.lit(0)).alias("url"))
+
+
+@query("SELECT shard, count(*) AS n, count(DISTINCT title) AS titles FROM docs GROUP BY shard")
+def write_shards(t):
+    spark, path = _written(t("docs"), "shards", io.write_shards)
+    return spark.read.json(path).groupBy(F.col("shard").cast("int").alias("shard")).agg(F.count("*").alias("n"), F.count_distinct("title").alias("titles"))
+
+
+@query("SELECT CAST(id AS STRING) AS id, gold AS question, response AS answer, alias FROM answers")
+def read_qa(t):
+    own = t("answers").select(F.col("id").cast("string").alias("id"), F.col("gold").alias("question"), F.col("response").alias("answer"), F.array("alias").alias("answer_aliases"))
+    files = lambda df, p: _json_files(df, F.pmod(F.xxhash64("id"), F.lit(8)), F.collect_list(F.struct(*own.columns))).write.option("maxRecordsPerFile", 1).text(p)
+    spark, path = _written(own, "qa", files)
+    return io.read_qa(spark, path).select("id", "question", "answer", F.get("answer_aliases", F.lit(0)).alias("alias"))
+
+
+@query("SELECT query, node, score FROM scores")
+def write_predictions(t):
+    spark, path = _written(t("scores"), "predictions", io.write_predictions)
+    return spark.read.json(path).select(F.col("query").cast("int").alias("query"), "node", "score")
 
 
-query(f", {_MAP}, {_MOVED}, lit AS ({_LITERALS.replace('FROM edges', 'FROM kept')}), pruned AS (SELECT relation FROM kept WHERE relation <> 'equivalent' UNION ALL SELECT relation FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY shard_no, row_no, target) AS k FROM kept WHERE relation = 'equivalent' AND source NOT IN (SELECT name FROM lit) AND target NOT IN (SELECT name FROM lit)) WHERE k <= 10) SELECT relation, count(*) AS n FROM pruned GROUP BY relation ORDER BY n DESC, relation LIMIT 25", name="canonical_pruned_counts")(
-    lambda t: resolve.relation_counts(resolve.prune_equivalent((g := resolve.canonicalise_graph(_graph(t), resolve.canonical_map(t("edges")))).edges, resolve.literal_nodes(g.edges)))
-)
+@query("SELECT 'task ' || query % 3 AS task_type, count(*) AS n, round(sum(score), 4) AS score FROM scores GROUP BY 1")
+def split_by_task(t):
+    own = t("scores").withColumn("task_type", F.concat(F.lit("task "), (F.col("query") % 3).cast("string")))
+    spark, path = _written(own, "tasks", rank.split_by_task)
+    return spark.read.json(path).groupBy("task_type").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("score"))

@@ -27,7 +27,7 @@ base AS (
   UNION ALL SELECT s_name, 'headquartered in', n_name, 30000000 + s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT n_name, 'is part of', r_name, 40000000 + n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT c_name, 'operates in sector', c_mktsegment, 50000000 + c_custkey FROM customer
-  UNION ALL SELECT c_name, 'has revenue band', CAST(CAST(floor(c_acctbal / 1000) AS BIGINT) AS STRING) || 'k', 60000000 + c_custkey FROM customer
+  UNION ALL SELECT c_name, CASE WHEN c_custkey % 2 = 0 THEN 'has annual revenue band' ELSE 'has revenue band' END, CAST(CAST(floor(c_acctbal / 1000) AS BIGINT) AS STRING) || 'k', 60000000 + c_custkey FROM customer
   UNION ALL SELECT a.c_name, 'filed joint statement with', b.c_name, 70000000 + a.c_custkey FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey % 3 <> 2
   UNION ALL SELECT DISTINCT s_name, 'supplies', 'part ' || CAST(l_partkey AS STRING), 1000000000 + s_suppkey * 1000000 + l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
   UNION ALL SELECT 'part ' || CAST(a.p_partkey AS STRING), 'equivalent', 'part ' || CAST(b.p_partkey AS STRING), 1000000000000 + a.p_partkey * 1000000 + b.p_partkey
@@ -42,8 +42,8 @@ nodes AS (
   FROM (SELECT source AS name, row_no FROM base UNION ALL SELECT target, row_no FROM base) WHERE name NOT LIKE 'ghost %' AND name <> 'part 0' GROUP BY name),
 mentions AS (SELECT DISTINCT source AS entity, target AS doc FROM base WHERE relation = 'supplies' AND source NOT LIKE 'ghost %'),
 scores AS (
-  SELECT n_nationkey AS query, s_name AS node, CAST((n_nationkey * 31 + s_suppkey * 17) % 1000 AS DOUBLE) / 1000 AS score FROM nation, supplier WHERE n_nationkey < 20),
-targets AS (SELECT n_nationkey AS query, s_name AS node FROM nation, supplier WHERE n_nationkey < 20 AND (n_nationkey + s_suppkey) % 7 = 0),
+  SELECT n_nationkey AS query, s_name AS node, CAST((n_nationkey * 31 + s_suppkey * 17) % 1000 AS DOUBLE) / 1000 AS score FROM nation, supplier),
+targets AS (SELECT n_nationkey AS query, s_name AS node FROM nation, supplier WHERE (n_nationkey + s_suppkey) % 7 = 0),
 register AS (
   SELECT '2024-' || CAST(a.c_custkey AS STRING) AS IDX,
     CASE WHEN a.c_custkey % 97 = 0 THEN '' ELSE a.c_name || ' (' || {_SPACED.format("a.abn")} || ')'
@@ -51,7 +51,11 @@ register AS (
     CASE WHEN a.c_custkey % 11 = 0 THEN '' ELSE CAST(2000 + a.c_custkey % 20 AS STRING) || '-01-01' END AS PeriodStart, '2024-12-31' AS PeriodEnd,
     CASE WHEN a.c_custkey % 11 = 0 THEN '' ELSE CAST(CAST(floor(a.c_acctbal / 1000) AS BIGINT) AS STRING) || 'k' END AS AnnualRevenue,
     CASE WHEN a.c_custkey % 11 = 0 THEN '' ELSE n_name END AS HeadquarteredCountries,
-    CASE WHEN a.c_custkey % 11 = 0 THEN '' ELSE a.c_mktsegment END AS IndustrySectors, a.c_custkey AS row_no
+    CASE WHEN a.c_custkey % 11 = 0 THEN '' ELSE a.c_mktsegment END AS IndustrySectors,
+    CASE WHEN a.c_custkey % 3 = 0 THEN '' ELSE 'Mandatory' END AS Type, CASE WHEN a.c_custkey % 7 = 0 THEN 'Included ' || a.c_name ELSE '' END AS IncludedEntities,
+    CASE WHEN a.c_custkey % 2 = 0 THEN 'https://register/' || CAST(a.c_custkey AS STRING) ELSE '' END AS Link,
+    CASE WHEN a.c_custkey % 97 = 0 THEN '' ELSE {_SPACED.format("a.abn")} || CASE WHEN a.c_custkey % 5 = 0 AND b.c_name IS NOT NULL THEN ', ' || b.abn ELSE '' END END AS ABN,
+    a.c_custkey AS row_no
   FROM named a JOIN nation ON a.c_nationkey = n_nationkey LEFT JOIN named b ON b.c_custkey = a.c_custkey + 1),
 docs AS (
   SELECT 'Modern slavery statement ' || IDX || ': ' || ReportingEntities AS title, IDX || ' ' || IndustrySectors AS content, row_no - 1 AS idx, row_no % 4 AS shard FROM register WHERE row_no % 13 <> 0
