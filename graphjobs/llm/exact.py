@@ -138,7 +138,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     name = own_name(docs, "key")
     doc_id, text = columns(docs, "doc_id", "text")
     keyed = docs.withColumn(name, key(doc_id, F.sha2(normal(text), 256)))
-    alone = keyed.join(marked.where("not stays or n > 1").select(F.col("key").alias(name)), name, "left_anti").select(*docs.columns)
+    # always a merge: what goes has no bound, so neither the plan nor its disk turns with its size
+    alone = keyed.hint("merge").join(marked.where("not stays or n > 1").select(F.col("key").alias(name)), name, "left_anti").select(*docs.columns)
     if not marked.where("stays and n > 1").head(1):
         return alone
     # rows that repeat id and text: one of each, combined before the shuffle
