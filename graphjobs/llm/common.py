@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,6 +53,29 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_open = threading.local()
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[dict[str, DataFrame]]:
+    """Path → table of what this thread stages in the block and doesn't delete."""
+    made: dict[str, DataFrame] = {}
+    _open.blocks = [*getattr(_open, "blocks", []), made]
+    try:
+        yield made
+    finally:
+        _open.blocks = _open.blocks[:-1]
+
+
+def release(made: dict[str, DataFrame], *needed: DataFrame) -> None:
+    """Delete the recorded tables, but for those whose files a needed table reads."""
+    read = {f.rsplit("/", 2)[-2] for df in needed for f in df.inputFiles()} if made else set()
+    for path, df in list(made.items()):
+        if path.rsplit("/", 1)[-1] not in read:
+            unstage(df)
+            made.pop(path, None)
+
+
 def stage(df: DataFrame, label: str, *spent: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs nothing before it.
     spent: staged tables that nothing reads after this one; they are deleted."""
@@ -59,6 +85,8 @@ def stage(df: DataFrame, label: str, *spent: DataFrame) -> DataFrame:
         unstage(gone)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    for made in getattr(_open, "blocks", ()):
+        made[path] = out
     return out
 
 
@@ -67,6 +95,8 @@ def unstage(df: DataFrame) -> None:
     jvm = df.sparkSession._jvm
     path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    for made in getattr(_open, "blocks", ()):
+        made.pop(df._staged_at, None)
 
 
 def own_name(df: DataFrame, name: str) -> str:
