@@ -206,3 +206,17 @@ def kth_largest(df: DataFrame, col: str, k: int) -> int | None:
                 break
             k -= count
     return lo
+
+
+def bits_of(rows: int, most: int) -> int:
+    """Leading bits of a hash that deal this many rows into ranges of about ``most``."""
+    return int(np.clip(np.ceil(np.log2(max(1, rows) / most)), 0, 30))
+
+
+def dealt(hashes: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(range, start, end) of each hash range, by leading bits, that some sorted unsigned hashes fall in."""
+    if not len(hashes):
+        return []
+    part = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    return list(zip(part[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True))

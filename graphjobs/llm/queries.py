@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, exact, mixing, packing, quality, secrets, sharding, simhash, tokencount, warc
+from . import collocations, embeddings, exact, mixing, packing, quality, secrets, sharding, simhash, tokencount, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,14 @@ def op10_sharding(spark, sf_dir):
     return sharding.shards(_table(spark, sf_dir, "documents")).drop("bits")
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = None  # no XXH64 in SQL: tests/llm compares with brute force
 
 OP4_SQL = """
@@ -66,9 +74,15 @@ FROM normal WINDOW w AS (PARTITION BY text_sha256)"""
 
 
 def queries():
-    names = (op1_simhash, op2_quality, op3_secrets, op4_exact, op5_tokencount, op6_embeddings, op7_warc, op8_packing, op9_mixing, op10_sharding)
+    names = (
+        op1_simhash, op2_quality, op3_secrets, op4_exact, op5_tokencount, op6_embeddings, op7_warc, op8_packing, op9_mixing, op10_sharding,
+        op11_whitening, op13_collocations,
+    )
     return {f.__name__: f for f in names}
 
 
 def oracle_sql():
-    return {"op4_exact": OP4_SQL, "op6_embeddings": embeddings.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_sharding": sharding.ORACLE_SQL}
+    return {
+        "op4_exact": OP4_SQL, "op6_embeddings": embeddings.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL,
+        "op10_sharding": sharding.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL,
+    }
