@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, embeddings, exact, mixing, packing, quality, secrets, sharding, simhash, tokencount, warc, whitening
+from . import collocations, embeddings, exact, mixing, packing, quality, repeats, secrets, sharding, simhash, tokencount, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_whitening(spark, sf_dir):
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_repeats(spark, sf_dir):
+    return repeats.digest(_table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark, sf_dir):
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
@@ -76,7 +80,7 @@ FROM normal WINDOW w AS (PARTITION BY text_sha256)"""
 def queries():
     names = (
         op1_simhash, op2_quality, op3_secrets, op4_exact, op5_tokencount, op6_embeddings, op7_warc, op8_packing, op9_mixing, op10_sharding,
-        op11_whitening, op13_collocations,
+        op11_whitening, op12_repeats, op13_collocations,
     )
     return {f.__name__: f for f in names}
 
