@@ -1,18 +1,17 @@
 """Vector joins and entity linking. Vectors are arrays; scores are inner products.
 
 Up to BLOCK queries are broadcast and meet the corpus batch by batch, a matrix product a tile, and a task keeps k rows a query.
-More queries are cut into blocks by hash, as is the corpus, and each two blocks meet in a group of their own. That work grows
-with queries times corpus, as the exact answer's does; nothing but a block of queries passes through the driver.
+More queries, and synonyms, go by pivots (``pivots.py``): blocks of the corpus that can't reach a query's k-th score are skipped.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import top
+from .pivots import maxsim_topk, pruned_topk, ranked  # noqa: F401
 
 BLOCK = 20_000
 #: Queries whose scores against one batch of the corpus are held at a time.
@@ -49,47 +48,16 @@ def _block_topk(asked: pd.DataFrame, corpus: DataFrame, k: int, kinds: tuple[str
     return corpus.select("id", "vec").mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
 
 
-def _crossed(queries: DataFrame, corpus: DataFrame, k: int, kinds: tuple[str, str], blocks: int) -> DataFrame:
-    """Every block of queries with every block of the corpus, a group each, within Spark: for queries beyond one block."""
-    others = max(1, -(-corpus.count() // BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("id", "vec", block(blocks).alias("a"), each(others).alias("b"))
-    right = corpus.select("id", "vec", block(others).alias("b"), each(blocks).alias("a"))
-
-    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(held):
-            return pd.DataFrame({"query_id": asked["id"][:0], "id": held["id"][:0], "score": np.zeros(0)})
-        return pd.concat(_tiles(asked["id"].to_numpy(), np.stack(asked["vec"].to_numpy()).astype(np.float64), held, k), ignore_index=True)
-
-    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
-
-
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 1) -> DataFrame:
     """(query_id, id, score, norm_score, rank): the k best of corpus (id, vec) for each of queries (id, vec)."""
     queries, corpus = queries.where("vec is not null"), corpus.where("vec is not null")
     kinds = (dict(queries.dtypes)["id"], dict(corpus.dtypes)["id"])
-    blocks = -(-queries.count() // BLOCK)
-    if not blocks:
+    asked = queries.count()
+    if not asked:
         return corpus.sparkSession.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, score double, norm_score double, rank int")
-    found = _block_topk(queries.select("id", "vec").toPandas(), corpus, k, kinds) if blocks == 1 else _crossed(queries, corpus, k, kinds, blocks)  # at most BLOCK rows
-    best = top(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
-    first = F.max("score").over(Window.partitionBy("query_id"))
-    return best.select("query_id", "id", "score", (F.col("score") / first).alias("norm_score"), "rank")
-
-
-def dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def maxsim_topk(query_tokens: DataFrame, doc_tokens: DataFrame, k: int = 1) -> DataFrame:
-    """Late interaction: the sum over a query's tokens of the best product with a document's; tokens: (id, token, vec)."""
-    q = query_tokens.select(F.col("id").alias("query_id"), F.col("token").alias("qt"), F.col("vec").alias("qv"))
-    pairs = doc_tokens.crossJoin(F.broadcast(q)) if q.count() <= BLOCK else doc_tokens.crossJoin(q)  # stated queries against all rows
-    each = pairs.groupBy("query_id", "id", "qt").agg(F.max(dot("qv", "vec")).alias("m"))
-    best = top(each.groupBy("query_id", "id").agg(F.sum("m").alias("score")), ["query_id"], [F.desc("score"), F.asc("id")], k)
-    first = F.max("score").over(Window.partitionBy("query_id"))
-    return best.select("query_id", "id", "score", F.when(first == 0, 0.0).otherwise(F.col("score") / first).alias("norm_score"), "rank")
+    if asked > BLOCK:
+        return pruned_topk(queries, corpus, k)
+    return ranked(_block_topk(queries.select("id", "vec").toPandas(), corpus, k, kinds), k)
 
 
 def link_entities(queries: DataFrame, mentions: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -6,27 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import abn_spaced, entity_names, is_company_name, is_valid_abn, norm_abn, normalise_text, strip, title_idx
-
-GRAM = 3
-
-
-def contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """(scope, needle) of those that some text of their scope contains; both: (scope, needle) and (scope, text), normalised.
-
-    A needle meets texts by its rarest three letters, and texts are verified by substring; grams carry a text's hash, not the
-    text. An empty needle is always found and one of one or two letters meets all distinct texts of its scope."""
-    needles, texts = needles.select("scope", "needle").distinct(), texts.select("scope", "text").distinct().withColumn("tid", F.xxhash64("text"))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substring(c, i, F.lit(GRAM))))
-    spread = texts.where(F.length("text") >= GRAM).select("scope", "tid", F.explode(grams(F.col("text"))).alias("gram"))
-    often = spread.groupBy("scope", "gram").agg(F.count("*").alias("n"))
-    long = needles.where(F.length("needle") >= GRAM)
-    keyed = long.select("scope", "needle", F.explode(grams(F.col("needle"))).alias("gram")).join(often, ["scope", "gram"], "left")
-    rarest = keyed.groupBy("scope", "needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    met = spread.join(rarest, ["scope", "gram"]).select("scope", "needle", "tid")
-    hit = met.join(texts, ["scope", "tid"]).where(F.col("text").contains(F.col("needle"))).select("scope", "needle")
-    letters = texts.select("scope", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.array(F.substring("text", i, F.lit(1)), F.substring("text", i, F.lit(2))))).alias("a"))
-    short = letters.select("scope", F.explode("a").alias("needle")).distinct().join(needles.where(F.length("needle").between(1, GRAM - 1)), ["scope", "needle"], "left_semi")
-    return hit.union(short.select("scope", "needle")).union(needles.where("needle = ''")).distinct()
+from .needles import contained, containing
 
 
 def register_facts(docs: DataFrame, register: DataFrame) -> DataFrame:
@@ -50,18 +30,26 @@ def register_facts(docs: DataFrame, register: DataFrame) -> DataFrame:
     return own.select("shard", F.col("IDX").alias("idx"), F.explode(facts).alias("f")).where("f is not null").select("shard", "idx", "f.*")
 
 
-def verify_facts(facts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(kind, found, expected, recall): facts of which some needle occurs in a node or edge text of the shard."""
+def _looked_for(facts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(shard, idx, kind, needles, hit): each distinct fact, and whether some needle of it occurs in a node or edge text of its shard."""
     texts = nodes.select(F.col("shard").alias("scope"), normalise_text("name").alias("text"))
     texts = texts.union(edges.select("shard", normalise_text(F.concat_ws(" ", "source", "relation", "target"))))
-    asked = facts.select(F.col("shard").alias("scope"), F.explode("needles").alias("needle")).distinct()
-    hits = contained(asked, texts).withColumn("hit", F.lit(1))
-    spread = facts.withColumn("key", F.xxhash64("shard", "idx", "kind", "needles")).select("key", "kind", F.col("shard").alias("scope"), F.explode("needles").alias("needle"))
-    met = spread.join(hits, ["scope", "needle"], "left").groupBy("key", "kind").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
-    out = met.groupBy("kind").agg(F.sum("hit").alias("found"), F.count("*").alias("expected"))
+    spread = facts.select("shard", "idx", "kind", "needles", F.explode("needles").alias("needle"))
+    hits = contained(spread.select(F.col("shard").alias("scope"), "needle").distinct(), texts).select(F.col("scope").alias("shard"), "needle", F.lit(True).alias("hit"))
+    return spread.join(hits, ["shard", "needle"], "left").groupBy("shard", "idx", "kind", "needles").agg(F.max(F.coalesce("hit", F.lit(False))).alias("hit"))
+
+
+def verify_facts(facts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, found, expected, recall): facts of which some needle occurs in a node or edge text of the shard."""
+    out = _looked_for(facts, nodes, edges).groupBy("kind").agg(F.sum(F.col("hit").cast("long")).alias("found"), F.count("*").alias("expected"))
     return out.withColumn("recall", F.col("found") / F.col("expected"))
 
 
+def missing_facts(facts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(shard, idx, kind, needles): the facts that ``verify_facts`` doesn't find."""
+    return _looked_for(facts, nodes, edges).where("NOT hit").drop("hit")
+
+
 def unregistered_docs(docs: DataFrame, register: DataFrame) -> DataFrame:
     return docs.withColumn("IDX", title_idx("title")).join(register.select("IDX"), "IDX", "left_anti").select(*docs.columns)
 
@@ -74,12 +62,7 @@ def suspect_entities(nodes: DataFrame, register: DataFrame) -> DataFrame:
     names = listed.select(F.lit(0).alias("scope"), "n").select("scope", normalise_text("n").alias("text")).where("text <> ''").distinct()
     own = nodes.where((F.col("type") != "document") & is_company_name("name")).select("name", F.lit(0).alias("scope"), normalise_text("name").alias("needle"))
     within = contained(own, names).select("needle")
-    # register names inside node names: keyed by the register name's rarest gram
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - GRAM + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(GRAM))))
-    spread = own.select("needle", F.explode(grams(F.col("needle"))).alias("gram")).distinct()
-    often = spread.groupBy("gram").agg(F.count("*").alias("n"))
-    keyed = names.select("text", F.explode(grams(F.col("text"))).alias("gram")).join(often, "gram", "left").groupBy("text").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    around = spread.join(keyed, "gram").where(F.col("needle").contains(F.col("text"))).select("needle")
+    around = containing(own.select("scope", F.col("needle").alias("text")), names.select("scope", F.col("text").alias("needle"))).select("text")
     return own.join(within.union(around).distinct(), "needle", "left_anti").select("name")
 
 

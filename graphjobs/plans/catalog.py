@@ -449,16 +449,26 @@ def _shard_graph(t):
     return edges.select("shard", F.col("source").alias("name")).distinct(), edges
 
 
-@query(_LISTED + f""", texts AS (SELECT DISTINCT shard_no AS shard, {NORM.format("source || ' ' || relation || ' ' || target")} AS x FROM edges UNION SELECT shard_no, {NORM.format('source')} FROM edges),
+_LOOKED_FOR = f""", texts AS (SELECT DISTINCT shard_no AS shard, {NORM.format("source || ' ' || relation || ' ' || target")} AS x FROM edges UNION SELECT shard_no, {NORM.format('source')} FROM edges),
 asked AS (SELECT DISTINCT shard, kind, idx, needles FROM facts), each AS (SELECT DISTINCT shard, unnest(string_split(needles, '|')) AS needle FROM asked),
 hit AS (SELECT DISTINCT e.shard, e.needle FROM each e JOIN texts t ON t.shard = e.shard AND contains(t.x, e.needle)),
 got AS (SELECT kind, shard, idx, needles, bool_or(h.needle IS NOT NULL) AS found FROM (SELECT *, unnest(string_split(needles, '|')) AS needle FROM asked) a LEFT JOIN hit h USING (shard, needle) GROUP BY ALL)
+"""
+
+
+@query(_LISTED + _LOOKED_FOR + """
 SELECT kind, count(*) FILTER (found) AS found, count(*) AS expected, round(count(*) FILTER (found)::DOUBLE / count(*), 4) AS recall FROM got GROUP BY kind""")
 def verify_facts(t):
     nodes, edges = _shard_graph(t)
     return verify.verify_facts(_facts(t), nodes, edges).select("kind", "found", "expected", _r("recall"))
 
 
+@query(_LISTED + _LOOKED_FOR + "SELECT shard, idx, kind, needles FROM got WHERE NOT found")
+def missing_facts(t):
+    nodes, edges = _shard_graph(t)
+    return verify.missing_facts(_facts(t), nodes, edges).withColumn("needles", F.array_join("needles", "|"))
+
+
 @query("SELECT title, content FROM docs WHERE title LIKE '%statement x-%'")
 def unregistered_docs(t):
     return verify.unregistered_docs(t("docs").select("title", "content"), t("register"))
@@ -991,6 +1001,29 @@ def edges_in_window(t):
     return increment.edges_in_window(t("told"), "2024-01-05", "2024-01-20").groupBy("source", "relation", "target").agg(F.count("*").alias("n"))
 
 
+@query("""
+, early AS (SELECT max(ts) - INTERVAL 10 DAY AS mark FROM told WHERE source_id < 5),
+dealt AS (SELECT date_trunc('day', ts) AS day, relation, source_id >= 5 AND date_trunc('day', ts) + INTERVAL 1 DAY <= mark AS late FROM told, early)
+SELECT strftime(day, '%Y-%m-%d') AS day, relation, count(*) AS n FROM dealt WHERE NOT late GROUP BY ALL
+UNION ALL SELECT 'late', NULL, count(*) FILTER (late) FROM dealt""")
+def edges_in_window_stream(t):
+    """Files out of order: the edges of two sources come after the others', and the older of them too late."""
+    utc = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp").alias("ts")
+    told = t("told").select("source", "relation", "target", utc, "source_id")
+    spark, folder = told.sparkSession, shared_folder(told.sparkSession, "windows")
+    kind, last = told, told.agg(F.expr("max(ts) + INTERVAL 1000 DAY").alias("ts"))
+    end = last.select(F.lit("end").alias("source"), F.lit("end").alias("relation"), F.lit("end").alias("target"), "ts", F.lit(0).cast("long").alias("source_id"))
+    for files in (kind.where("source_id < 5"), kind.where("source_id >= 5"), end):
+        files.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(kind.schema).parquet(f"{folder}/in")
+        increment.stream_windows(stream, f"{folder}/out", f"{folder}/progress", "1 day", "10 days").awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    day = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("start").cast("timestamp_ntz")), "yyyy-MM-dd")
+    days = out.groupBy(day.alias("day"), "relation").agg(F.sum("n").alias("n"))  # the end itself is never final
+    late = out.agg(F.sum("n").alias("kept")).crossJoin(told.agg(F.count("*").alias("all")))  # a row each
+    return days.unionByName(late.select(F.lit("late").alias("day"), F.lit(None).cast("string").alias("relation"), (F.col("all") - F.col("kept")).alias("n")))
+
+
 def _pruned_counts(t) -> DataFrame:
     """Tables that are read several times are cut first: the edges, the map and the canonical edges."""
     edges = cut(t("edges"))
