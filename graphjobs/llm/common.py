@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Texts are long, so few of them make an Arrow batch; a Python worker holds one batch at a time.
 BATCH_ROWS = 256
+#: Whether Spark deletes a query's shuffle files once it has ended.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Text in a batch; cut into words it takes about ten times as much.
 BATCH_BYTES = "8m"
 
@@ -67,20 +69,17 @@ def recorded() -> Iterator[dict[str, DataFrame]]:
         _open.blocks = _open.blocks[:-1]
 
 
-def release(made: dict[str, DataFrame], *needed: DataFrame) -> None:
-    """Delete the recorded tables, but for those whose files a needed table reads."""
-    read = {f.rsplit("/", 2)[-2] for df in needed for f in df.inputFiles()} if made else set()
-    for path, df in list(made.items()):
-        if path.rsplit("/", 1)[-1] not in read:
-            unstage(df)
-            made.pop(path, None)
-
-
 def stage(df: DataFrame, label: str, *spent: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs nothing before it.
     spent: staged tables that nothing reads after this one; they are deleted."""
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    path, spark = new_folder(df.sparkSession, label), df.sparkSession
+    # nothing but this write reads its shuffles, so their files go with it and don't add up over a job's stages
+    held = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, held)
     for gone in spent:
         unstage(gone)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

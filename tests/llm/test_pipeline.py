@@ -50,6 +50,22 @@ def test_stages_on_odd_rows(spark, make_docs, tmp_path):
             docs = out
 
 
+def test_stages_leave_each_others_results(spark, make_docs):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first = corpus_pipeline.keep_quality(spark, docs, sf)
+    other = corpus_pipeline.mix_sources(spark, make_docs([(1, "a b", "x"), (2, "c", "y")]), sf)
+    second = corpus_pipeline.drop_copies(spark, docs, sf)
+    assert first.count() > 0 and second.count() > 0 and other.count() > 0
+
+
+def test_run_deletes_what_it_wrote(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[1:2] * 2)
+    with common.recorded() as made:
+        out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+        assert list(made.values()) == [out] and out.count() > 0
+
+
 def test_no_local_folder_on_a_cluster(spark, monkeypatch):
     class Cluster:
         conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: None)})
