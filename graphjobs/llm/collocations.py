@@ -24,9 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import afresh, bits_of, columns, dealt, small_batches, stage, unstage
+from .common import afresh, bits_of, columns, dealt, ranked, small_batches, stage, unstage
 
-LEAST, TOP, SHARD = 10, 2000, 1 << 20
+LEAST, TOP, SHARD = 10, 2000, 1 << 19
 #: Words of a phrase at most, so the depth to which an index is sorted.
 DEPTH = 3
 #: Pairs that a hash range is to hold.
@@ -54,7 +54,7 @@ class FMIndex:
     Rows with the same next ``DEPTH`` words stand in any order, which no interval of a phrase that short can see."""
 
     def __init__(self, words: np.ndarray):
-        framed = np.concatenate(([0], words, [0])).astype(np.int64)
+        framed = np.concatenate(([0], words, [0])).astype(np.int32)
         self.start = np.concatenate(([0], np.cumsum(np.bincount(framed))))
         self.before, self.back = self._side(framed)
         self.behind, self.back_r = self._side(framed[::-1])
@@ -63,11 +63,14 @@ class FMIndex:
     def _side(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The word before each row, and the row of the suffix that starts with it (backward steps)."""
         wide = int(seq.max()) + 1
-        ahead = [np.concatenate((seq[i:], np.zeros(i, np.int64))) for i in range(DEPTH)]
         if wide**DEPTH < 2**63:
-            order = np.argsort(sum(a * wide ** (DEPTH - 1 - i) for i, a in enumerate(ahead)))
+            key = np.zeros(len(seq), np.int64)
+            for i in range(DEPTH):
+                key *= wide
+                key[: len(seq) - i] += seq[i:]
+            order = np.argsort(key)
         else:
-            order = np.lexsort(ahead[::-1])
+            order = np.lexsort([np.concatenate((seq[i:], np.zeros(i, np.int32))) for i in range(DEPTH)][::-1])
         before = seq[order - 1]
         back = np.empty(len(seq), np.int64)
         back[np.argsort(before, kind="stable")] = np.arange(len(seq))
@@ -276,14 +279,15 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, shard: int
     named = scored.withColumn("c", F.monotonically_increasing_id())
     named = stage(named.join(words.select("id", "lang").withColumnRenamed("id", "first"), F.element_at("ids", 1) == F.col("first")).drop("first"), "langs", scored)
     # all that tie with the last one stay until the phrases are read
-    level = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    near = stage(named.withColumn("near", F.rank().over(level)).where(F.col("near") <= top), "near", named)
+    placed = ranked(named, "lang", [F.desc("score"), F.desc("a")])
+    last = placed.where(F.col("rank") == top).select("lang", F.struct("score", "a").alias("last"))
+    near = placed.drop("rank").join(last, "lang", "left").where(F.col("last").isNull() | (F.struct("score", "a") >= F.col("last")))
+    near = stage(near.drop("last"), "near", named)
     spelt = near.select("c", F.posexplode("ids").alias("at", "id")).join(words.select("id", "word"), "id").groupBy("c")
     spelt = spelt.agg(F.array_sort(F.collect_list(F.struct("at", F.col("word").cast("string").alias("word")))).alias("parts"))
     whole = near.join(spelt.select(afresh(F.col("c")).alias("c"), F.concat_ws(" ", "parts.word").alias("phrase")), "c").join(totals, "lang")
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    best = ranked(whole, "lang", [F.desc("score"), F.desc("a"), F.asc("phrase")]).where(F.col("rank") <= top)
+    return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 #: Phrases by the words that follow one another in a piece.
