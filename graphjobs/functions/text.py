@@ -45,7 +45,10 @@ def abn_checksum(c) -> Column:
 
 def is_valid_abn(c, check_checksum: bool = True) -> Column:
     own = norm_abn(c)
-    return own.isNotNull() & (abn_checksum(own) if check_checksum else F.lit(True))
+    if not check_checksum:
+        return own.isNotNull()
+    # a lambda names the digits once: eleven copies of how they were found would make very long code
+    return F.get(F.transform(F.array(own), lambda a: F.coalesce(abn_checksum(a), F.lit(False))), F.lit(0))
 
 
 def abn_spaced(c) -> Column:
@@ -195,13 +198,17 @@ def truncate_normalise(vec, d: int | None = None) -> Column:
 
 
 def build_context(retrieved: DataFrame, questions: DataFrame, question_prompt: str = "{question}") -> DataFrame:
-    """(query, context): a block for each type, of items with key: value lines, then the question, and the thoughts behind it.
-
-    retrieved: (query, type, rank, name, content), a few rows a query; questions: (query, question[, thoughts: array])."""
-    item = F.concat_ws("\n", F.concat(F.lit("name: "), "name"), F.concat(F.lit("content: "), "content"))
-    blocks = retrieved.groupBy("query", "type").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("text")))).alias("items"))
+    """(query, context): a block for each type, of items with a key: value line for each column, then the question, and the
+    thoughts behind it.
+
+    retrieved: (query, type, rank, then an item's columns in their order), a few rows a query; types come by type_no where
+    retrieved has it, else by name, and a null value is None. questions: (query, question[, thoughts: array])."""
+    held = [c for c in retrieved.columns if c not in ("query", "type", "rank", "type_no")]
+    item = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("None"))) for c in held])
+    place = F.min("type_no") if "type_no" in retrieved.columns else F.lit(0)
+    blocks = retrieved.groupBy("query", "type").agg(place.alias("place"), F.array_sort(F.collect_list(F.struct("rank", item.alias("text")))).alias("items"))
     block = F.concat(F.lit("## Relevant "), "type", F.lit(":\n\n"), F.concat_ws("\n\n", F.col("items.text")), F.lit("\n\n"))
-    whole = blocks.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("type", block.alias("text")))).alias("blocks"))
+    whole = blocks.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "type", block.alias("text")))).alias("blocks"))
     before, _, after = question_prompt.partition("{question}")
     thoughts = F.concat_ws(" ", "thoughts") if "thoughts" in questions.columns else F.lit("")
     context = F.concat(F.concat_ws("", F.col("blocks.text")), F.lit(before), "question", F.lit(after), thoughts)

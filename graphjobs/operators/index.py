@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import attributes_to_text
 from .graph import cut, order_key, top
 from .kg import MENTIONED
 
@@ -70,12 +71,17 @@ def target_to_other(encoded: DataFrame, node_ids: DataFrame, type: str = "entity
     return other.groupBy("other_type", "u", "v").agg(F.count("*").alias("weight"))
 
 
-def embedding_inputs(node_ids: DataFrame, rel_ids: DataFrame, n_relations: int, inverse: str = "text") -> DataFrame:
-    """(kind, id, text, sign): texts to embed; inverse relations as a text or as the negated vector of the relation."""
-    nodes = node_ids.select(F.lit("node").alias("kind"), "id", F.concat_ws("\n", F.concat(F.lit("name: "), "name"), F.concat(F.lit("type: "), "type")).alias("text"), F.lit(1).alias("sign"))
-    rels = rel_ids.select(F.lit("relation"), "id", "name", F.lit(1))
-    back = rel_ids.select(F.lit("relation"), F.col("id") + n_relations, F.concat(F.lit("inverse "), "name") if inverse == "text" else F.col("name"), F.lit(1 if inverse == "text" else -1))
-    return nodes.union(rels).union(back)
+def embedding_inputs(node_ids: DataFrame, rel_ids: DataFrame, n_relations: int, inverse: str = "text", edges: DataFrame | None = None) -> DataFrame:
+    """(kind, id, text, sign): texts to embed, of name, type and attributes (a map, where a table has it). Inverse relations as a
+    text of their own, or (``inverse``) as the negated vector of the relation. edges: (id, attributes), with attributes alone."""
+    def rows(df, kind, id_, sign=1, **given):
+        own = F.col("attributes") if "attributes" in df.columns else F.create_map().cast("map<string,string>")
+        return df.select(F.lit(kind).alias("kind"), id_.cast("long").alias("id"), attributes_to_text(own, **given).alias("text"), F.lit(sign).alias("sign"))
+
+    back, name = F.col("id") + n_relations, F.col("name")
+    out = rows(node_ids, "node", F.col("id"), name=name, type=F.col("type")).union(rows(rel_ids, "relation", F.col("id"), name=name))
+    out = out.union(rows(rel_ids, "relation", back, name=F.concat(F.lit("inverse_"), name)) if inverse == "text" else rows(rel_ids, "relation", back, -1, name=name))
+    return out if edges is None else out.union(rows(edges, "edge", F.col("id")))
 
 
 def qa_masks(samples: DataFrame, node_ids: DataFrame, skip_empty_target: bool = True) -> DataFrame:

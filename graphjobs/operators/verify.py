@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import abn_spaced, entity_names, is_company_name, is_valid_abn, norm_abn, normalise_text, strip, title_idx
+from .graph import cut
 from .needles import contained, containing
 
 
@@ -73,7 +74,8 @@ def fact_gate(triples: DataFrame, expected: DataFrame, known_entities: DataFrame
     checksum alone; precision counts the valid ones, or the known ones where these are given, among all tried. Ungrounded
     entities are told but don't decide. Arrays are sorted; numbers are rounded to four places."""
     is_abn = F.lower(strip("r")).isin(*abn_rels)
-    rows = triples.withColumn("is_abn", is_abn).withColumn("abn", F.when(is_abn, norm_abn("t"))).withColumn("valid", F.coalesce(is_abn & is_valid_abn("t"), F.lit(False)))
+    rows = triples.select("doc_id", "s", "t", is_abn.alias("is_abn"), F.when(is_abn, norm_abn("t")).alias("abn"), F.coalesce(is_abn & is_valid_abn("t"), F.lit(False)).alias("valid"))
+    rows = cut(rows)  # read three times
     numbers = rows.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(F.col("valid"), F.col("abn")))).alias("emitted"), F.array_sort(F.collect_list(F.when(F.col("is_abn") & ~F.col("valid"), F.col("t")))).alias("invalid_abns"))
     wanted = expected.groupBy("doc_id").agg(F.array_sort(F.collect_set(norm_abn("abn"))).alias("expected"))
     out = numbers.join(wanted, "doc_id", "full")

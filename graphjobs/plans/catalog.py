@@ -575,10 +575,17 @@ def target_to_other(t):
     return index.target_to_other(t("encoded"), _typed(t), "customer")
 
 
-@query("SELECT 'node' AS kind, id, 'name: ' || id || chr(10) || 'type: ' || type AS text, 1 AS sign FROM (SELECT DISTINCT id, " + _KIND.format("id") + " AS type FROM (SELECT u AS id FROM encoded UNION SELECT v FROM encoded)) UNION ALL SELECT 'relation', r, CAST(r AS STRING), 1 FROM (SELECT DISTINCT r FROM encoded) UNION ALL SELECT 'relation', r + 3, CAST(r AS STRING), -1 FROM (SELECT DISTINCT r FROM encoded)")
+@query("""
+SELECT 'node' AS kind, id, 'name: ' || id || chr(10) || 'type: ' || type || chr(10) || 'size: ' || id % 7 AS text, 1 AS sign FROM (
+  SELECT DISTINCT id, """ + _KIND.format("id") + """ AS type FROM (SELECT u AS id FROM encoded UNION SELECT v FROM encoded))
+UNION ALL SELECT 'relation', r, 'name: ' || r || chr(10) || 'rank: ' || r + 1, 1 FROM (SELECT DISTINCT r FROM encoded)
+UNION ALL SELECT 'relation', r + 3, 'name: inverse_' || r || chr(10) || 'rank: ' || r + 1, 1 FROM (SELECT DISTINCT r FROM encoded)
+UNION ALL SELECT 'edge', u, 'weight: ' || r, 1 FROM encoded""")
 def embedding_inputs(t):
-    rels = t("encoded").select(F.col("r").alias("id")).distinct().select("id", F.col("id").cast("string").alias("name"))
-    return index.embedding_inputs(_typed(t), rels, 3, "inverse")
+    one = lambda key, value: F.create_map(F.lit(key), value.cast("string")).alias("attributes")
+    rels = t("encoded").select(F.col("r").alias("id")).distinct().select("id", F.col("id").cast("string").alias("name"), one("rank", F.col("id") + 1))
+    edges = t("encoded").select(F.col("u").alias("id"), one("weight", F.col("r")))
+    return index.embedding_inputs(_typed(t).withColumn("attributes", one("size", F.col("id") % 7)), rels, 3, "text", edges)
 
 
 def _samples(t):
