@@ -35,7 +35,7 @@ LENGTH, PERIOD = 100, 31
 #: A perfect difference set: every remainder is a difference of two of these.
 COVER = (1, 5, 11, 24, 25, 27)
 NAME = LENGTH - PERIOD + 1
-UNIT, UNIT_ROWS = 4 << 20, 1 << 16
+UNIT, UNIT_ROWS = 2 << 20, 1 << 16
 #: Keys that a bucket is to hold.
 BUCKET = 1 << 20
 _GAP = LENGTH + 8
