@@ -158,11 +158,10 @@ def task_type(t):
     return tx.task_type(t("documents").select(F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("id")), "id_prefix")
 
 
-@query("SELECT vec_id, round(list_dot_product(v[1:16]::DOUBLE[], v[1:16]::DOUBLE[]), 4) AS kept, 1.0::DOUBLE AS norm FROM (SELECT vec_id, embedding AS v FROM embeddings)")
+@query("SELECT vec_id, i, round(v[i] / sqrt(list_dot_product(v[1:16], v[1:16])), 4) AS x FROM (SELECT vec_id, embedding::DOUBLE[] AS v, unnest(range(1, 17)) AS i FROM embeddings)")
 def truncate_normalise(t):
-    cut = F.slice("embedding", 1, 16)
-    own = tx.truncate_normalise("embedding", 16)
-    return t("embeddings").select("vec_id", F.round(similarity.dot(cut, cut), 4).alias("kept"), F.round(similarity.dot(own, own), 4).alias("norm"))
+    own = t("embeddings").select("vec_id", F.posexplode(tx.truncate_normalise("embedding", 16)).alias("i", "x"))
+    return own.select("vec_id", (F.col("i") + 1).cast("long").alias("i"), _r("x"))
 
 
 @query("SELECT query, '## Relevant entity:' || chr(10) || chr(10) || string_agg('name: ' || node || chr(10) || 'content: ' || query, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'q' || query AS context FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS rank FROM scores) WHERE rank <= 3 GROUP BY query")
@@ -254,12 +253,19 @@ def augment_graph(t):
 _KG_SQL = f"(SELECT head, max_by(relation, (title, ord)) AS relation, tail FROM ({_TRIPLES}) GROUP BY head, tail)"
 
 
-@query(f"SELECT 'node' AS part, type AS kind, count(*) AS n FROM (SELECT DISTINCT title AS name, 'document' AS type FROM (SELECT 'order ' || o_orderkey AS title FROM dirty) UNION ALL SELECT DISTINCT unnest([head, tail]), 'entity' FROM {_KG_SQL}) GROUP BY type UNION ALL SELECT 'edge', relation, count(*) FROM {_KG_SQL} GROUP BY relation UNION ALL SELECT 'edge', 'is_mentioned_in', count(*) FROM (SELECT DISTINCT title, unnest([head, tail]) AS e FROM ({_TRIPLES})) UNION ALL SELECT 'relation', 'all', 1 + count(DISTINCT relation) FROM {_KG_SQL}")
+@query(f"""
+SELECT 'node' AS part, 'order ' || o_orderkey AS name, 'document' AS kind, 'order ' || o_orderkey || chr(10) || 'text' AS text FROM (SELECT DISTINCT o_orderkey FROM dirty)
+UNION ALL SELECT DISTINCT 'node', unnest([head, tail]), 'entity', NULL FROM {_KG_SQL}
+UNION ALL SELECT 'edge', head, relation, tail FROM {_KG_SQL}
+UNION ALL SELECT DISTINCT 'edge', unnest([head, tail]), 'is_mentioned_in', title FROM ({_TRIPLES})
+UNION ALL SELECT DISTINCT 'relation', relation, NULL, NULL FROM {_KG_SQL} UNION ALL SELECT 'relation', 'is_mentioned_in', NULL, NULL""")
 def build_kg(t):
     openie = _openie(t)
     g = kg.build_kg(openie.select("title", F.lit("text").alias("content")), openie)
-    one = lambda df, part, kind: df.groupBy(F.lit(part).alias("part"), kind.alias("kind")).agg(F.count("*").alias("n"))
-    return one(g.nodes, "node", F.col("type")).union(one(g.edges, "edge", F.col("relation"))).union(one(g.relations, "relation", F.lit("all")))
+    none = F.lit(None).cast("string")
+    one = lambda df, part, *cols: df.select(F.lit(part).alias("part"), *[c.alias(n) for c, n in zip(cols, ("name", "kind", "text"), strict=True)])
+    nodes = one(g.nodes, "node", F.col("name"), F.col("type"), F.element_at("attributes", "content"))
+    return nodes.union(one(g.edges, "edge", F.col("source"), F.col("relation"), F.col("target"))).union(one(g.relations, "relation", F.col("name"), none, none))
 
 
 # --- similarity -----------------------------------------------------------------------------------------------------
@@ -559,9 +565,9 @@ def _typed(t):
 _KIND = "CASE WHEN {0} >= 3000000 THEN 'region' WHEN {0} >= 2000000 THEN 'supplier' WHEN {0} >= 1000000 THEN 'nation' ELSE 'customer' END"
 
 
-@query(f"SELECT type, count(*) AS n FROM (SELECT DISTINCT id, {_KIND.format('id')} AS type FROM (SELECT u AS id FROM encoded UNION SELECT v FROM encoded)) GROUP BY type")
+@query(f"SELECT DISTINCT {_KIND.format('id')} AS type, id FROM (SELECT u AS id FROM encoded UNION SELECT v FROM encoded)")
 def nodes_by_type(t):
-    return index.nodes_by_type(_typed(t)).groupBy("type").agg(F.count("*").alias("n"))
+    return index.nodes_by_type(_typed(t)).select("type", "id")
 
 
 @query("SELECT u, v, r FROM (SELECT u, v, r FROM encoded UNION ALL SELECT u, u, r FROM encoded WHERE r = 1) WHERE u >= 2000000 AND v >= 2000000 AND u < 3000000 AND v < 3000000")
@@ -930,9 +936,10 @@ def extract_question_entities(t):
     return models.extract_question_entities(asked, lambda s: models.toy_extractor(s).map(lambda x: x[0])).select("id", F.size("entities").alias("n"))
 
 
-@query("SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'e', '')))::DOUBLE AS e FROM documents")
+@query("SELECT doc_id, i, (length(lower(text)) - length(replace(lower(text), chr(97 + i::INT), '')))::DOUBLE AS n FROM (SELECT doc_id, text, unnest(range(26)) AS i FROM documents)")
 def embed_texts(t):
-    return models.embed_texts(t("documents"), models.toy_embedder).select("doc_id", F.get("vec", F.lit(4)).alias("e"))
+    own = models.embed_texts(t("documents"), models.toy_embedder).select("doc_id", F.posexplode("vec").alias("i", "n"))
+    return own.select("doc_id", F.col("i").cast("long").alias("i"), "n")
 
 
 @query("SELECT item_id AS query, 'Answer: \"' || text || '\"' AS response FROM benchmark")
@@ -1113,10 +1120,10 @@ def read_crawled_tuples(t):
     return io.read_crawled_tuples(spark, path).select("title", "source", "relation", "target", F.get("sources", F.lit(0)).alias("url"))
 
 
-@query("SELECT shard, count(*) AS n, count(DISTINCT title) AS titles FROM docs GROUP BY shard")
+@query("SELECT shard, title, content, idx FROM docs")
 def write_shards(t):
     spark, path = _written(t("docs"), "shards", io.write_shards)
-    return spark.read.json(path).groupBy(F.col("shard").cast("int").alias("shard")).agg(F.count("*").alias("n"), F.count_distinct("title").alias("titles"))
+    return spark.read.schema("title string, content string, idx long, shard int").json(path).select("shard", "title", "content", "idx")
 
 
 @query("SELECT CAST(id AS STRING) AS id, gold AS question, response AS answer, alias FROM answers")
