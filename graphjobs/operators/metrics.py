@@ -20,11 +20,30 @@ def _tokens(c) -> Column:
     return F.filter(F.split(normalise_answer(c), " "), lambda t: t != "")
 
 
-def _overlap(pred, gold) -> tuple[Column, Column, Column]:
-    a, b = _tokens(pred), _tokens(gold)
-    count = lambda arr, t: F.size(F.filter(arr, lambda x: x == t))
-    same = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, t: acc + F.least(count(a, t), count(b, t)))
-    return same, F.size(a), F.size(b)
+def _bound(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    """Shared tokens, repeats counted: those of both in order, a's before b's, and each of b takes one of a's that is left."""
+    marked = lambda tokens, side: F.transform(tokens, lambda t: F.struct(t.alias("t"), F.lit(side).alias("side")))
+
+    def meet(acc, x):
+        left = F.when(acc["t"] == x["t"], acc["left"]).otherwise(0)
+        takes = (x["side"] == 1) & (left > 0)
+        step = F.when(x["side"] == 0, 1).when(takes, -1).otherwise(0)
+        return F.struct(x["t"].alias("t"), (left + step).alias("left"), (acc["same"] + takes.cast("int")).alias("same"))
+
+    first = F.struct(F.lit("").alias("t"), F.lit(0).alias("left"), F.lit(0).alias("same"))
+    return F.aggregate(F.array_sort(F.concat(marked(a, 0), marked(b, 1))), first, meet, lambda acc: acc["same"])
+
+
+def _counted(pred, gold, f) -> Column:
+    """f of (same, a, b): shared tokens and the tokens of either."""
+    tokens = F.struct(_tokens(pred).alias("a"), _tokens(gold).alias("b"))
+    counts = lambda s: F.struct(_overlap(s["a"], s["b"]).alias("same"), F.size(s["a"]).alias("a"), F.size(s["b"]).alias("b"))
+    return _bound(_bound(tokens, counts), lambda n: f(n["same"], n["a"], n["b"]))
 
 
 def _f1(same, a, b) -> Column:
@@ -36,15 +55,17 @@ def _f1(same, a, b) -> Column:
 
 def token_f1(pred, gold) -> Column:
     """(f1, p, r) of shared tokens; 0 where either is a plain yes or no and they differ."""
-    a, b = normalise_answer(pred), normalise_answer(gold)
-    zero = F.lit(0.0)
-    return F.when((a.isin(*PLAIN) | b.isin(*PLAIN)) & (a != b), F.struct(zero.alias("f1"), zero.alias("p"), zero.alias("r"))).otherwise(_f1(*_overlap(pred, gold)))
+    zero, both = F.lit(0.0), F.struct(normalise_answer(pred).alias("a"), normalise_answer(gold).alias("b"))
+    apart = _bound(both, lambda s: (s["a"].isin(*PLAIN) | s["b"].isin(*PLAIN)) & (s["a"] != s["b"]))
+    return F.when(apart, F.struct(zero.alias("f1"), zero.alias("p"), zero.alias("r"))).otherwise(_counted(pred, gold, _f1))
 
 
 def token_f1_lenient(pred, gold) -> Column:
-    same, a, b = _overlap(pred, gold)
-    whole = ((a == 0) & (b == 0)).cast("double")
-    return F.when((a == 0) | (b == 0), F.struct(whole.alias("f1"), whole.alias("p"), whole.alias("r"))).otherwise(_f1(same, a, b))
+    def f1(same, a, b):
+        whole = ((a == 0) & (b == 0)).cast("double")
+        return F.when((a == 0) | (b == 0), F.struct(whole.alias("f1"), whole.alias("p"), whole.alias("r"))).otherwise(_f1(same, a, b))
+
+    return _counted(pred, gold, f1)
 
 
 def _means(df: DataFrame) -> DataFrame:
