@@ -47,6 +47,9 @@ LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6
 FDR, MISS = 0.001, 0.001
 _CELLS = 3000
 
+#: Matches of a text that are folded into one list.
+RUN = 256
+
 _SPAN = "array<struct<start:int,kind:int,end:int,own:string>>"
 
 
@@ -63,8 +66,16 @@ def _matches(text: Column, pattern: str, kind: int, keep=None) -> Column:
         good = F.lit(True) if keep is None else keep(pair["own"])
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    found = F.aggregate(pairs, start, add, lambda acc: acc["spans"])
+    def fold(all_pairs):
+        # a fold that appends to one list costs the square of its length, so runs of matches have lists of their own
+        def run(acc, i):
+            inner = F.aggregate(F.slice(all_pairs, i * RUN + 1, F.lit(RUN)), F.struct(acc["at"].alias("at"), empty.alias("spans")), add)
+            return F.transform(F.array(inner), lambda own: F.struct(own["at"].alias("at"), F.concat(acc["runs"], F.array(own["spans"])).alias("runs")))[0]
+
+        first = F.struct(F.lit(0).alias("at"), F.array(empty).alias("runs"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor(F.size(all_pairs) / RUN).cast("int")), first, run)["runs"])
+
+    found = F.get(F.transform(F.array(pairs), fold), F.lit(0))
     return F.when(text.rlike(pattern), found).otherwise(empty).cast(_SPAN)
 
 
@@ -152,6 +163,16 @@ def step_up(each: DataFrame) -> DataFrame:
     return told.withColumn("secret", F.col("cell") >= _cut(count(told), FDR)).drop("cell")
 
 
+def _alone(found: DataFrame) -> DataFrame:
+    """(row, s): the spans of odd that no span of base meets; found: (row, base, odd). In order of where candidates end and
+    base spans start, a candidate meets one before it that ends beyond its start."""
+    base = found.select("row", F.explode("base").alias("b")).select("row", F.col("b.start").alias("at"), F.lit(1).alias("is_base"), F.col("b.end").alias("end"), F.lit(None).cast(_SPAN[6:-1]).alias("s"))
+    odd = found.select("row", F.explode("odd").alias("s")).select("row", F.col("s.end").alias("at"), F.lit(0).alias("is_base"), F.lit(None).cast("int").alias("end"), "s")
+    before = Window.partitionBy("row").orderBy("at", "is_base").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = base.unionByName(odd).withColumn("reach", F.max("end").over(before))
+    return met.where((F.col("is_base") == 0) & (F.col("reach").isNull() | (F.col("reach") <= F.col("s.start")))).select("row", "s")
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans, n_assign, n_access, n_hex): base and all spans of each row's text, as arrays of
     (start, kind, end, own); kind: a place in KINDS."""
@@ -162,8 +183,7 @@ def scan(docs: DataFrame) -> DataFrame:
     found = docs.select(doc_id.alias("doc_id"), assign.alias("assign"), access.alias("access"), hexes.alias("hex"), odd.alias("odd"))
     found = stage(found.withColumn("row", F.monotonically_increasing_id()), "spans")
     base = F.concat("assign", "access", "hex")
-    alone = F.filter("odd", lambda o: ~F.exists(base, lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
-    each = stage(tested(found.where(F.size("odd") > 0).select("row", F.explode(alone).alias("s"))), "tested")
+    each = stage(tested(_alone(found.where(F.size("odd") > 0).select("row", base.alias("base"), "odd"))), "tested")
     secret = step_up(each).where("secret")
     added = secret.groupBy("row").agg(F.collect_list("s").alias("added"))  # spans of one text
     out = found.join(added, "row", "left").withColumn("base", base)

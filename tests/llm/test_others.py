@@ -349,3 +349,11 @@ def test_quality_edges(spark, make_docs):
     assert quality.resample(make_docs([]), labels.where("false")).collect() == []
     got = quality.sampled(docs, labels)
     assert got.columns == docs.columns and {tuple(r[-5:]) for r in got.collect()} == {(1, 2, 3, 4, 5)} and got.count() == docs.count()
+
+
+def test_secrets_of_a_text_with_many_matches(make_docs):
+    """More matches than one list of the fold holds; their places go on from run to run."""
+    text = " ".join(f"é{i:032x}" for i in range(3 * secrets.RUN + 1))
+    got = secrets.digest(make_docs([(1, text, None)])).first()
+    want = ",".join(f"hex:{34 * i + 1}:{34 * i + 33}" for i in range(3 * secrets.RUN + 1))
+    assert got.n_hex == 3 * secrets.RUN + 1 and got.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
