@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pivots import maxsim_topk, pruned_topk, ranked  # noqa: F401
+from .transport import sinkhorn_align  # noqa: F401
 
 BLOCK = 20_000
 #: Queries whose scores against one batch of the corpus are held at a time.
@@ -94,31 +95,3 @@ def min_max_scale(df: DataFrame, by: str, col: str) -> DataFrame:
 
 def fact_candidates(queries: DataFrame, facts: DataFrame, k: int = 20) -> DataFrame:
     return min_max_scale(dense_topk(queries, facts, k).select("query_id", F.col("id").alias("fact_id"), "score"), "query_id", "score")
-
-
-def sinkhorn(cost: np.ndarray, reg: float, iterations: int, r=None, c=None) -> np.ndarray:
-    """Entropic transport plan of a small cost matrix."""
-    n, m = cost.shape
-    log_r = np.log(np.full(n, 1 / n) if r is None else r)
-    log_c = np.log(np.full(m, 1 / m) if c is None else c)
-    kernel, f, g = -cost / reg, np.zeros(n), np.zeros(m)
-    lse = lambda x, axis: (top_ := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - top_).sum(axis))
-    for _ in range(iterations):
-        f = log_r - lse(kernel + g[None, :], 1)
-        g = log_c - lse(kernel + f[:, None], 0)
-    return np.exp(kernel + f[:, None] + g[None, :])
-
-
-def sinkhorn_align(costs: DataFrame, reg: float = 0.05, num_iters: int = 50, r: dict | None = None, c: dict | None = None) -> DataFrame:
-    """(group_id, i, j, mass) for costs (group_id, i, j, cost); a group is one small problem. r, c: marginals by i and j, even
-    if not given; those below 1e-12 count as that."""
-    kind = dict(costs.dtypes)["group_id"]
-
-    def run(pdf):
-        wide = pdf.pivot(index="i", columns="j", values="cost").fillna(1e6)
-        given = lambda m, names: None if m is None else np.maximum([m[x] for x in names], 1e-12)
-        plan = sinkhorn(wide.to_numpy(float), reg, num_iters, given(r, wide.index), given(c, wide.columns))
-        i, j = np.meshgrid(wide.index, wide.columns, indexing="ij")
-        return pd.DataFrame({"group_id": pdf["group_id"].iloc[0], "i": i.ravel(), "j": j.ravel(), "mass": plan.ravel()})
-
-    return costs.groupBy("group_id").applyInPandas(run, f"group_id {kind}, i long, j long, mass double")

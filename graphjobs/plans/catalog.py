@@ -320,11 +320,21 @@ def fact_candidates_min_max(t):
     return similarity.fact_candidates(q, c).select("query_id", "fact_id", _r("score"))
 
 
-@query("SELECT n_regionkey AS group_id, count(*) * count(*) AS cells, 1.0::DOUBLE AS mass FROM nation GROUP BY n_regionkey")
+def _sinkhorn_sql(rounds: int) -> str:
+    """Potentials of rows (u) and columns (v) a round, as two tables each."""
+    half = "{0}{n} AS MATERIALIZED (SELECT k.g, {1}, -ln(max(m)) - ln(sum(exp(k + {2}))) AS {0} FROM k JOIN {2}{o} USING (g, {3}) JOIN s USING (g) GROUP BY k.g, {1})"
+    steps = ", ".join(half.format("u", "i", "v", "j", n=n, o=n - 1) + ", " + half.format("v", "j", "u", "i", n=n, o=n) for n in range(1, rounds + 1))
+    return f"""WITH n AS (SELECT n_regionkey::BIGINT AS g, n_nationkey::BIGINT AS i FROM nation),
+k AS MATERIALIZED (SELECT a.g, a.i, b.i AS j, -((a.i * 31 + b.i * 17) % 10) / 10.0::DOUBLE / 0.05::DOUBLE AS k FROM n a JOIN n b USING (g)),
+s AS MATERIALIZED (SELECT g, count(*)::DOUBLE AS m FROM n GROUP BY g), v0 AS MATERIALIZED (SELECT g, i AS j, 0.0::DOUBLE AS v FROM n), {steps}
+SELECT k.g AS group_id, k.i, k.j, round(exp(k + u + v), 4) AS mass FROM k JOIN u{rounds} USING (g, i) JOIN v{rounds} USING (g, j)"""
+
+
+@query(_sinkhorn_sql(50))
 def sinkhorn_align(t):
     n = t("nation").select(F.col("n_regionkey").cast("long").alias("group_id"), F.col("n_nationkey").cast("long").alias("i"))
     costs = n.join(n.withColumnRenamed("i", "j"), "group_id").withColumn("cost", ((F.col("i") * 31 + F.col("j") * 17) % 10) / 10.0)
-    return similarity.sinkhorn_align(costs).groupBy("group_id").agg(F.count("*").alias("cells"), F.round(F.sum("mass"), 4).alias("mass"))
+    return similarity.sinkhorn_align(costs).select("group_id", "i", "j", _r("mass"))
 
 
 # --- union, canonical names, pruning --------------------------------------------------------------------------------
