@@ -69,7 +69,15 @@ def cut(df: DataFrame) -> DataFrame:
     """df without its lineage: written to the shared folder and read back, so its size is known to what joins it."""
     path = shared_folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a cut table that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(links: DataFrame) -> DataFrame:

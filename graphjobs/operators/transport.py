@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .graph import cut, discard
 
 CELLS = 1 << 20
 #: Cost of a cell that isn't given or is null: its mass is 0 wherever another cell of its row and column has a cost.
@@ -130,7 +130,8 @@ def _in_blocks(costs: DataFrame, sizes: DataFrame, kind: str, reg: float, rounds
     for _ in range(rounds):
         pairs = blocks.join(g.select("group_id", "now"), "group_id").mapInPandas(halve, f"group_id {kind}, part long, {_PAIRS}")
         pairs = pairs.groupBy("group_id", "part").applyInPandas(some, f"group_id {kind}, {_PAIRS}")
-        g = cut(pairs.groupBy("group_id").cogroup(g.groupBy("group_id")).applyInPandas(all_, g.schema))
+        last, g = g, cut(pairs.groupBy("group_id").cogroup(g.groupBy("group_id")).applyInPandas(all_, g.schema))
+        discard(last)
     return blocks.join(g, "group_id").mapInPandas(masses, f"group_id {kind}, i long, j long, mass double")
 
 
