@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -806,11 +806,36 @@ def partition_report(t):
     return analytics.partition_report(t("encoded"), 4_000_000, 4)
 
 
-@query()
+def _subgraph_sql(budget: float, steps: int) -> str:
+    """Weights a step (z), each on the budget's plane if it lies beyond, and the fill as a recursion over the places."""
+    z = "greatest(0.0, least(1.0, {0}))".format
+    pull = z("p.z + 0.05 * (score - 0.3 * degree * p.z - 0.2 * (degree * p.z - coalesce(around, 0)))")
+    back = z(f"z - (spent - {budget}) / square * cost")
+    sums = "*, sum(z * cost) OVER (PARTITION BY query) AS spent, sum(cost * cost) OVER (PARTITION BY query) AS square"
+    held = "SELECT query, node, score, cost, degree, CASE WHEN spent > {0} THEN {1} ELSE z END AS z FROM (SELECT {2} FROM ({3}))".format
+    near = "SELECT e.query, e.a AS node, sum(z) AS around FROM ends e JOIN z{0} q ON q.query = e.query AND q.node = e.b GROUP BY e.query, e.a".format
+    moved = f"SELECT p.query, p.node, score, cost, degree, {pull} AS z FROM z{{0}} p LEFT JOIN ({{1}}) n ON n.query = p.query AND n.node = p.node".format
+    tables = ", ".join(f"z{k} AS MATERIALIZED ({held(budget, back, sums, moved(k - 1, near(k - 1)))})" for k in range(1, steps + 1))
+    start = f"SELECT c.*, coalesce(degree, 0) AS degree, {z('score / greatest(1.0, max(score) OVER (PARTITION BY c.query))')} AS z FROM candidates c LEFT JOIN (SELECT query, a AS node, count(*) AS degree FROM ends GROUP BY query, a) d ON d.query = c.query AND d.node = c.node"
+    return f"""WITH RECURSIVE candidates AS MATERIALIZED (SELECT n_nationkey AS query, s_name AS node, ((n_nationkey * 31 + s_suppkey * 17) % 1000)::DOUBLE / 1000 AS score, (10 + 5 * right(s_name, 1)::INT)::DOUBLE AS cost FROM nation, supplier),
+hops AS (SELECT c_nationkey AS query, s_name AS a, lead(s_name) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+ends AS MATERIALIZED (SELECT query, a, b FROM hops WHERE a <> b UNION SELECT query, b, a FROM hops WHERE a <> b),
+z0 AS MATERIALIZED ({held(budget, f"z * ({budget} / spent)", sums, start.replace("c.*", "c.query, c.node, score, cost"))}), {tables},
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query ORDER BY z DESC, score DESC, node) AS at FROM z{steps}),
+fill AS (SELECT n_nationkey AS query, 0::BIGINT AS at, {budget}::DOUBLE AS room, false AS selected FROM nation
+  UNION ALL SELECT p.query, p.at, CASE WHEN z > 1e-3 AND cost <= room THEN room - cost ELSE room END, z > 1e-3 AND cost <= room FROM fill f JOIN placed p ON p.query = f.query AND p.at = f.at + 1)
+SELECT p.query, node, round(z, 4) AS z, selected FROM placed p JOIN fill f ON p.query = f.query AND p.at = f.at"""
+
+
+@query(_subgraph_sql(100.0, 80))
 def select_subgraph(t):
-    own = t("scores").withColumn("cost", F.lit(10.0) + F.length("node"))
-    links = t("scores").select("query").distinct().withColumn("source", F.lit("Supplier#000000001")).withColumn("target", F.lit("Supplier#000000002"))
-    return analytics.select_subgraph(own, links, 100.0).where("selected").select("query", "node")
+    """Candidates are linked for a nation where its customers' orders name them one after the other."""
+    own = t("scores").withColumn("cost", F.lit(10.0) + 5 * F.right("node", F.lit(1)).cast("int"))
+    sold = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    following = F.lead("s_name").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    links = sold.select(F.col("c_nationkey").alias("query"), F.col("s_name").alias("source"), following.alias("target")).where("source <> target")
+    return analytics.select_subgraph(own, links, 100.0).select("query", "node", _r("z"), "selected")
 
 
 # --- metrics --------------------------------------------------------------------------------------------------------
@@ -913,7 +938,6 @@ def metrics_by_query_type(t):
 
 @query(f"SELECT a.query, round(avg((a.rank > b.rank)::INT), 4) AS auc FROM (SELECT *, right(node, 1)::INT % 3 = 0 AS hard FROM {_RANKED}) a JOIN (SELECT *, right(node, 1)::INT % 3 = 0 AS hard FROM {_RANKED}) b ON a.query = b.query AND a.hard AND NOT b.hard GROUP BY a.query")
 def rank_auc(t):
-    from pyspark.sql import Window
 
     ranked = t("scores").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node")))
     return _rounded(metrics.rank_auc(ranked.select("query", "rank", (F.substring("node", -1, 1).cast("int") % 3 == 0).alias("is_hard"))))
