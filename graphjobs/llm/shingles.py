@@ -1,11 +1,17 @@
 """Near duplicates by verified similarity: texts whose five-word shingle sets are alike to 0.8 or more (Jaccard).
 
-Candidates meet by MinHash: BANDS keys of ROWS least values each, so a pair at 0.8 shares a key with a chance of
-1 - (1 - 0.8^6)^30 = 0.9999. Texts with one and the same set stand for each other. The others that keys chain together form
-a candidate group, laid out by set size and cut into blocks of BLOCK texts. First each block is verified within itself and
+Candidates meet by SimHash and ball hashing: a set has seeded fingerprints of 32 bits, a table each, and two sets meet where
+those of one table differ in at most 2 * HALF bits, since both reach a common variant within HALF bits (see ``simhash``). At 0.8 about
+15 % of the bits differ; two sets then meet in a table with a chance of 0.46 and in one of 18 with 0.9999. In sets below
+SMALL shingles one vote decides more bits (19 % between four and five shingles), so they have 32 tables; sets too small to be alike to
+another one have none. Unlike sets meet by chance too, a pair in 100,000, so a check fingerprint of 128 bits must lie within FAR bits:
+36 % of them, five standard deviations beyond what 0.8 brings. What so meets in a table by chains shares a key, one a table and set.
+
+Texts with one and the same set stand for each other. The others that keys chain together form a candidate group, laid out by set size and cut into blocks of BLOCK texts. First each block is verified within itself and
 against the next, on whole sets; what links so chain together is a kin, and pairs within a kin need no more work. In a group
-of several blocks, the keys that several kins share have pairs left: the texts of such a key are laid out by kin, and every
-pair of its blocks of different kins that sizes allow is verified too. So no pair is left out for the size of its group, and a
+of several blocks, the keys that several kins share have pairs left: the texts of such a key, or of the whole group where its keys
+hold more pairs than the group itself, are laid out by kin, and every pair of its blocks of different kins that sizes allow is
+verified too. So no pair is left out for the size of its group, and a
 large group of near copies costs its size, not its square; unlike texts meet where they share a key. A unit of two blocks
 gives a forest of its links.
 
@@ -24,17 +30,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import afresh, columns, connected_components, local_roots, numbered, ranked, recorded, small_batches, stage, unstage
+from .simhash import _masks
 
 SEED = 42
-BANDS, ROWS = 30, 6
+#: Tables of a set, and of one below SMALL shingles; each has a fingerprint of 32 bits.
+TABLES, SMALL_TABLES, SMALL = 18, 32, 32
+#: Half of the bits in which fingerprints that meet may differ, and the most by which their check fingerprints may.
+HALF, FAR = 2, 46
+#: Fingerprints of a table in a group, beyond which the table is dealt out by leading bits.
+GROUP = 1 << 21
+#: Variants that one task sorts at a time; sets under one variant that are checked pair by pair, more are taken as met.
+VARIANTS, CROWD = 4_000_000, 16
 #: Texts in a block of a candidate group; a unit holds two blocks.
 BLOCK = 128
 #: Shingles whose values are drawn at a time.
 _CHUNK = 4096
 
+_WORDS = 2 + SMALL_TABLES // 2  # the check fingerprint, then two tables a word
 _draw = np.random.default_rng(SEED)
-_ODD = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_ODD = _draw.integers(0, 1 << 63, _WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD, _TIES = _draw.integers(0, 1 << 64, (2, _WORDS), dtype=np.uint64)
+#: A fingerprint of a table: its row, the row's check fingerprint, and the flips that it has left.
+_ENTRY = np.dtype([("row", "<i8"), ("check", "<u8", 2), ("fp", "<u4"), ("left", "u1")])
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -44,13 +61,101 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in spans), np.uint64, len(spans)))
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """A key for each band; keys of different bands differ."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+def _ones(votes: np.ndarray) -> np.ndarray:
+    """How many rows have each bit set: full adders bring three words to a sum and a carry until few rows are left to unpack."""
+    total, weight = np.zeros(votes.shape[1] * 64, np.int64), 1
+    while len(votes):
+        carries = [votes[:0]]
+        while len(votes) > 48:
+            k = len(votes) // 3
+            a, b, c = votes[:k], votes[k : 2 * k], votes[2 * k : 3 * k]
+            odd = a ^ b
+            carries.append(a & b | odd & c)
+            votes = np.concatenate((odd ^ c, votes[3 * k :]))
+        total += weight * np.unpackbits(votes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8).astype(np.int64)
+        votes, weight = np.concatenate(carries), 2 * weight
+    return total
+
+
+def prints(own: np.ndarray, similarity: float) -> bytes:
+    """The check fingerprint of a set and those of its tables; a tie of votes is decided by the place of the bit."""
+    if len(own) * (1 - similarity) < similarity - 1e-9:
+        return b""  # one shingle more or less is too much
+    words = 2 + (SMALL_TABLES if len(own) < SMALL else TABLES) // 2
+    twice = np.zeros(words * 64, np.int64)
     for at in range(0, len(own), _CHUNK):
-        least = np.minimum(least, (own[at : at + _CHUNK, None] * _ODD + _ADD >> np.uint64(32)).min(axis=0))
-    bands = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh3_64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)], np.uint64).view(np.int64)
+        votes = (own[at : at + _CHUNK, None] ^ _ADD[:words]) * _ODD[:words]
+        twice += 2 * _ones(votes ^ votes >> np.uint64(32))
+    ties = np.unpackbits(_TIES[:words].view(np.uint8), bitorder="little")
+    return np.packbits(twice + ties > len(own), bitorder="little").tobytes()
+
+
+def _met(own: np.ndarray, rest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of entries that chain together all that share a variant of their low ``rest`` bits and pass the check."""
+    if sum(int((own["left"] == r).sum()) * len(_masks(rest, r)) for r in range(HALF + 1)) > VARIANTS and rest > 8:
+        found, lead = [], own["fp"] >> np.uint32(rest - 4) & np.uint32(15)
+        for p in range(16):  # by four bits more, one part after the other
+            still = own["left"].astype(np.int64) - np.bitwise_count(lead ^ np.uint32(p))
+            at = np.flatnonzero(still >= 0)
+            part = own[at]
+            part["left"] = still[at]
+            found.append(at[np.stack(_met(part, rest - 4))])
+        a, b = np.concatenate(found, axis=1)
+    else:
+        low = own["fp"].astype(np.uint64) & np.uint64((1 << rest) - 1)
+        at = [np.flatnonzero(own["left"] == r) for r in range(HALF + 1)]
+        held = [((low[i][:, None] ^ _masks(rest, r)) << np.uint64(32) | i[:, None].astype(np.uint64)).ravel() for r, i in enumerate(at)]
+        held = np.sort(np.concatenate(held))
+        variant = held >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate((variant[:1] == variant[:1], variant[1:] != variant[:-1])))
+        sizes = np.diff(np.append(starts, len(held)))
+        sizes = np.repeat(sizes, sizes)
+        found, few = [], (sizes > 1) & (sizes <= CROWD)
+        for some, most in ((sizes > CROWD, 2), (few, CROWD)):
+            variant, owner = held[some] >> np.uint64(32), (held[some] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            for k in range(1, most):
+                same = np.flatnonzero(variant[k:] == variant[:-k])
+                x, y = owner[same], owner[same + k]
+                if some is few:
+                    near = np.bitwise_count(own["check"][x] ^ own["check"][y]).sum(axis=1) <= FAR
+                    x, y = x[near], y[near]
+                found.append(np.stack((x, y)))
+        a, b = np.concatenate(found, axis=1)
+    pairs = np.unique(np.minimum(a, b) * len(own) + np.maximum(a, b))
+    return pairs // max(1, len(own)), pairs % max(1, len(own))
+
+
+def _keys(one: DataFrame) -> DataFrame:
+    """(row, h): a key for each set and table in which it meets another one, the same for all that it meets by chains."""
+    lead = max(0, int(np.ceil(np.log2(max(1, one.count()) / GROUP))))
+
+    def deal(pdfs):
+        for pdf in pdfs:
+            pdf = pdf[pdf["prints"].map(len) > 0]
+            for size, some in pdf.groupby(pdf["prints"].map(len)):
+                words = np.frombuffer(b"".join(some["prints"]), np.uint64).reshape(len(some), -1)
+                own = np.zeros(len(some), _ENTRY)
+                own["row"], own["check"] = some["row"], words[:, :2]
+                out = {"t": [], "part": [], "own": []}
+                for t, fp in enumerate(np.ascontiguousarray(words[:, 2:]).view(np.uint32).T):
+                    own["fp"] = fp
+                    top = fp.astype(np.uint64) >> np.uint64(32 - lead)
+                    for flip in _masks(lead, HALF):  # each part that half of the radius reaches
+                        own["left"] = HALF - int(flip).bit_count()
+                        for part in np.unique(top ^ flip):
+                            out["t"].append(t)
+                            out["part"].append(int(part))
+                            out["own"].append(own[top ^ flip == part].tobytes())
+                yield pd.DataFrame(out)
+
+    def meet(key, pdf):
+        own = np.frombuffer(b"".join(pdf["own"]), _ENTRY)
+        root = local_roots(*_met(own, 32 - lead), len(own))
+        at = np.flatnonzero(np.bincount(root, minlength=len(own))[root] > 1)
+        return pd.DataFrame({"t": key[0], "part": key[1], "root": own["row"][root[at]], "row": own["row"][at]})
+
+    dealt = one.select("row", "prints").mapInPandas(deal, "t int, part int, own binary")
+    return dealt.groupBy("t", "part").applyInPandas(meet, "t int, part int, root long, row long").select("row", F.xxhash64("t", "part", "root").alias("h"))
 
 
 def alike(a: pd.Series, b: pd.Series | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +178,8 @@ def alike(a: pd.Series, b: pd.Series | None, similarity: float) -> tuple[np.ndar
     return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _sketches(rows: DataFrame, words: int) -> DataFrame:
-    """(row, doc_id, same, n, bands): digest and size of each row's set, and its keys."""
+def _sketches(rows: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(row, doc_id, same, n, prints): digest and size of each row's set, and its fingerprints."""
 
     def run(batches):
         for b in batches:
@@ -85,12 +190,12 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
                     b.column(1),
                     pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
+                    pa.array([prints(s, similarity) for s in sets], pa.binary()),
                 ],
-                ["row", "doc_id", "same", "n", "bands"],
+                ["row", "doc_id", "same", "n", "prints"],
             )
 
-    return rows.mapInArrow(run, "row long, doc_id long, same string, n long, bands array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, same string, n long, prints binary")
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
@@ -149,10 +254,10 @@ def _verified(units: DataFrame, laid: DataFrame, own: DataFrame, similarity: flo
 
 def links(rows: DataFrame, sketches: DataFrame, similarity: float, words: int) -> DataFrame:
     """(a, b) over row numbers: a chain through every set of rows that alike pairs link."""
-    one = stage(sketches.groupBy("same").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min_by("bands", "row").alias("bands")), "sets")
+    one = stage(sketches.groupBy("same").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min_by("prints", "row").alias("prints")), "sets")
     twins = sketches.select("same", F.col("row").alias("b")).join(one.select("same", F.col("row").alias("a")), "same").where("a <> b").select("a", "b")
-    keyed = stage(one.select("row", F.explode("bands").alias("h")), "keyed")
-    lead = keyed.groupBy("h").agg(F.min("row").alias("a"), F.count("*").alias("m")).where("m > 1").select(afresh(F.col("h")).alias("h"), "a")
+    keyed = stage(_keys(one), "keyed")
+    lead = keyed.groupBy("h").agg(F.min("row").alias("a")).select(afresh(F.col("h")).alias("h"), "a")
     groups = connected_components(keyed.join(lead, "h").where("a <> row").select("a", F.col("row").alias("b")))
     members = groups.select(F.col("node").alias("row"), "root").union(groups.select("root", "root").distinct())
     laid = _laid(members.join(one.select("row", "n", F.col("row").alias("kin")), "row"), "n", "row")
@@ -165,12 +270,18 @@ def links(rows: DataFrame, sketches: DataFrame, similarity: float, words: int) -
     wide = laid.join(large, "root", "left_semi").select("root", "row", "n")
     kin = connected_components(near.join(wide.select(F.col("row").alias("a")), "a", "left_semi")).select(F.col("node").alias("row"), F.col("root").alias("k"))
     known = stage(wide.join(kin, "row", "left").select("root", "row", "n", F.coalesce("k", "row").alias("kin")), "kins")
-    held = stage(known.join(one.select("row", "bands"), "row").select("row", "n", "kin", F.explode("bands").alias("h")), "held")
+    held = stage(known.join(keyed, "row").select("root", "row", "n", "kin", "h"), "held")
     # keys with the same rows need verifying once: of those with the same count and sums of hashes the least stays
     sums = [F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    mixed = held.groupBy("h").agg(F.min("kin").alias("low"), F.max("kin").alias("high"), F.count("*").alias("m"), *sums).where("low < high")
-    mixed = mixed.groupBy("m", "x1", "x2").agg(F.min("h").alias("h")).select(afresh(F.col("h")).alias("h"))
-    laid = _laid(held.join(mixed, "h").withColumnRenamed("h", "root"), "kin", "n", "row")
+    mixed = held.groupBy("root", "h").agg(F.min("kin").alias("low"), F.max("kin").alias("high"), F.count("*").alias("m"), *sums).where("low < high")
+    mixed = stage(mixed.groupBy("root", "m", "x1", "x2").agg(F.min("h").alias("h")), "mixed")
+    # where the keys of a group hold more pairs than the group, as in near copies that meet in every table, its rows meet once
+    pairs = mixed.groupBy("root").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
+    sizes = known.groupBy("root").agg(F.count("*").alias("size"))
+    once = stage(pairs.join(sizes, "root").where(F.col("pairs") > F.col("size") * F.col("size")).select(afresh(F.col("root")).alias("root")), "once")
+    apart = mixed.join(once, "root", "left_anti").select(afresh(F.col("h")).alias("h"))
+    apart = held.join(apart, "h").select(F.col("h").alias("root"), "row", "n", "kin")
+    laid = _laid(apart.union(known.join(once, "root", "left_semi").select("root", "row", "n", "kin")), "kin", "n", "row")
     return near.union(_verified(_far_units(laid, similarity), laid, own, similarity)).union(twins)
 
 
@@ -181,7 +292,7 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> Data
     doc_id, text = columns(rows, "doc_id", "text")
     slim = rows.select(F.col(row).alias("_row"), doc_id.cast("long").alias("doc_id"), text.cast("string").alias("text"))
     with recorded() as made:
-        sketches = stage(_sketches(slim, words), "sketches")
+        sketches = stage(_sketches(slim, similarity, words), "sketches")
         groups = connected_components(links(slim, sketches, similarity, words))
         members = groups.select(F.col("node").alias("row"), "root").union(groups.select("root", "root").distinct())
         members = stage(members.join(sketches.select("row", "doc_id"), "row"), "groups")
