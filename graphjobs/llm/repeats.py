@@ -101,6 +101,16 @@ def _runs(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _order(one: np.ndarray, *then: np.ndarray) -> np.ndarray:
+    """Places sorted by ``one``, and those that share it by the rest. Few share it in a unit, so all keys sort only those."""
+    order = np.argsort(one)
+    same = np.flatnonzero(one[order[1:]] == one[order[:-1]])
+    at = np.union1d(same, same + 1)
+    tied = order[at]
+    order[at] = tied[np.lexsort((*[k[tied] for k in reversed(then)], one[tied]))]
+    return order
+
+
 def _told(cuts: list, told, field: str, n: int) -> np.ndarray:
     """The bits that the buckets gave back for n keys."""
     by_part, out = {t["part"]: t[field] for t in told} if told is not None else {}, np.zeros(n, bool)
@@ -115,7 +125,7 @@ class Names:
     def __init__(self, unit: Unit, bits: int):
         self.at, self.of = unit.samples()
         name = unit.key(self.at, NAME, 0)
-        self.order = np.argsort(name, kind="stable")
+        self.order = np.argsort(name)  # Ranks puts equal names in order
         self.name = name[self.order]
         starts = _runs(self.name)
         self.own, self.sizes = self.name[starts], np.diff(np.append(starts, len(name)))
@@ -131,7 +141,7 @@ class Ranks:
         at, name = names.order[held], names.name[held]
         of, at = names.of[at], names.at[at]
         context = unit.context(at, of)
-        order = np.lexsort((at, context, name))
+        order = _order(name, context, at)
         self.at, self.of, name, context = at[order], of[order], name[order], context[order]
         self.first = _runs(name, context)
         self.name, self.context = name[self.first], context[self.first]
@@ -147,7 +157,7 @@ class Strings:
         first, last = unit.around(ranks.at[edge], ranks.of[edge])
         at = np.flatnonzero(covered(first, last + 1, unit.size))
         one, two = unit.key(at, LENGTH, 0), unit.key(at, LENGTH, 1)
-        order = np.lexsort((at, two, one))
+        order = _order(one, two, at)
         self.at, one, two = at[order], one[order], two[order]
         self.first = _runs(one, two)
         self.one, self.two = one[self.first], two[self.first]

@@ -67,3 +67,10 @@ def test_spans_and_kept(spark):
     rows = repeats.repeated_spans(spark.createDataFrame([(1, "x" + text + "y"), (2, "abc" + text + "z")], "doc_id long, text string")).collect()
     second = next(r for r in rows if r.doc_id == 2)
     assert [tuple(s) for s in second.spans] == [(3, 123)] and bytes(second.kept) == b"abcz"
+
+
+def test_order_is_that_of_all_keys():
+    rng = np.random.default_rng(5)
+    for n, most in ((0, 1), (1, 1), (5000, 1 << 60), (5000, 4000), (5000, 3)):
+        one, two, at = rng.integers(0, most, n).astype(np.uint64), rng.integers(0, 3, n).astype(np.uint64), rng.permutation(n)
+        assert repeats._order(one, two, at).tolist() == np.lexsort((at, two, one)).tolist()
