@@ -9,11 +9,11 @@ another one have none. Unlike sets meet by chance too, a pair in 100,000, so a c
 
 Texts with one and the same set stand for each other. The others that keys chain together form a candidate group, laid out by set size and cut into blocks of BLOCK texts. First each block is verified within itself and
 against the next, on whole sets; what links so chain together is a kin, and pairs within a kin need no more work. In a group
-of several blocks, the keys that several kins share have pairs left: the texts of such a key, or of the whole group where its keys
-hold more pairs than the group itself, are laid out by kin, and every pair of its blocks of different kins that sizes allow is
-verified too. So no pair is left out for the size of its group, and a
-large group of near copies costs its size, not its square; unlike texts meet where they share a key. A unit of two blocks
-gives a forest of its links.
+of several blocks the pairs across kins are left. Shingles are ordered by how many texts and kins of the group hold them, the rarest first: alike
+sets share one among the first fifth of the larger and the first ninth of the smaller, and its places bound what else
+they can share. Shingles that no second kin holds are left out. Every pair that these bounds allow is verified, so no pair is left out for the size
+of its group; texts that are unlike for what each has alone, or linked by then, are not paired, whatever passage they share. A
+large group of near copies then costs its size, not its square; what costs a product is texts near a kin that nearly reach it.
 
 Defined cases: words are those of ``simhash``; a null text or one without words has the empty shingle, so such texts are
 alike. Fewer words than the shingle takes make one shingle. Of each group that links chain together one row stays: the one
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import afresh, columns, connected_components, local_roots, numbered, ranked, recorded, small_batches, stage, unstage
+from .common import afresh, bits_of, columns, connected_components, dealt, local_roots, numbered, ranked, recorded, small_batches, stage, unstage
 from .simhash import _masks
 
 SEED = 42
@@ -43,6 +43,8 @@ GROUP = 1 << 21
 VARIANTS, CROWD = 4_000_000, 16
 #: Texts in a block of a candidate group; a unit holds two blocks.
 BLOCK = 128
+#: Shingles of a group that one task counts; texts on either side that hold one and meet in one task; pairs that it compares at a time.
+TOKENS, PLACES, PAIRS = 1 << 21, 1 << 15, 1 << 20
 #: Shingles whose values are drawn at a time.
 _CHUNK = 4096
 
@@ -52,6 +54,12 @@ _ODD = _draw.integers(0, 1 << 63, _WORDS, dtype=np.uint64) * np.uint64(2) + np.u
 _ADD, _TIES = _draw.integers(0, 1 << 64, (2, _WORDS), dtype=np.uint64)
 #: A fingerprint of a table: its row, the row's check fingerprint, and the flips that it has left.
 _ENTRY = np.dtype([("row", "<i8"), ("check", "<u8", 2), ("fp", "<u4"), ("left", "u1")])
+#: A shingle's place, from 1, among those of a set of n, the rarest first, and what the text is to it (see ``_open_pairs``).
+_PLACE = np.dtype([("token", "<u8"), ("row", "<i8"), ("kin", "<i8"), ("n", "<i4"), ("at", "<i4"), ("role", "u1")])
+_INDEX, _ODD_ONE, _ANY = 1, 2, 4
+#: In how many texts of a kin a shingle is; and of a group, with the kin that holds it most and the number of texts outside it.
+_HELD = np.dtype([("token", "<u8"), ("kin", "<i8"), ("n", "<i4")])
+_COUNT = np.dtype([("token", "<u8"), ("kin", "<i8"), ("n", "<i8"), ("odd", "<i8")])
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -209,10 +217,10 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("_row", "text").mapInArrow(run, "row long, g array<long>")
 
 
-def _laid(members: DataFrame, *order: str) -> DataFrame:
-    """(root, block, row, n, kin): members (root, row, n, kin) in blocks of BLOCK rows of a root, in the order given."""
-    laid = ranked(members.select("root", "row", "n", "kin"), "root", [F.col(c).asc() for c in order])
-    return stage(laid.select("root", F.floor((F.col("rank") - 1) / BLOCK).alias("block"), "row", "n", "kin"), "laid")
+def _laid(members: DataFrame) -> DataFrame:
+    """(root, block, row, n): members (root, row, n) in blocks of BLOCK rows of a root, by size."""
+    laid = ranked(members.select("root", "row", "n"), "root", [F.col("n").asc(), F.col("row").asc()])
+    return stage(laid.select("root", F.floor((F.col("rank") - 1) / BLOCK).alias("block"), "row", "n"), "laid")
 
 
 def _near_units(laid: DataFrame) -> DataFrame:
@@ -221,18 +229,157 @@ def _near_units(laid: DataFrame) -> DataFrame:
     return blocks.select("root", F.col("j").alias("i"), F.explode(F.array("j", F.col("j") + 1)).alias("j")).join(blocks, ["root", "j"])
 
 
-def _far_units(laid: DataFrame, similarity: float) -> DataFrame:
-    """(root, i, j): the pairs of blocks that sizes allow and that don't lie in one kin. The blocks within the kin of most
-    of them meet the other blocks only, so a large kin costs its size times what is beside it."""
-    sides = [F.min("n").alias("least"), F.max("n").alias("most"), F.min("kin").alias("low"), F.max("kin").alias("high")]
-    blocks = stage(laid.groupBy("root", "block").agg(*sides), "blocks")
-    counted = blocks.where("low = high").groupBy("root", "low").count()
-    major = counted.groupBy("root").agg(F.max_by("low", F.struct("count", "low")).alias("major"))
-    marked = stage(blocks.join(major, "root", "left").withColumn("within", F.coalesce(F.expr("low = high and low = major"), F.lit(False))), "marked")
-    other = marked.select("root", F.col("block").alias("j"), *[F.col(c).alias(f"{c}_j") for c in ("least", "most", "low", "high", "within")])
-    met = marked.where("not within").withColumnRenamed("block", "i").join(other, "root").where("within_j or i <= j")
-    sizes = (F.col("most") >= F.col("least_j") * similarity - 1e-9) & (F.col("most_j") >= F.col("least") * similarity - 1e-9)
-    return met.where(sizes).where("low < high or low_j < high_j or low <> low_j").select("root", "i", "j")
+def _counted(held: np.ndarray) -> np.ndarray:
+    """One _HELD for each shingle and kin, in order."""
+    held = held[np.lexsort((held["kin"], held["token"]))]
+    starts = np.flatnonzero(np.concatenate((held[:1] == held[:1], (held["token"][1:] != held["token"][:-1]) | (held["kin"][1:] != held["kin"][:-1]))))
+    out = held[starts]
+    if len(out):
+        out["n"] = np.add.reduceat(held["n"], starts)
+    return out
+
+
+def _shared(held: np.ndarray) -> np.ndarray:
+    """One _COUNT for each shingle that several kins hold, in order."""
+    held = _counted(held)
+    held = held[np.lexsort((held["n"], held["token"]))]  # of a shingle's kins the one that holds it most comes last
+    last = np.flatnonzero(np.concatenate((held["token"][1:] != held["token"][:-1], held[:1] == held[:1])))
+    out = np.zeros(len(last), _COUNT)
+    if len(out):
+        out["token"], out["kin"] = held["token"][last], held["kin"][last]
+        out["n"] = np.add.reduceat(held["n"].astype(np.int64), np.concatenate(([0], last[:-1] + 1)))
+        out["odd"] = out["n"] - held["n"][last]
+    return out[out["odd"] > 0]
+
+
+def _first_places(row: int, kin: int, g: np.ndarray, shared: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the shared shingles among the first of a set, and their numbers in ``shared``."""
+    n, at = len(g), np.searchsorted(shared["token"], g)
+    at[at == len(shared)] = 0
+    known = shared["token"][at] == g
+    cost = np.where(known, shared["odd"][at].astype(float) * shared["n"][at], 0)
+    first = np.lexsort((g, cost))[: n - int(np.ceil(similarity * n - 1e-6)) + 1]
+    index = n - int(np.ceil(2 * similarity / (1 + similarity) * n - 1e-6)) + 1
+    found = np.flatnonzero(known[first])
+    out, at = np.zeros(len(found), _PLACE), at[first[found]]
+    out["token"], out["row"], out["kin"], out["n"], out["at"] = g[first[found]], row, kin, n, found + 1
+    out["role"] = _INDEX * (found < index)
+    return out, at
+
+
+def _cells(places: np.ndarray, of: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places, given roles and copied to each cell of their shingle, and the cells. A shingle's texts outside its main kin meet all
+    of its texts; a side of over ``most`` is cut, and a cell has one part of each."""
+    down, across = 1 + of["odd"] // most, 1 + of["n"] // most
+    odd, one = places["kin"] != of["kin"], down * across == 1
+    out, cells = [places[one]], [np.zeros(one.sum(), np.int64)]
+    out[0]["role"] += np.where(odd[one], _ODD_ONE + _ANY, _ANY).astype(np.uint8)
+    for role, some, copies in ((_ODD_ONE, ~one & odd, across), (_ANY, ~one, down)):
+        at = np.repeat(np.flatnonzero(some), copies[some])
+        k = np.arange(len(at)) - np.repeat(np.cumsum(copies[some]) - copies[some], copies[some])
+        i, j = (places["row"][at] % down[at], k) if role == _ODD_ONE else (k, places["row"][at] % across[at])
+        out.append(places[at])
+        out[-1]["role"] += np.uint8(role)
+        cells.append(1 + i * across[at] + j)
+    return np.concatenate(out), np.concatenate(cells)
+
+
+def _bounded(own: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pairs of places of one shingle, one outside its main kin, whose texts are of different kins and may be alike."""
+    own = own[np.lexsort((own["n"], own["token"]))]
+    rows, row = np.unique(own["row"], return_inverse=True)
+    share, found, size = similarity / (1 + similarity), [np.zeros(0, np.int64)], 0
+
+    def keep(i, j):
+        nonlocal size
+        x, y = own[i], own[j]
+        least, most = np.minimum(x["n"], y["n"]), np.maximum(x["n"], y["n"])
+        index = (x["n"] == least) & (x["role"] & _INDEX > 0) | (y["n"] == least) & (y["role"] & _INDEX > 0)
+        most_shared = 1 + np.minimum(x["n"] - x["at"], y["n"] - y["at"])
+        ok = index & (x["kin"] != y["kin"]) & (least >= similarity * most - 1e-6) & (most_shared >= share * (least + most) - 1e-6)
+        i, j = np.broadcast_arrays(row[i], row[j])
+        found.append(np.minimum(i, j)[ok] * len(rows) + np.maximum(i, j)[ok])
+        size += len(found[-1])
+        if size > VARIANTS:
+            found[:] = [np.unique(np.concatenate(found))]
+            size = 0
+
+    starts = np.flatnonzero(np.concatenate((own[:1] == own[:1], own["token"][1:] != own["token"][:-1])))
+    ends = np.append(starts[1:], len(own))
+    few = np.repeat(ends - starts <= CROWD, ends - starts)
+    for k in range(1, CROWD):
+        i = np.flatnonzero(few[k:] & (own["token"][k:] == own["token"][:-k]))
+        x, y = own["role"][i], own["role"][i + k]
+        meet = (x & _ODD_ONE > 0) & (y & _ANY > 0) | (y & _ODD_ONE > 0) & (x & _ANY > 0)
+        keep(i[meet], i[meet] + k)
+    for s, e in zip(starts, ends, strict=True):
+        if e - s > CROWD:
+            role = own["role"][s:e]
+            odd, any_ = s + np.flatnonzero(role & _ODD_ONE), s + np.flatnonzero(role & _ANY)
+            step = max(1, PAIRS // max(1, len(any_)))
+            for at in range(0, len(odd), step):  # either side lies by size, so those that sizes allow are a run
+                i, n = odd[at : at + step], own["n"][any_]
+                low, high = similarity * own["n"][i[0]] - 1e-6, own["n"][i[-1]] / similarity + 1e-6
+                keep(i[:, None], any_[np.searchsorted(n, low) : np.searchsorted(n, high, "right")][None, :])
+    pairs = np.unique(np.concatenate(found))
+    return rows[pairs // max(1, len(rows))], rows[pairs % max(1, len(rows))]
+
+
+def _open_pairs(held: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of texts of a group and of different kins, all that are alike among them; held: (root, block, row, kin, total, g)."""
+
+    def count(key, pdf):
+        own = np.zeros(pdf["g"].map(len).sum(), _HELD)
+        own["token"], own["n"] = np.concatenate(list(pdf["g"])).view(np.uint64), 1
+        own["kin"] = np.repeat(pdf["kin"], pdf["g"].map(len))
+        own = _counted(own)
+        parts = dealt(own["token"], bits_of(int(pdf["total"].iloc[0]), TOKENS))
+        return pd.DataFrame({"root": key[0], "block": key[1], "part": [p for p, _, _ in parts], "own": [own[s:e].tobytes() for _, s, e in parts]})
+
+    def spread(key, pdf):  # to each block the counts of the whole group for what it holds
+        each = [np.frombuffer(o, _HELD) for o in pdf["own"]]
+        shared, out = _shared(np.concatenate(each)), []
+        for own in each:
+            at = np.searchsorted(shared["token"], own["token"])
+            at = at[at < len(shared)]
+            out.append(shared[np.unique(at[shared["token"][at] == own["token"][: len(at)]])].tobytes())
+        return pd.DataFrame({"root": key[0], "block": pdf["block"], "shared": out})
+
+    def place(key, pdf, marks):
+        shared = np.frombuffer(b"".join(marks["shared"]), _COUNT)
+        shared = shared[np.argsort(shared["token"])]
+        out = {"root": [], "part": [], "cell": [], "own": []}
+        if len(shared) and len(pdf):
+            bits = bits_of(int(pdf["total"].iloc[0]), TOKENS)
+            found = [_first_places(r, k, g.view(np.uint64), shared, similarity) for r, k, g in zip(pdf["row"], pdf["kin"], pdf["g"], strict=True)]
+            own, cell = _cells(np.concatenate([f[0] for f in found]), shared[np.concatenate([f[1] for f in found])], PLACES)
+            order = np.lexsort((own["token"], cell))
+            own, cell = own[order], cell[order]
+            ends = np.append(np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell))
+            for first, end in zip(np.append(0, ends[:-1]), ends, strict=True):
+                for part, s, e in dealt(own["token"][first:end], bits):
+                    out["part"].append(part)
+                    out["cell"].append(int(cell[first]))
+                    out["own"].append(own[first + s : first + e].tobytes())
+            out["root"] = [key[0]] * len(out["part"])
+        return pd.DataFrame(out)
+
+    def meet(key, pdf):
+        a, b = _bounded(np.frombuffer(b"".join(pdf["own"]), _PLACE), similarity)
+        return pd.DataFrame({"a": a, "b": b})
+
+    counted = held.select("root", "block", "kin", "total", "g").groupBy("root", "block").applyInPandas(count, "root long, block long, part int, own binary")
+    shared = counted.groupBy("root", "part").applyInPandas(spread, "root long, block long, shared binary")
+    placed = held.groupBy("root", "block").cogroup(shared.groupBy("root", "block"))
+    placed = placed.applyInPandas(place, "root long, part int, cell long, own binary")
+    return placed.groupBy("root", "part", "cell").applyInPandas(meet, "a long, b long").distinct()
+
+
+def _alike(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): those of the pairs whose whole sets are alike."""
+    sides = [own.select(F.col("row").alias(c), F.col("g").alias(f"g_{c}")) for c in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("both", F.size(F.array_intersect("g_a", "g_b")))
+    return both.where(F.col("both") >= similarity * (F.size("g_a") + F.size("g_b") - F.col("both")) - 1e-9).select("a", "b")
 
 
 def _verified(units: DataFrame, laid: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
@@ -260,29 +407,19 @@ def links(rows: DataFrame, sketches: DataFrame, similarity: float, words: int) -
     lead = keyed.groupBy("h").agg(F.min("row").alias("a")).select(afresh(F.col("h")).alias("h"), "a")
     groups = connected_components(keyed.join(lead, "h").where("a <> row").select("a", F.col("row").alias("b")))
     members = groups.select(F.col("node").alias("row"), "root").union(groups.select("root", "root").distinct())
-    laid = _laid(members.join(one.select("row", "n", F.col("row").alias("kin")), "row"), "n", "row")
+    laid = _laid(members.join(one.select("row", "n"), "row"))
     own = stage(_sets(rows.join(laid.select(F.col("row").alias("_row")), "_row", "left_semi"), words), "members")
     near = _verified(_near_units(laid), laid, own, similarity)
 
-    # A group of one block is done. In the others what is linked by now is one kin, and only keys that several kins share
-    # have pairs left to verify.
+    # A group of one block is done. In the others what is linked by now is one kin, and pairs of different kins are left to verify.
     large = laid.where("block > 0").select("root").distinct()
-    wide = laid.join(large, "root", "left_semi").select("root", "row", "n")
-    kin = connected_components(near.join(wide.select(F.col("row").alias("a")), "a", "left_semi")).select(F.col("node").alias("row"), F.col("root").alias("k"))
-    known = stage(wide.join(kin, "row", "left").select("root", "row", "n", F.coalesce("k", "row").alias("kin")), "kins")
-    held = stage(known.join(keyed, "row").select("root", "row", "n", "kin", "h"), "held")
-    # keys with the same rows need verifying once: of those with the same count and sums of hashes the least stays
-    sums = [F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    mixed = held.groupBy("root", "h").agg(F.min("kin").alias("low"), F.max("kin").alias("high"), F.count("*").alias("m"), *sums).where("low < high")
-    mixed = stage(mixed.groupBy("root", "m", "x1", "x2").agg(F.min("h").alias("h")), "mixed")
-    # where the keys of a group hold more pairs than the group, as in near copies that meet in every table, its rows meet once
-    pairs = mixed.groupBy("root").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
-    sizes = known.groupBy("root").agg(F.count("*").alias("size"))
-    once = stage(pairs.join(sizes, "root").where(F.col("pairs") > F.col("size") * F.col("size")).select(afresh(F.col("root")).alias("root")), "once")
-    apart = mixed.join(once, "root", "left_anti").select(afresh(F.col("h")).alias("h"))
-    apart = held.join(apart, "h").select(F.col("h").alias("root"), "row", "n", "kin")
-    laid = _laid(apart.union(known.join(once, "root", "left_semi").select("root", "row", "n", "kin")), "kin", "n", "row")
-    return near.union(_verified(_far_units(laid, similarity), laid, own, similarity)).union(twins)
+    wide = laid.join(large, "root", "left_semi")
+    kin = connected_components(near.join(wide.select(F.col("row").alias("a")), "a", "left_semi")).select(F.col("node").alias("row"), F.col("root").alias("kin"))
+    total = wide.groupBy("root").agg(F.sum("n").alias("total")).select(afresh(F.col("root")).alias("root"), "total")
+    known = wide.join(kin, "row", "left").join(total, "root").withColumn("kin", F.coalesce("kin", "row"))
+    held = stage(known.join(own, "row").select("root", "block", "row", "kin", "total", "g"), "held")
+    pairs = stage(_open_pairs(held, similarity), "pairs")
+    return near.union(stage(_alike(pairs, held, similarity), "links")).union(twins)
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
