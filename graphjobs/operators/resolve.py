@@ -1,15 +1,19 @@
 """Union of shards, canonical names by business number, pruning and profiles.
 
-The canonical map is joined without a hint: Spark broadcasts it while it is small and shuffles beyond that.
+The canonical map is joined without a hint: Spark broadcasts it while it is small and shuffles beyond that. Edges are a table, or
+``KinEdges`` where a part of them is stated by groups; the results are the same.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import abn_checksum, norm_abn
-from .graph import ORDER, Graph, ends, keep_first, order_key, top
+from .graph import ORDER, Graph, keep_first, order_key, top
+from .kin import KinEdges, among, count_by, counted_ends
 
 ABN_RELATIONS = ("has abn", "abn")
 #: Relations whose targets are literals (matched as written).
@@ -35,32 +39,35 @@ def union_nodes(nodes: DataFrame) -> DataFrame:
 union_relations = union_nodes
 
 
-def union_edges(edges: DataFrame) -> DataFrame:
-    return keep_first(edges, "source", "relation", "target")
+def union_edges(edges: DataFrame | KinEdges) -> DataFrame | KinEdges:
+    return edges.united() if isinstance(edges, KinEdges) else keep_first(edges, "source", "relation", "target")
 
 
-def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def missing_endpoints(edges: DataFrame | KinEdges, nodes: DataFrame) -> DataFrame:
     """(missing): edge ends that aren't nodes, sources and targets counted apart."""
-    return ends(edges).join(nodes.select("name"), "name", "left_anti").agg(F.count("*").alias("missing"))
+    lost = counted_ends(edges).join(nodes.select("name"), "name", "left_anti")
+    return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("missing"))
 
 
-def _abns(edges: DataFrame, relations, validate_checksum: bool) -> DataFrame:
+def _abns(edges: DataFrame | KinEdges, relations, validate_checksum: bool) -> DataFrame:
     """(name, n, abn): names with their number of distinct business numbers and one of them."""
+    if isinstance(edges, KinEdges):
+        edges = edges.every() if edges.relation.strip().lower() in relations else edges.listed
     own = edges.where(F.lower(F.regexp_replace("relation", r"^\s+|\s+$", "")).isin(*relations)).select(F.col("source").alias("name"), norm_abn("target").alias("abn"))
     own = own.where(F.col("abn").isNotNull() & (abn_checksum("abn") if validate_checksum else F.lit(True))).distinct()
     return own.groupBy("name").agg(F.count("*").alias("n"), F.min("abn").alias("abn"))
 
 
-def canonical_map(edges: DataFrame, abn_rels=ABN_RELATIONS, validate_checksum: bool = False) -> DataFrame:
+def canonical_map(edges: DataFrame | KinEdges, abn_rels=ABN_RELATIONS, validate_checksum: bool = False) -> DataFrame:
     """(variant, leader): names that share a business number and have no other follow the most frequent, longest, least."""
     one = _abns(edges, abn_rels, validate_checksum).where("n = 1")
-    often = ends(edges).groupBy("name").agg(F.count("*").alias("f"))
+    often = counted_ends(edges).withColumnRenamed("n", "f")
     ranked = one.join(often, "name").groupBy("abn").agg(F.count("*").alias("k"), F.min_by("name", F.struct(-F.col("f"), -F.length("name"), "name")).alias("leader"))
     led = one.join(ranked.where("k > 1").select("abn", "leader"), "abn")
     return led.where("name <> leader").select(F.col("name").alias("variant"), "leader")
 
 
-def abn_conflicts(edges: DataFrame, abn_rels=ABN_RELATIONS, validate_checksum: bool = False) -> DataFrame:
+def abn_conflicts(edges: DataFrame | KinEdges, abn_rels=ABN_RELATIONS, validate_checksum: bool = False) -> DataFrame:
     """(abns_seen, conflicts); numbers count where a name has them alone."""
     own = _abns(edges, abn_rels, validate_checksum)
     return own.agg(F.count_distinct(F.when(F.col("n") == 1, F.col("abn"))).alias("abns_seen"), F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0)).alias("conflicts"))
@@ -71,28 +78,40 @@ def _renamed(df: DataFrame, mapping: DataFrame, col: str) -> DataFrame:
     return df.join(to, col, "left").withColumn(col, F.coalesce("_to", col)).select(*df.columns)
 
 
+def _moved(edges: DataFrame | KinEdges, mapping: DataFrame) -> DataFrame | KinEdges:
+    """Edges with their ends renamed; pairs of kins that a renaming touches are listed."""
+    if isinstance(edges, KinEdges):
+        loose = edges.loosened(mapping.select(F.col("variant").alias("name")).union(mapping.select("leader")))
+        return replace(loose, listed=_moved(loose.listed, mapping))
+    return _renamed(_renamed(edges, mapping, "source"), mapping, "target")
+
+
 def canonicalise_graph(graph: Graph, mapping: DataFrame) -> Graph:
     """Names replaced by their leaders; first rows stay, self-loops go, then duplicates."""
     nodes = keep_first(_renamed(graph.nodes, mapping, "name"), "name")
-    edges = _renamed(_renamed(graph.edges, mapping, "source"), mapping, "target").where("source <> target")
-    return Graph(nodes, graph.relations, union_edges(edges))
+    edges = _moved(graph.edges, mapping)
+    if isinstance(edges, KinEdges):
+        return Graph(nodes, graph.relations, union_edges(replace(edges, listed=edges.listed.where("source <> target"))))
+    return Graph(nodes, graph.relations, union_edges(edges.where("source <> target")))
 
 
 def canonicalise_stats(before: Graph, mapping: DataFrame) -> DataFrame:
     """One row of counts of a canonicalisation of ``before``."""
     after = canonicalise_graph(before, mapping)
-    moved = _renamed(_renamed(before.edges, mapping, "source"), mapping, "target")
+    moved = _moved(before.edges, mapping)
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    loops = moved.agg(F.count("*").alias("edges_in"), F.coalesce(F.sum((F.col("source") == F.col("target")).cast("long")), F.lit(0)).alias("self_loops_dropped"))
-    parts = [one(mapping, "variants_folded"), abn_conflicts(before.edges), one(before.nodes, "nodes_in"), one(after.nodes, "nodes_out"), loops, one(after.edges, "edges_out")]
+    size = lambda edges, name: count_by(edges, "relation").agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
+    met = moved.listed if isinstance(moved, KinEdges) else moved  # the pairs that are left in kins have two names
+    loops = met.agg(F.coalesce(F.sum((F.col("source") == F.col("target")).cast("long")), F.lit(0)).alias("self_loops_dropped"))
+    parts = [one(mapping, "variants_folded"), abn_conflicts(before.edges), one(before.nodes, "nodes_in"), one(after.nodes, "nodes_out"), size(before.edges, "edges_in"), loops, size(after.edges, "edges_out")]
     out = parts[0]
     for p in parts[1:]:
         out = out.crossJoin(p)  # one row each
     return out.withColumn("duplicates_dropped", F.col("edges_in") - F.col("self_loops_dropped") - F.col("edges_out"))
 
 
-def literal_nodes(edges: DataFrame, attr_rels=ATTRIBUTE_RELATIONS) -> DataFrame:
-    return edges.where(F.col("relation").isin(*attr_rels)).select(F.col("target").alias("name")).distinct()
+def literal_nodes(edges: DataFrame | KinEdges, attr_rels=ATTRIBUTE_RELATIONS) -> DataFrame:
+    return among(edges, attr_rels).select(F.col("target").alias("name")).distinct()
 
 
 def prune_equivalent(edges: DataFrame, literals: DataFrame, cap: int = 10) -> DataFrame:

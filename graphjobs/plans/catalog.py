@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import analytics, corpus, index, kg, metrics, models, rank, resolve, similarity, verify
 from ..operators.graph import Graph, cut, shared_folder
+from ..operators.kin import count_by
 from ..sources import io
 from ..streaming import increment
 from . import fixtures
@@ -37,8 +38,8 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def _graph(t) -> Graph:
-    return Graph(t("nodes"), t("edges").select(F.col("relation").alias("name")).distinct(), t("edges"))
+def _graph(t, edges) -> Graph:
+    return Graph(t("nodes"), count_by(edges, "relation").select(F.col("relation").alias("name")), edges)
 
 
 def _r(c: str, name: str | None = None):
@@ -380,12 +381,13 @@ def abn_conflicts(t):
 
 @query(f", {_MAP}, {_MOVED} SELECT * FROM kept")
 def canonicalise_graph(t):
-    return resolve.canonicalise_graph(_graph(t), resolve.canonical_map(t("edges"))).edges
+    return resolve.canonicalise_graph(_graph(t, t("edges")), resolve.canonical_map(t("edges"))).edges
 
 
 @query(f", {_MAP}, {_MOVED} SELECT (SELECT count(*) FROM mapping) AS variants_folded, (SELECT count(DISTINCT abn) FILTER (n = 1) FROM own) AS abns_seen, (SELECT count(*) FILTER (n > 1) FROM own) AS conflicts, (SELECT count(*) FROM nodes) AS nodes_in, (SELECT count(DISTINCT coalesce(leader, name)) FROM nodes LEFT JOIN mapping ON variant = name) AS nodes_out, (SELECT count(*) FROM edges) AS edges_in, (SELECT count(*) FROM moved WHERE source = target) AS self_loops_dropped, (SELECT count(*) FROM kept) AS edges_out, (SELECT count(*) FROM moved WHERE source <> target) - (SELECT count(*) FROM kept) AS duplicates_dropped")
 def canonicalise_stats(t):
-    return resolve.canonicalise_stats(_graph(t), resolve.canonical_map(t("edges")))
+    edges = t("kin_edges").cut()  # read several times
+    return resolve.canonicalise_stats(_graph(t, edges), cut(resolve.canonical_map(edges)))
 
 
 _LITERALS = "SELECT DISTINCT target AS name FROM edges WHERE relation IN ('has revenue band', 'has annual revenue band', 'covers reporting period', 'headquartered in', 'operates in sector', 'has abn', 'abn', 'register entry')"
@@ -1075,8 +1077,7 @@ def edges_in_window_stream(t):
 def _pruned_counts(t) -> DataFrame:
     """Tables that are read several times are cut first: the edges, the map and the canonical edges."""
     edges = cut(t("edges"))
-    graph = Graph(t("nodes"), edges.select(F.col("relation").alias("name")).distinct(), edges)
-    kept = cut(resolve.canonicalise_graph(graph, cut(resolve.canonical_map(edges))).edges)
+    kept = cut(resolve.canonicalise_graph(_graph(t, edges), cut(resolve.canonical_map(edges))).edges)
     return resolve.relation_counts(resolve.prune_equivalent(kept, resolve.literal_nodes(kept)))
 
 
