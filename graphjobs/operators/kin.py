@@ -73,6 +73,13 @@ class KinEdges:
     def to_tails(self) -> DataFrame:
         return _others(self.tails, self.heads)
 
+    def shards_of_heads(self) -> DataFrame:
+        """(shard_no, name) of heads with an edge there."""
+        return _met(self.heads, self.tails, "shard_no").select("shard_no", "name").distinct()
+
+    def shards_of_tails(self) -> DataFrame:
+        return _met(self.tails.select("kin", "name", F.col("shard_no").alias("_s")), self.heads, rest=("_s",)).select(F.col("_s").alias("shard_no"), "name").distinct()
+
     def first_from(self) -> DataFrame:
         """(name, shard_no, row_no): the first edge of each head."""
         met = _least(self.heads, self.tails, F.struct("shard_no", "place"))
@@ -118,10 +125,10 @@ def _others(rows: DataFrame, against: DataFrame) -> DataFrame:
     return met.where("n > 0").select(*rows.columns, "n")
 
 
-def _met(rows: DataFrame, against: DataFrame, *by: str) -> DataFrame:
-    """(kin, name, by …) of rows that meet another name on the other side, for each value of its columns by."""
+def _met(rows: DataFrame, against: DataFrame, *by: str, rest: tuple = ()) -> DataFrame:
+    """(kin, name, by …, rest …) of rows that meet another name on the other side, for each value of its columns by."""
     names = against.groupBy("kin", *by).agg(F.min("name").alias("_lo"), F.max("name").alias("_hi"))
-    return rows.join(names, "kin").where("_lo <> name OR _hi <> name").select("kin", "name", *by)
+    return rows.join(names, "kin").where("_lo <> name OR _hi <> name").select("kin", "name", *by, *rest)
 
 
 def _least(rows: DataFrame, against: DataFrame, key: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import abn_spaced, entity_names, is_company_name, is_valid_abn, norm_abn, normalise_text, strip, title_idx
 from .graph import cut
+from .kin import KinEdges
 from .needles import contained, containing
 
 
@@ -31,22 +32,43 @@ def register_facts(docs: DataFrame, register: DataFrame) -> DataFrame:
     return own.select("shard", F.col("IDX").alias("idx"), F.explode(facts).alias("f")).where("f is not null").select("shard", "idx", "f.*")
 
 
-def _looked_for(facts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _told(edges: DataFrame) -> DataFrame:
+    """(scope, text) of edges that are listed."""
+    return edges.select(F.col("shard_no" if "shard_no" in edges.columns else "shard").alias("scope"), normalise_text(F.concat_ws(" ", "source", "relation", "target")).alias("text"))
+
+
+def _found(needles: DataFrame, texts: DataFrame, edges: DataFrame | KinEdges) -> DataFrame:
+    """(scope, needle) of those that texts or edge texts of their scope contain.
+
+    What lies in a pair of a kin lies in its head with the relation or in the relation with its tail, unless the relation stands
+    within the needle between other words: only for such needles are the pairs written out."""
+    if not isinstance(edges, KinEdges):
+        return contained(needles, texts.union(_told(edges)))
+    said = lambda side, *words: side.select(F.col("shard_no").alias("scope"), normalise_text(F.concat_ws(" ", *words)).alias("text"))
+    halves = said(edges.shards_of_heads(), "name", F.lit(edges.relation)).union(said(edges.shards_of_tails(), F.lit(edges.relation), "name"))
+    out = contained(needles, texts.union(_told(edges.listed)).union(halves))
+    across = needles.where(F.col("needle").contains(F.concat(F.lit(" "), normalise_text(F.lit(edges.relation)), F.lit(" "))))
+    return out.union(contained(across, _told(edges.pairs()))) if across.head(1) else out
+
+
+def _looked_for(facts: DataFrame, nodes: DataFrame, edges: DataFrame | KinEdges) -> DataFrame:
     """(shard, idx, kind, needles, hit): each distinct fact, and whether some needle of it occurs in a node or edge text of its shard."""
     texts = nodes.select(F.col("shard").alias("scope"), normalise_text("name").alias("text"))
-    texts = texts.union(edges.select("shard", normalise_text(F.concat_ws(" ", "source", "relation", "target"))))
     spread = facts.select("shard", "idx", "kind", "needles", F.explode("needles").alias("needle"))
-    hits = contained(spread.select(F.col("shard").alias("scope"), "needle").distinct(), texts).select(F.col("scope").alias("shard"), "needle", F.lit(True).alias("hit"))
+    needles = cut(spread.select(F.col("shard").alias("scope"), "needle").distinct())
+    hits = _found(needles, texts, edges).distinct().select(F.col("scope").alias("shard"), "needle", F.lit(True).alias("hit"))
     return spread.join(hits, ["shard", "needle"], "left").groupBy("shard", "idx", "kind", "needles").agg(F.max(F.coalesce("hit", F.lit(False))).alias("hit"))
 
 
-def verify_facts(facts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(kind, found, expected, recall): facts of which some needle occurs in a node or edge text of the shard."""
+def verify_facts(facts: DataFrame, nodes: DataFrame, edges: DataFrame | KinEdges) -> DataFrame:
+    """(kind, found, expected, recall): facts of which some needle occurs in a node or edge text of the shard.
+
+    edges: (shard, source, relation, target), or in kins, with shard_no for the shard."""
     out = _looked_for(facts, nodes, edges).groupBy("kind").agg(F.sum(F.col("hit").cast("long")).alias("found"), F.count("*").alias("expected"))
     return out.withColumn("recall", F.col("found") / F.col("expected"))
 
 
-def missing_facts(facts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def missing_facts(facts: DataFrame, nodes: DataFrame, edges: DataFrame | KinEdges) -> DataFrame:
     """(shard, idx, kind, needles): the facts that ``verify_facts`` doesn't find."""
     return _looked_for(facts, nodes, edges).where("NOT hit").drop("hit")
 

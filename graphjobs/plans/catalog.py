@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -463,8 +464,10 @@ def register_facts(t):
 
 
 def _shard_graph(t):
-    edges = t("edges").select(F.col("shard_no").alias("shard"), "source", "relation", "target")
-    return edges.select("shard", F.col("source").alias("name")).distinct(), edges
+    edges = t("kin_edges")
+    edges = replace(edges, listed=cut(edges.listed))  # read twice
+    names = edges.listed.select(F.col("shard_no").alias("shard"), F.col("source").alias("name"))
+    return names.union(edges.shards_of_heads()).distinct(), edges
 
 
 _LOOKED_FOR = f""", texts AS (SELECT DISTINCT shard_no AS shard, {NORM.format("source || ' ' || relation || ' ' || target")} AS x FROM edges UNION SELECT shard_no, {NORM.format('source')} FROM edges),

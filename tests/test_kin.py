@@ -82,7 +82,7 @@ def made(spark, run):
     return out, most
 
 
-@pytest.mark.parametrize("name", ["canonicalise_stats"])
+@pytest.mark.parametrize("name", ["canonicalise_stats", "missing_facts"])
 def test_large_kins_are_not_written_out(spark, one_kin, name):
     got, most = made(spark, lambda: entry.queries()[name](spark, str(one_kin)))
     assert most < PARTS * PARTS / 4  # a join of all pairs makes twice as many and more
