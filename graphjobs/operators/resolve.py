@@ -143,8 +143,8 @@ def type_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("type").agg(F.count("*").alias("n"))
 
 
-def relation_counts(edges: DataFrame, k: int = 25) -> DataFrame:
-    return edges.groupBy("relation").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "relation").limit(k)
+def relation_counts(edges: DataFrame | KinEdges, k: int = 25) -> DataFrame:
+    return count_by(edges, "relation").orderBy(F.desc("n"), "relation").limit(k)
 
 
 def relation_top_targets(edges: DataFrame, relations: list[str] | None = None, k: int = 8) -> DataFrame:
