@@ -155,8 +155,8 @@ def relation_top_targets(edges: DataFrame, relations: list[str] | None = None, k
     return top(each, ["relation"], [F.desc("n"), F.asc("target")], k).join(total, "relation")
 
 
-def hub_degree(edges: DataFrame, k: int = 10) -> DataFrame:
-    return ends(edges).groupBy("name").agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "name").limit(k)
+def hub_degree(edges: DataFrame | KinEdges, k: int = 10) -> DataFrame:
+    return counted_ends(edges).withColumnRenamed("n", "degree").orderBy(F.desc("degree"), "name").limit(k)
 
 
 def enrich_company(companies: DataFrame, edges: DataFrame, priorities=PRIORITIES) -> DataFrame:

@@ -426,7 +426,7 @@ def relation_top_targets(t):
 
 @query("SELECT name, count(*) AS degree FROM (SELECT source AS name FROM edges UNION ALL SELECT target FROM edges) GROUP BY name ORDER BY degree DESC, name LIMIT 10")
 def hub_degree(t):
-    return resolve.hub_degree(t("edges"))
+    return resolve.hub_degree(t("kin_edges"))
 
 
 _FIELDS = {"abn": ("has abn", "has a b n"), "sector": ("operates in sector", "received sector", "registered sector"), "revenue": ("has annual revenue band", "annual revenue band", "received annual revenue band", "registered revenue band"), "hq": ("headquartered in", "is headquartered in", "received headquartered in")}

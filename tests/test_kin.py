@@ -49,6 +49,7 @@ def test_kins_count_like_their_edges(spark, seed):
         lambda e: resolve.canonicalise_stats(Graph(nodes, nodes, e), mapping),
         lambda e: resolve.canonical_map(e),
         lambda e: resolve.literal_nodes(e, ("equivalent", "r")),
+        lambda e: resolve.hub_degree(e),
         lambda e: resolve.relation_counts(e),
     ):
         assert rows(own(held)) == rows(own(flat))
@@ -83,7 +84,7 @@ def made(spark, run):
     return out, most
 
 
-@pytest.mark.parametrize("name", ["canonicalise_stats", "missing_facts", "verify_facts", "type_counts", "relation_counts", "assign_ids"])
+@pytest.mark.parametrize("name", ["canonicalise_stats", "missing_facts", "verify_facts", "type_counts", "relation_counts", "assign_ids", "hub_degree"])
 def test_large_kins_are_not_written_out(spark, one_kin, name):
     got, most = made(spark, lambda: entry.queries()[name](spark, str(one_kin)))
     assert most < PARTS * PARTS / 4  # a join of all pairs makes twice as many and more
