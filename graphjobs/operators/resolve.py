@@ -123,9 +123,9 @@ def prune_equivalent(edges: DataFrame, literals: DataFrame, cap: int = 10) -> Da
     return edges.where("relation <> 'equivalent'").unionByName(held)
 
 
-def equivalent_degree(edges: DataFrame, caps=(5, 10, 20, 50), ps=(0.5, 0.9, 0.99)) -> DataFrame:
+def equivalent_degree(edges: DataFrame | KinEdges, caps=(5, 10, 20, 50), ps=(0.5, 0.9, 0.99)) -> DataFrame:
     """(metric, value) of source degrees over synonym edges; percentile p is place int(n·(1−p)) of the descending degrees."""
-    degrees = edges.where("relation = 'equivalent'").groupBy("source").agg(F.count("*").alias("d"))
+    degrees = count_by(edges, "source", "relation").where("relation = 'equivalent'").select("source", F.col("n").alias("d"))
     # by degree, not by node: how many sources have each degree and how many have more
     counts = degrees.groupBy("d").agg(F.count("*").alias("n"))
     above = Window.orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, -1)
@@ -134,7 +134,7 @@ def equivalent_degree(edges: DataFrame, caps=(5, 10, 20, 50), ps=(0.5, 0.9, 0.99
     pct = [F.max(F.when((at(p) >= F.col("before")) & (at(p) < F.col("before") + F.col("n")), F.col("d"))).cast("double").alias(f"p{round(p * 100)}") for p in ps]
     kept = [F.sum(F.least("d", F.lit(c)) * F.col("n")).cast("double").alias(f"kept_{c}") for c in caps]
     got = table.agg(F.sum(F.col("d") * F.col("n")).cast("double").alias("n"), F.max("d").cast("double").alias("max"), (F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("mean"), *pct, *kept)
-    share = edges.agg(F.avg((F.col("relation") == "equivalent").cast("double")).alias("share"))
+    share = count_by(edges, "relation").agg((F.sum(F.when(F.col("relation") == "equivalent", F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
     wide = got.crossJoin(share)  # one row each
     return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in wide.columns])).alias("m")).select("m.*")
 
