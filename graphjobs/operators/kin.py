@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import cut, ends, keep_first
+from .graph import cut, ends, keep_first, top
 
 EDGE = ("source", "relation", "target", "shard_no", "row_no")
 #: Heads of a kin that meet its tails at once.
@@ -92,6 +92,15 @@ class KinEdges:
         out = out.union(_least(self.heads, self.tails, F.col("place")).select("name", F.col("base") + F.col("key")))
         return out.union(_least(self.tails, self.heads, F.col("base")).select("name", F.col("place") + F.col("key")))
 
+    def first_pairs(self, without: DataFrame, k: int) -> DataFrame:
+        """Pairs that don't touch names (without: name), among them the first k of each head: those with the first tails of a kin.
+
+        Of a name's own tails k at most are before the k-th of another name."""
+        heads, tails = (df.join(without.select("name"), "name", "left_anti").select(*df.columns) for df in (self.heads, self.tails))
+        order = [F.asc("shard_no"), F.asc("place")]
+        some = top(top(tails, ["kin", "name"], order, k).drop("rank"), ["kin"], [*order, F.asc("name")], 2 * k).select(*tails.columns)
+        return replace(self, heads=heads, tails=some).pairs()
+
     def cut(self) -> KinEdges:
         return replace(self, listed=cut(self.listed), heads=cut(self.heads), tails=cut(self.tails))
 

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import abn_checksum, norm_abn
 from .graph import ORDER, Graph, keep_first, order_key, top
-from .kin import KinEdges, among, count_by, counted_ends
+from .kin import EDGE, KinEdges, among, count_by, counted_ends
 
+EQUIVALENT = "equivalent"
 ABN_RELATIONS = ("has abn", "abn")
 #: Relations whose targets are literals (matched as written).
 ATTRIBUTE_RELATIONS = ("has revenue band", "has annual revenue band", "covers reporting period", "headquartered in", "operates in sector", "has abn", "abn", "register entry")
@@ -114,8 +115,13 @@ def literal_nodes(edges: DataFrame | KinEdges, attr_rels=ATTRIBUTE_RELATIONS) ->
     return among(edges, attr_rels).select(F.col("target").alias("name")).distinct()
 
 
-def prune_equivalent(edges: DataFrame, literals: DataFrame, cap: int = 10) -> DataFrame:
+def prune_equivalent(edges: DataFrame | KinEdges, literals: DataFrame, cap: int = 10) -> DataFrame | KinEdges:
     """edges without synonyms that touch a literal, and with the first cap synonyms of each source."""
+    if isinstance(edges, KinEdges) and edges.relation != EQUIVALENT:
+        return replace(edges, listed=prune_equivalent(edges.listed, literals, cap))
+    if isinstance(edges, KinEdges):
+        held = edges.first_pairs(literals, cap)
+        edges = edges.listed.select(*EDGE).union(held)
     same = edges.where("relation = 'equivalent'")
     for end in ("source", "target"):
         same = same.join(literals.select(F.col("name").alias(end)), end, "left_anti")

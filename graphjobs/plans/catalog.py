@@ -401,7 +401,8 @@ def literal_nodes(t):
 
 @query(f"SELECT * FROM edges WHERE relation <> 'equivalent' UNION ALL SELECT source, relation, target, shard_no, row_no FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY shard_no, row_no, target) AS k FROM edges WHERE relation = 'equivalent' AND source NOT IN ({_LITERALS}) AND target NOT IN ({_LITERALS})) WHERE k <= 10")
 def prune_equivalent(t):
-    return resolve.prune_equivalent(t("edges"), resolve.literal_nodes(t("edges")))
+    edges = t("kin_edges")
+    return resolve.prune_equivalent(edges, resolve.literal_nodes(edges))
 
 
 @query(", deg AS (SELECT source, count(*) AS d FROM edges WHERE relation = 'equivalent' GROUP BY source), srt AS (SELECT list(d ORDER BY d DESC) AS l, count(*) AS n FROM deg) SELECT unnest(['n', 'max', 'mean', 'p50', 'p90', 'p99', 'kept_5', 'kept_10', 'kept_20', 'kept_50', 'share']) AS metric, unnest([(SELECT sum(d) FROM deg)::DOUBLE, (SELECT max(d) FROM deg)::DOUBLE, round((SELECT avg(d) FROM deg), 4), (SELECT l[1 + CAST(floor(n * 0.5) AS INT)] FROM srt)::DOUBLE, (SELECT l[1 + CAST(floor(n * (1 - 0.9::DOUBLE)) AS INT)] FROM srt)::DOUBLE, (SELECT l[1 + CAST(floor(n * (1 - 0.99::DOUBLE)) AS INT)] FROM srt)::DOUBLE, (SELECT sum(least(d, 5)) FROM deg)::DOUBLE, (SELECT sum(least(d, 10)) FROM deg)::DOUBLE, (SELECT sum(least(d, 20)) FROM deg)::DOUBLE, (SELECT sum(least(d, 50)) FROM deg)::DOUBLE, round((SELECT avg(CASE WHEN relation = 'equivalent' THEN 1.0::DOUBLE ELSE 0 END) FROM edges), 4)]) AS value")
