@@ -49,6 +49,7 @@ def test_kins_count_like_their_edges(spark, seed):
         lambda e: resolve.canonicalise_stats(Graph(nodes, nodes, e), mapping),
         lambda e: resolve.canonical_map(e),
         lambda e: resolve.literal_nodes(e, ("equivalent", "r")),
+        lambda e: analytics.khop_reach(e, nodes.select(F.col("name").alias("node")).where("name < 'n4'")),
         lambda e: resolve.prune_equivalent(e, literals, 2),
         lambda e: resolve.equivalent_degree(e),
         lambda e: resolve.hub_degree(e),
@@ -86,7 +87,7 @@ def made(spark, run):
     return out, most
 
 
-@pytest.mark.parametrize("name", ["canonicalise_stats", "missing_facts", "verify_facts", "type_counts", "relation_counts", "assign_ids", "hub_degree", "canonical_map", "equivalent_degree", "prune_equivalent"])
+@pytest.mark.parametrize("name", ["canonicalise_stats", "missing_facts", "verify_facts", "type_counts", "relation_counts", "assign_ids", "hub_degree", "canonical_map", "equivalent_degree", "prune_equivalent", "khop_reach"])
 def test_large_kins_are_not_written_out(spark, one_kin, name):
     got, most = made(spark, lambda: entry.queries()[name](spark, str(one_kin)))
     assert most < PARTS * PARTS / 4  # a join of all pairs makes twice as many and more
