@@ -511,7 +511,7 @@ c AS (SELECT e.c_name AS doc_id, count(DISTINCT v.abn) FILTER (ok) AS emitted, c
 p AS (SELECT *, CASE WHEN emitted + invalid > 0 THEN grounded::DOUBLE / (emitted + invalid) ELSE 0 END AS prec FROM c)
 SELECT doc_id, hits AS abn_recall, round(prec, 4) AS abn_precision, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.6::DOUBLE * hits + 0.4::DOUBLE * prec - 0.5::DOUBLE * invalid)), 4) AS reward_score, CAST(invalid AS INT) AS invalid, CAST(odd AS INT) AS odd, CAST(invalid + CASE WHEN odd > 0 THEN 1 ELSE 0 END AS INT) AS violations, invalid = 0 AND hits >= 0.5 AND prec >= 0.5 AS is_verified FROM p""")
 def fact_gate(t):
-    triples = t("edges").join(t("customer").select(F.col("c_name").alias("source")), "source").select(F.col("source").alias("doc_id"), F.col("source").alias("s"), F.col("relation").alias("r"), F.col("target").alias("t"))
+    triples = t("kin_edges").from_sources(t("customer").select(F.col("c_name").alias("source"))).select(F.col("source").alias("doc_id"), F.col("source").alias("s"), F.col("relation").alias("r"), F.col("target").alias("t"))
     names = t("customer").select(F.col("c_name").alias("name")).union(t("nation").select("n_name"))
     got = verify.fact_gate(triples, t("named").select(F.col("c_name").alias("doc_id"), "abn"), names, t("named").select("abn"))
     return got.select("doc_id", "abn_recall", "abn_precision", "reward_score", F.size("invalid_abns").alias("invalid"), F.size("hallucinated_entities").alias("odd"), F.size("violations").alias("violations"), "is_verified")
