@@ -356,7 +356,8 @@ def union_edges(t):
 
 @query("SELECT name, min(shard_no * 10000000000000 + row_no) AS first FROM (SELECT source AS name, shard_no, row_no FROM edges) GROUP BY name")
 def union_nodes_relations(t):
-    named = t("edges").select(F.col("source").alias("name"), "shard_no", "row_no")
+    edges = t("kin_edges")
+    named = edges.listed.select(F.col("source").alias("name"), "shard_no", "row_no").union(edges.first_from())
     return resolve.union_nodes(named).select("name", (F.col("shard_no") * 10000000000000 + F.col("row_no")).alias("first"))
 
 
