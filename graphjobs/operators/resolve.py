@@ -153,11 +153,10 @@ def relation_counts(edges: DataFrame | KinEdges, k: int = 25) -> DataFrame:
     return count_by(edges, "relation").orderBy(F.desc("n"), "relation").limit(k)
 
 
-def relation_top_targets(edges: DataFrame, relations: list[str] | None = None, k: int = 8) -> DataFrame:
+def relation_top_targets(edges: DataFrame | KinEdges, relations: list[str] | None = None, k: int = 8) -> DataFrame:
     """(relation, target, n, edges, rank): the most common targets of each relation, and its edges."""
-    own = edges.where(F.col("relation").isin(*relations)) if relations else edges
-    each = own.groupBy("relation", "target").agg(F.count("*").alias("n"))
-    total = own.groupBy("relation").agg(F.count("*").alias("edges"))
+    each, total = count_by(edges, "relation", "target"), count_by(edges, "relation").withColumnRenamed("n", "edges")
+    each = each.where(F.col("relation").isin(*relations)) if relations else each
     return top(each, ["relation"], [F.desc("n"), F.asc("target")], k).join(total, "relation")
 
 

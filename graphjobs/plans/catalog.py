@@ -423,7 +423,7 @@ def relation_counts(t):
 
 @query("SELECT relation, target, n, rank, edges FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY n DESC, target) AS rank, sum(n) OVER (PARTITION BY relation)::BIGINT AS edges FROM (SELECT relation, target, count(*) AS n FROM edges GROUP BY ALL)) WHERE rank <= 8")
 def relation_top_targets(t):
-    return resolve.relation_top_targets(t("edges"))
+    return resolve.relation_top_targets(t("kin_edges"))
 
 
 @query("SELECT name, count(*) AS degree FROM (SELECT source AS name FROM edges UNION ALL SELECT target FROM edges) GROUP BY name ORDER BY degree DESC, name LIMIT 10")

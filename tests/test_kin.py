@@ -49,6 +49,7 @@ def test_kins_count_like_their_edges(spark, seed):
         lambda e: resolve.canonicalise_stats(Graph(nodes, nodes, e), mapping),
         lambda e: resolve.canonical_map(e),
         lambda e: resolve.literal_nodes(e, ("equivalent", "r")),
+        lambda e: resolve.relation_top_targets(e, k=50),
         lambda e: resolve.union_nodes(e.select(F.col("source").alias("name"), "shard_no", "row_no") if e is flat else e.listed.select(F.col("source").alias("name"), "shard_no", "row_no").union(e.first_from())),
         lambda e: resolve.missing_endpoints(e, nodes),
         lambda e: analytics.khop_reach(e, nodes.select(F.col("name").alias("node")).where("name < 'n4'")),
@@ -89,7 +90,7 @@ def made(spark, run):
     return out, most
 
 
-@pytest.mark.parametrize("name", ["canonicalise_stats", "missing_facts", "verify_facts", "type_counts", "relation_counts", "assign_ids", "hub_degree", "canonical_map", "equivalent_degree", "prune_equivalent", "khop_reach", "fact_gate", "missing_endpoints", "is_company_name", "union_nodes_relations", "topk_paths", "render_paths"])
+@pytest.mark.parametrize("name", ["canonicalise_stats", "missing_facts", "verify_facts", "type_counts", "relation_counts", "assign_ids", "hub_degree", "canonical_map", "equivalent_degree", "prune_equivalent", "khop_reach", "fact_gate", "missing_endpoints", "is_company_name", "union_nodes_relations", "topk_paths", "render_paths", "relation_top_targets"])
 def test_large_kins_are_not_written_out(spark, one_kin, name):
     got, most = made(spark, lambda: entry.queries()[name](spark, str(one_kin)))
     assert most < PARTS * PARTS / 4  # a join of all pairs makes twice as many and more
