@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import attributes_to_text
 from .graph import cut, order_key, top
 from .kg import MENTIONED
+from .kin import KinEdges
 
 
 def placed(df: DataFrame, order: Column, name: str) -> DataFrame:
@@ -46,6 +48,19 @@ def encode_edges(edges: DataFrame, node_ids: DataFrame, rel_ids: DataFrame) -> t
     return met.where(whole).select("u", "v", "r"), met.where(~whole).select(*edges.columns)
 
 
+def counted_edges(edges: DataFrame | KinEdges, node_ids: DataFrame, rel_ids: DataFrame) -> DataFrame:
+    """(u, v, r, n): how often each encoded edge occurs."""
+    if not isinstance(edges, KinEdges):
+        return encode_edges(edges, node_ids, rel_ids)[0].groupBy("u", "v", "r").agg(F.count("*").alias("n"))
+    own = edges.loosened(edges.doubtful())
+    known, rel = node_ids.select("name", "id"), rel_ids.where(F.col("name") == edges.relation).select(F.col("id").alias("r"))
+    sides = [df.groupBy("kin", "name").agg(F.count("*").alias(n)).join(known, "name").select("kin", F.col("id").alias("name"), n) for df, n in ((own.heads, "_h"), (own.tails, "_t"))]
+    heads, tails = sides[0].withColumn("base", F.lit(0)), sides[1].withColumn("shard_no", F.lit(0)).withColumn("place", F.lit(0))
+    pairs = replace(own, heads=heads, tails=tails).pairs().crossJoin(F.broadcast(rel))  # one row, or none
+    listed = counted_edges(own.listed, node_ids, rel_ids)
+    return listed.union(pairs.select(F.col("source").alias("u"), F.col("target").alias("v"), "r", (F.col("_h") * F.col("_t")).alias("n")))
+
+
 def inverse_edges(encoded: DataFrame, rel_ids: DataFrame, n_relations: int) -> tuple[DataFrame, DataFrame]:
     """Edges with their inverses (v, u, r + R); ids of relations with inverse names for those that occur."""
     both = encoded.union(encoded.select("v", "u", F.col("r") + n_relations))

@@ -85,6 +85,10 @@ class KinEdges:
         met = _least(self.heads, self.tails, F.struct("shard_no", "place"))
         return met.select("name", "key.shard_no", (F.col("base") + F.col("key.place")).alias("row_no"))
 
+    def first_rows(self) -> DataFrame:
+        """(relation, row_no): the first row of each head's pairs."""
+        return _least(self.heads, self.tails, F.col("place")).select(F.lit(self.relation).alias("relation"), F.col("base") + F.col("key"))
+
     def named_rows(self) -> DataFrame:
         """(name, row_no): the ends of all edges, with the least row of each head and tail for those of its edges."""
         own = self.listed.select("source", "target", "row_no")

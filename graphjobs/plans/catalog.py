@@ -557,7 +557,9 @@ def assign_ids(t):
 
 
 def _rels(t):
-    return index.relation_ids(t("edges").groupBy(F.col("relation").alias("name")).agg(F.min("row_no").alias("row_no")))
+    edges = t("kin_edges")
+    rows = edges.listed.select(F.col("relation").alias("name"), "row_no").union(edges.first_rows())
+    return index.relation_ids(rows.groupBy("name").agg(F.min("row_no").alias("row_no")))
 
 
 _ENC = f"{_IDS}, rels AS (SELECT relation AS name, row_number() OVER (ORDER BY min(row_no), relation) - 1 AS id FROM edges GROUP BY relation), enc AS (SELECT u.id AS u, v.id AS v, r.id AS r FROM edges JOIN ids u ON u.name = source JOIN ids v ON v.name = target JOIN rels r ON r.name = relation)"
@@ -565,7 +567,7 @@ _ENC = f"{_IDS}, rels AS (SELECT relation AS name, row_number() OVER (ORDER BY m
 
 @query(f", {_ENC} SELECT u, v, r, count(*) AS n FROM enc GROUP BY ALL")
 def encode_edges(t):
-    return index.encode_edges(t("edges"), index.assign_ids(t("nodes")), _rels(t))[0].groupBy("u", "v", "r").agg(F.count("*").alias("n"))
+    return index.counted_edges(t("kin_edges").cut(), cut(index.assign_ids(t("nodes"))), cut(_rels(t)))
 
 
 @query("SELECT u, v, r FROM encoded UNION ALL SELECT v, u, r + 3 FROM encoded")
