@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from graphjobs.operators import analytics, index, resolve, verify
+from graphjobs.operators import analytics, index, resolve
 from graphjobs.operators.graph import Graph, cut
 from graphjobs.operators.kin import KinEdges
 
@@ -45,10 +45,16 @@ def test_kins_count_like_their_edges(spark, seed):
     nodes = flat.select(F.col("source").alias("name")).distinct().where("name <> 'n3'").withColumns({"shard_no": F.lit(0), "row_no": F.lit(0)})
     mapping = spark.createDataFrame([("n1", "n2"), ("n5", "n0")], "variant string, leader string")
     literals = spark.createDataFrame([("n7",)], "name string")
+    flatten = lambda e: e.every() if isinstance(e, KinEdges) else e.select("source", "relation", "target", "shard_no", "row_no")
+    ids = spark.createDataFrame([(f"n{i}", i) for i in range(11)], "name string, id long")
+    rels = spark.createDataFrame([("equivalent", 0), ("r", 1)], "name string, id long")
     for own in (
         lambda e: resolve.canonicalise_stats(Graph(nodes, nodes, e), mapping),
         lambda e: resolve.canonical_map(e),
         lambda e: resolve.literal_nodes(e, ("equivalent", "r")),
+        lambda e: flatten(resolve.union_edges(e)),
+        lambda e: flatten(resolve.canonicalise_graph(Graph(nodes, nodes, e), mapping).edges),
+        lambda e: index.counted_edges(e, ids, rels),
         lambda e: resolve.relation_top_targets(e, k=50),
         lambda e: resolve.union_nodes(e.select(F.col("source").alias("name"), "shard_no", "row_no") if e is flat else e.listed.select(F.col("source").alias("name"), "shard_no", "row_no").union(e.first_from())),
         lambda e: resolve.missing_endpoints(e, nodes),
